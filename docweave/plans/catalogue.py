@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import references
+from docweave.plans import collections_tree, references
 
-MODULES = (references,)
+MODULES = (references, collections_tree)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
