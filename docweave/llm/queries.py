@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, tokenize, unify
+from docweave.llm import mixing, splitting, tokenize, unify
 from docweave.session import table
 
 
@@ -36,4 +36,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets")).shares()
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every chunk that exceeds the chunk size of its strategy."""
+    rows = table(spark, sf_dir, "vector_metadata").select("vector_id", "content", "metadata")
+    return splitting.split_rows(splitting.with_limits(rows, table(spark, sf_dir, "chunking_config")), "vector_id", "content")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that had to be split: those with more than one piece."""
+    return p4_pieces(spark, sf_dir).where("piece = 1").select("vector_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}

@@ -1 +1,10 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL of the queries for training data, where SQL can express them."""
+
+SQL: dict[str, str] = {
+    "p4_found": """
+SELECT DISTINCT v.vector_id FROM (
+  SELECT vector_id, length(content) // 4 AS size,
+         CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.strategy') END AS strategy FROM vector_metadata) v
+LEFT JOIN chunking_config c ON c.strategy = v.strategy
+WHERE v.size > coalesce(c.chunk_size, (SELECT chunk_size FROM chunking_config WHERE strategy = 'sentence'))""",
+}
