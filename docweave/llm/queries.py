@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, splitting, tokenize, unify
+from docweave.llm import mixing, splitting, tokenize, unify, vectors
 from docweave.session import table
 
 
@@ -47,4 +47,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece = 1").select("vector_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks, each among the other's ten nearest, with a cosine of at least 0.9."""
+    index = vectors.MultiprobeIndex(table(spark, sf_dir, "chunk_embeddings"), "chunk_id", "embedding")
+    pairs = vectors.mutual(index.nearest(0.9))
+    return pairs.select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
