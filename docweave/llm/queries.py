@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import mixing, splitting, tokenize, unify, vectors
+from docweave.llm import history, mixing, splitting, tokenize, unify, vectors
 from docweave.session import table
 
 
@@ -54,4 +54,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each ingest batch that repeat an accepted row, exactly by hash or nearly by content."""
+    records = history.same_hash(table(spark, sf_dir, "document_records"), "record_id", "batch_no", "document_id", "content_hash")
+    chunks = history.near_repeats(table(spark, sf_dir, "vector_metadata").select("vector_id", "batch_no", "content"), "vector_id", "batch_no", "content")
+    one = records.select(F.lit("document_records").alias("table_name"), F.col("kept").alias("kept_id"), F.col("repeated").alias("dup_id"))
+    return one.unionByName(chunks.select(F.lit("vector_metadata").alias("table_name"), F.col("kept").alias("kept_id"), F.col("repeated").alias("dup_id")))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
