@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import history, mixing, splitting, tokenize, unify, vectors
+from docweave.llm import history, mixing, scans, splitting, tokenize, unify, vectors
 from docweave.session import table
 
 
@@ -62,4 +62,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(chunks.select(F.lit("vector_metadata").alias("table_name"), F.col("kept").alias("kept_id"), F.col("repeated").alias("dup_id")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of noise in every scanned text."""
+    return scans.ScanNoise(table(spark, sf_dir, "normalisation_results"), "result_id", "text").found()
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without page furniture, with whole words and paragraphs."""
+    return scans.ScanNoise(table(spark, sf_dir, "normalisation_results"), "result_id", "text").repaired()
+
+
+QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
