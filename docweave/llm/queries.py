@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import history, mixing, scans, splitting, tokenize, unify, vectors
+from docweave.llm import history, mixing, scans, splitting, tokenize, truncation, unify, vectors
 from docweave.session import table
 
 
@@ -72,4 +72,14 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.ScanNoise(table(spark, sf_dir, "normalisation_results"), "result_id", "text").repaired()
 
 
-QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncation.Truncation(table(spark, sf_dir, "documents")).found()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.Truncation(table(spark, sf_dir, "documents")).rates()
+
+
+QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
