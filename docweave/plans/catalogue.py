@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import collections_tree, references
+from docweave.plans import collections_tree, references, searching
 
-MODULES = (references, collections_tree)
+MODULES = (references, collections_tree, searching)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p1_found"](spark, sf_dir)
+    return queries()["hybrid_topk"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
