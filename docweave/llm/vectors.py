@@ -25,7 +25,7 @@ WIDTH = 3.0
 TABLES = 6
 PROBES = 20
 #: Of 64 sign bits so many may differ before exact ranking: a pair of cosine 0.9 differs in 9.2 of them on average (deviation 2.8).
-SKETCH_LIMIT = 22
+SKETCH_LIMIT = 20
 
 
 def probe_order(hashes: int, probes: int) -> list[list[int]]:
