@@ -60,7 +60,10 @@ def _heading_key(line: str) -> str:
 
 
 def _alike(a: str, b: str) -> bool:
-    return abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.88
+    if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
+        return False
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return m.quick_ratio() >= 0.88 and m.ratio() >= 0.88
 
 
 def page_marks(lines: list[str]) -> tuple[set[int], set[int]]:
