@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import collections_tree, metadata, references, searching
+from docweave.plans import analytics, collections_tree, metadata, references, searching
 
-MODULES = (references, collections_tree, searching, metadata)
+MODULES = (references, collections_tree, searching, metadata, analytics)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
