@@ -4,8 +4,8 @@ A text's set of word shingles is written as a string: its distinct shingles in o
 and deleting shingles is all that tells two such strings apart, so their edit distance is the size of the sets' symmetric
 difference, and a Jaccard similarity of at least s for sets of a and b shingles is an edit distance of at most
 (1 - s) / (1 + s) x (a + b). A string is cut into a fixed number of segments for its length: its first symbols one by one,
-as many as that distance allows to be lost and one more, and the rest. By the pigeonhole principle strings within the distance
-share one of the single-symbol segments. Segments are stored with the length and position; a batch probes with the
+as many as that distance allows to be lost and a few more, and the rest. By the pigeonhole principle strings within the distance
+share at least those few of the single-symbol segments. Segments are stored with the length and position; a batch probes with the
 substrings of its own strings at the same cut, lengths and positions that the distance rules out are dropped in the join,
 the rest is verified exactly, and the segments of what was accepted are appended.
 """
@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.keys import norm_key
+from docweave.operators.bits import BitFilter
 from docweave.operators.skew import salted_join
 from docweave.session import Scratch
 
 #: Cells of the hashed shingle counts that give the order of symbols: 4 MB, whatever the corpus. Any order gives whole results.
 CELL_BITS = 20
 CHUNKS = 256
+#: Segments that strings within the distance must share: each string has as many more of them, so that none is missed.
+SHARED = 3
 _WORD = re.compile(r"[^\W_]+").findall
 _MOST_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -116,13 +119,13 @@ def least_overlap(a: int, b: int, s: float) -> int:
 
 
 def segments_of(n: np.ndarray, s: float) -> np.ndarray:
-    """The number of single-symbol segments of a string of n symbols: what a partner of similarity s may lack, and one."""
-    return np.where(n > 0, n - np.ceil(s * n - 1e-9).astype(np.int64) + 1, 0)
+    """The number of single-symbol segments of a string of n symbols: what a partner of similarity s may lack, and SHARED."""
+    return np.where(n > 0, np.minimum(n, n - np.ceil(s * n - 1e-9).astype(np.int64) + SHARED), 0)
 
 
 def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndarray, width: int, s: float) -> DataFrame:
-    """(key, batch, class, n, head, body) of every row with a shingle: class names the set of shingles, head has the first
-    segments of its string, body all its symbols in 32 bits for verification."""
+    """(key, batch, class, n, head) of every row with a shingle: class names the set of shingles, head has the first
+    segments of its string."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +134,7 @@ def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndar
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 h, of = shingle_hashes(b.column(2).to_pylist(), width)
-                first = (of << np.int64(32)) | order[_cells(h)].astype(np.int64)
-                sort = np.lexsort((h, first))
-                h, of = h[sort], of[sort]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                h, of = h[new], of[new]
+                h, of = _distinct(h, of, order[_cells(h)])
                 n = np.bincount(of, minlength=b.num_rows)
                 there = np.flatnonzero(n)
                 if not len(there):
@@ -148,9 +146,7 @@ def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndar
                 place = np.arange(len(h)) - np.repeat(starts, sizes)
                 heads = segments_of(sizes, s)
                 head = h[place < np.repeat(heads, sizes)].view(np.int64)
-                body = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 ends = np.concatenate([[0], np.cumsum(heads)]).astype(np.int32)
-                blob = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(there)),
@@ -158,13 +154,51 @@ def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndar
                         pa.array(name.view(np.int64)),
                         pa.array(sizes.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(head)),
-                        pa.BinaryArray.from_buffers(pa.binary(), len(there), [None, pa.py_buffer(blob.tobytes()), pa.py_buffer(body.tobytes())]),
                     ],
-                    names=["key", "batch", "class", "n", "head", "body"],
+                    names=["key", "batch", "class", "n", "head"],
                 )
 
     picked = rows.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(batch).cast("bigint"), F.lit(2**62)).alias("batch"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "key bigint, batch bigint, class bigint, n int, head array<bigint>, body binary")
+    return picked.mapInArrow(run, "key bigint, batch bigint, class bigint, n int, head array<bigint>")
+
+
+def _distinct(h: np.ndarray, of: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, in the given order, then by hash."""
+    sort = np.lexsort((h, of if order is None else (of << np.int64(32)) | order.astype(np.int64)))
+    h, of = h[sort], of[sort]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[new], of[new]
+
+
+def bodies(rows: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
+    """(class, body) of wanted (class, key): all shingles of each text, 32 bits of each, for verification."""
+    keys = BitFilter(wanted, "key")
+    picked = rows.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(keys.maybe("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                h, of = _distinct(*shingle_hashes(b.column(1).to_pylist(), width))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b.num_rows) * 4)]).astype(np.int32)
+                blob = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+                body = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(blob)])
+                yield pa.RecordBatch.from_arrays([b.column(0), body], names=["key", "body"])
+
+    made = picked.mapInArrow(run, "key bigint, body binary")
+    return made.join(wanted.select("class", "key"), "key").groupBy("class").agg(F.min("body").alias("body"))
+
+
+def one_a_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The first row of each class.
+
+    A bit filter of the later copies' keys tells most first rows at once; only the rest is joined.
+    """
+    firsts = classes.select(F.col("at.key").alias("key"))
+    copies = signed.select("key").join(firsts, "key", "left_anti")
+    doubt = BitFilter(copies, "key").maybe("key")
+    return signed.where(~doubt).unionByName(signed.where(doubt).join(firsts, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def stored_segments(classes: DataFrame) -> DataFrame:
@@ -173,15 +207,23 @@ def stored_segments(classes: DataFrame) -> DataFrame:
     return each.select("symbol", "class", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("place"))
 
 
-def probe(new: DataFrame, stored: DataFrame, s: float) -> DataFrame:
-    """(a, b): pairs of classes that share a segment at lengths and positions within the distance; a is of stored."""
+def probe(new: DataFrame, stored: DataFrame, s: float, ordered: bool = False) -> DataFrame:
+    """(a, b): pairs of classes that share enough segments at lengths and positions within the distance; a is of stored.
+
+    By the pigeonhole principle that is SHARED of them, or all that must be shared where that is fewer. ordered: only a < b.
+    """
     x = stored.select("symbol", F.col("class").alias("a"), F.col("place").alias("pa"))
     y = new.select("symbol", F.col("class").alias("b"), F.col("place").alias("pb"))
     size_a, size_b = F.shiftright("pa", 32), F.shiftright("pb", 32)
     left_a, left_b = size_a - F.col("pa").bitwiseAND(F.lit(0xFFFFFFFF)), size_b - F.col("pb").bitwiseAND(F.lit(0xFFFFFFFF))
     fits = (size_a >= size_b * s - 1e-9) & (size_b >= size_a * s - 1e-9)
-    reach = F.least(left_a, left_b) >= (size_a + size_b) * (s / (1 + s)) - 1e-9
-    return x.join(y, "symbol").where((F.col("a") != F.col("b")) & fits & reach).select("a", "b")
+    needed = (size_a + size_b) * (s / (1 + s)) - 1e-9
+    # before the first SHARED shared symbols there are fewer than SHARED others
+    reach = F.least(left_a, left_b) >= needed - (SHARED - 1)
+    apart = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
+    met = x.join(y, "symbol").where(apart & fits & reach)
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least(F.lit(float(SHARED)), F.ceil(needed))).alias("least"))
+    return shared.where(F.col("n") >= F.col("least")).select("a", "b")
 
 
 def verify(pairs: DataFrame, bodies: DataFrame, s: float) -> DataFrame:
@@ -247,8 +289,11 @@ def near_repeats(rows: DataFrame, key: str, batch: str, text: str, width: int =
     counts = symbol_counts(rows, text, width)
     signed = scratch.write("signed", signatures(rows, key, batch, text, counts, width, s))
     classes = first_rows(signed)
-    segments = stored_segments(signed).distinct()
-    links = scratch.write("links", linked(probe(segments, segments, s).where("a < b").distinct(), signed, classes, s))
+    # one exchange by symbol serves both sides of the join
+    segments = stored_segments(one_a_class(signed, classes)).repartition("symbol")
+    pairs = scratch.write("pairs", probe(segments, segments, s, ordered=True))
+    links = scratch.write("links", linked(pairs, classes, rows, key, text, width, s))
+    scratch.drop("pairs")
     return repeats(signed, classes, links, settle(links, scratch))
 
 
@@ -257,12 +302,11 @@ def first_rows(signed: DataFrame) -> DataFrame:
     return signed.groupBy("class").agg(F.min(F.struct("batch", "key")).alias("at"))
 
 
-def linked(pairs: DataFrame, signed: DataFrame, classes: DataFrame, s: float) -> DataFrame:
+def linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, key: str, text: str, width: int, s: float) -> DataFrame:
     """(a, at_a, b, at_b): the verified pairs, a being the earlier class, with their first rows."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     firsts = classes.join(needed, "class", "left_semi").select("class", "at")
-    bodies = signed.select("class", "body", F.struct("batch", "key").alias("at")).join(firsts, ["class", "at"], "left_semi").dropDuplicates(["class"])
-    true = verify(pairs, bodies.select("class", "body"), s)
+    true = verify(pairs, bodies(rows, key, text, firsts.select("class", "at.key"), width), s)
     true = true.join(firsts.select(F.col("class").alias("a"), F.col("at").alias("at_a")), "a").join(firsts.select(F.col("class").alias("b"), F.col("at").alias("at_b")), "b")
     late = F.col("at_a") > F.col("at_b")
     ends = [F.when(late, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("at_a", "at_b"), ("b", "a"), ("at_b", "at_a"))]
@@ -306,15 +350,16 @@ class Accepted:
             self.counts = symbol_counts(rows, text, self.width)
         signed = scratch.write("signed", signatures(rows, key, batch, text, self.counts, self.width, self.s))
         classes = first_rows(signed)
-        segments = stored_segments(signed).distinct()
-        links = linked(probe(segments, segments, self.s).where("a < b").distinct(), signed, classes, self.s)
+        segments = stored_segments(one_a_class(signed, classes)).repartition("symbol")
+        pairs = scratch.write("pairs", probe(segments, segments, self.s, ordered=True))
+        links = linked(pairs, classes, rows, key, text, self.width, self.s)
         old = self._stored("rows")
         if old is not None:
-            met = probe(segments, self._stored("segments"), self.s).distinct()
+            met = scratch.write("met", probe(segments, self._stored("segments"), self.s))
             same = classes.join(old.select("class"), "class", "left_semi")
             needed_old = old.join(met.select(F.col("a").alias("class")).distinct(), "class", "left_semi")
-            needed_new = signed.join(met.select(F.col("b").alias("class")).distinct(), "class", "left_semi").dropDuplicates(["class"])
-            true = verify(met, needed_old.select("class", "body").unionByName(needed_new.select("class", "body")), self.s)
+            needed_new = classes.join(met.select(F.col("b").alias("class")).distinct(), "class", "left_semi").select("class", "at.key")
+            true = verify(met, needed_old.select("class", "body").unionByName(bodies(rows, key, text, needed_new, self.width)).dropDuplicates(["class"]), self.s)
             at = old.select(F.col("class").alias("a"), F.struct("batch", "key").alias("at_a"))
             old_links = true.join(at, "a").join(classes.select(F.col("class").alias("b"), F.col("at").alias("at_b")), "b")
             # a set of shingles that history has already repeats it: a link under a name of its own, as both are one class
@@ -324,7 +369,8 @@ class Accepted:
         state = settle(links, scratch)
         found = scratch.write("found", repeats(signed, classes, links, state))
         kept = signed.join(found.select(F.col("repeated").alias("key")), "key", "left_anti").dropDuplicates(["class"])
-        kept.select("class", "n", "batch", "key", "body").write.mode("append").parquet(f"{self.folder}/rows")
+        full = kept.join(bodies(rows, key, text, kept.select("class", "key"), self.width), "class")
+        full.select("class", "n", "batch", "key", "body").write.mode("append").parquet(f"{self.folder}/rows")
         stored_segments(kept).sortWithinPartitions("symbol").write.mode("append").parquet(f"{self.folder}/segments")
         self.batches += 1
         return found
