@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.session import Scratch
+
 # Unicode's Default_Ignorable_Code_Point ranges.
 IGNORABLE = "00AD 034F 061C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
 
@@ -67,6 +69,7 @@ _HIDDEN = _IGNORED | _HIDE
 _SHOW = {v: k for k, v in _HIDE.items()}
 _SPACE = re.compile(r"[\s\u0085\u180e\u2800]+")
 _PLAIN = re.compile(r"[!-~]+(?: [!-~]+)*")
+_SPECIAL = frozenset(map(chr, _TABLE))
 
 
 def unify(text: str | None, casefold: bool = False, map_signs: bool = True) -> str | None:
@@ -78,7 +81,9 @@ def unify(text: str | None, casefold: bool = False, map_signs: bool = True) -> s
     """
     if text is None:
         return None
-    if not _PLAIN.fullmatch(text):
+    if text.isascii() or (unicodedata.is_normalized("NFKC", text) and _SPECIAL.isdisjoint(text)):
+        text = text if _PLAIN.fullmatch(text) else _SPACE.sub(" ", text).strip()
+    else:
         # decomposed first, so that an accent on a look-alike letter of another script composes with its Latin form
         text = unicodedata.normalize("NFKD", text.translate(_HIDDEN))
         text = unicodedata.normalize("NFKC", text.translate(_TABLE if map_signs else _LETTERS)).translate(_SHOW)
@@ -99,18 +104,20 @@ def unify_column(text: str | Column, casefold: bool = False, map_signs: bool = T
     return one_form(F.col(text) if isinstance(text, str) else text)
 
 
-def look_alike_pairs(rows: DataFrame, key: str, text: str, rows_per_part: int = 1000) -> DataFrame:
+def look_alike_pairs(rows: DataFrame, key: str, text: str, rows_per_part: int = 1000, scratch: Scratch | None = None) -> DataFrame:
     """(key_a, key_b, key_a < key_b): pairs of rows whose texts differ but have the same form.
 
     Null and blank texts take no part; a key that was delivered twice counts once, with its smallest text.
-    Forms are compared through a 64-bit hash with the form itself checked after it. Classes of more than
+    Forms are compared through 192 bits of hashes. Classes of more than
     rows_per_part rows are split: their left sides are salted and right sides repeated, so each pair still comes once.
     The pairs of a class are the result itself here; of texts without a second spelling nothing is joined.
     """
     base = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length(F.btrim("t")) > 0)
     base = base.groupBy("k").agg(F.min("t").alias("t"))
-    forms = base.select("k", F.xxhash64("t").alias("own"), unify_column("t").alias("form")).where(F.col("form") != "")
-    forms = forms.select("k", "own", F.xxhash64("form").alias("h"), F.sha2("form", 256).alias("f"))
+    forms = base.select("k", F.xxhash64("t").alias("own"), unify_column("t").alias("form"))
+    forms = forms.where(F.col("form") != "").select("k", "own", F.xxhash64("form").alias("h"), F.md5("form").alias("f"))
+    # three joins read the forms, so they are written once: 56 bytes a row
+    forms = (scratch or Scratch(rows.sparkSession, "forms")).write("forms", forms)
     # only classes with two different texts have pairs
     classes = forms.groupBy("h", "f").agg(F.count("*").alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi")
     left = forms.join(classes.select("h", "f", "n"), ["h", "f"])
