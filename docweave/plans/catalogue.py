@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import analytics, collections_tree, metadata, references, searching, texts
+from docweave.plans import analytics, collections_tree, metadata, references, searching, streams, texts
 
-MODULES = (references, collections_tree, searching, metadata, analytics, texts)
+MODULES = (references, collections_tree, searching, metadata, analytics, texts, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
