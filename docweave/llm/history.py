@@ -123,9 +123,9 @@ def segments_of(n: np.ndarray, s: float) -> np.ndarray:
     return np.where(n > 0, np.minimum(n, n - np.ceil(s * n - 1e-9).astype(np.int64) + SHARED), 0)
 
 
-def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndarray, width: int, s: float) -> DataFrame:
+def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndarray, width: int, s: float, heads: bool = False) -> DataFrame:
     """(key, batch, class, n, head) of every row with a shingle: class names the set of shingles, head has the first
-    segments of its string."""
+    segments of its string, or is null without heads."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,16 +144,16 @@ def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndar
                 with np.errstate(over="ignore"):
                     name = _mixed(np.add.reduceat(_mixed(h + _M3), starts) + sizes.astype(np.uint64) * _M2)
                 place = np.arange(len(h)) - np.repeat(starts, sizes)
-                heads = segments_of(sizes, s)
-                head = h[place < np.repeat(heads, sizes)].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(heads)]).astype(np.int32)
+                first = segments_of(sizes, s)
+                head = h[place < np.repeat(first, sizes)].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(there)),
                         b.column(1).take(pa.array(there)),
                         pa.array(name.view(np.int64)),
                         pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(head)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(head)) if heads else pa.nulls(len(there), pa.list_(pa.int64())),
                     ],
                     names=["key", "batch", "class", "n", "head"],
                 )
@@ -190,15 +190,18 @@ def bodies(rows: DataFrame, key: str, text: str, wanted: DataFrame, width: int)
     return made.join(wanted.select("class", "key"), "key").groupBy("class").agg(F.min("body").alias("body"))
 
 
-def one_a_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """The first row of each class.
+def one_a_class(rows: DataFrame, key: str, batch: str, text: str, signed: DataFrame, classes: DataFrame, counts: np.ndarray, width: int, s: float) -> DataFrame:
+    """The signature with its head of the first row of each class.
 
-    A bit filter of the later copies' keys tells most first rows at once; only the rest is joined.
+    A bit filter of the later copies' keys tells most first rows before their text is read; only the rest is joined.
     """
     firsts = classes.select(F.col("at.key").alias("key"))
     copies = signed.select("key").join(firsts, "key", "left_anti")
-    doubt = BitFilter(copies, "key").maybe("key")
-    return signed.where(~doubt).unionByName(signed.where(doubt).join(firsts, "key", "left_semi").dropDuplicates(["key"]))
+    doubt = BitFilter(copies, "key").maybe("__key")
+    named = rows.withColumn("__key", F.col(key).cast("bigint"))
+    sure = signatures(named.where(~doubt), "__key", batch, text, counts, width, s, heads=True)
+    other = signatures(named.where(doubt), "__key", batch, text, counts, width, s, heads=True)
+    return sure.unionByName(other.join(firsts, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def stored_segments(classes: DataFrame) -> DataFrame:
@@ -287,10 +290,10 @@ def near_repeats(rows: DataFrame, key: str, batch: str, text: str, width: int =
     """
     scratch = scratch or Scratch(rows.sparkSession, "history")
     counts = symbol_counts(rows, text, width)
-    signed = scratch.write("signed", signatures(rows, key, batch, text, counts, width, s))
+    signed = scratch.write("signed", signatures(rows, key, batch, text, counts, width, s).drop("head"))
     classes = first_rows(signed)
     # one exchange by symbol serves both sides of the join
-    segments = stored_segments(one_a_class(signed, classes)).repartition("symbol")
+    segments = stored_segments(one_a_class(rows, key, batch, text, signed, classes, counts, width, s)).repartition("symbol")
     pairs = scratch.write("pairs", probe(segments, segments, s, ordered=True))
     links = scratch.write("links", linked(pairs, classes, rows, key, text, width, s))
     scratch.drop("pairs")
@@ -348,9 +351,9 @@ class Accepted:
         scratch = Scratch(self.spark, "batch")
         if self.counts is None:
             self.counts = symbol_counts(rows, text, self.width)
-        signed = scratch.write("signed", signatures(rows, key, batch, text, self.counts, self.width, self.s))
+        signed = scratch.write("signed", signatures(rows, key, batch, text, self.counts, self.width, self.s).drop("head"))
         classes = first_rows(signed)
-        segments = stored_segments(one_a_class(signed, classes)).repartition("symbol")
+        segments = stored_segments(one_a_class(rows, key, batch, text, signed, classes, self.counts, self.width, self.s)).repartition("symbol")
         pairs = scratch.write("pairs", probe(segments, segments, self.s, ordered=True))
         links = linked(pairs, classes, rows, key, text, self.width, self.s)
         old = self._stored("rows")
@@ -362,13 +365,16 @@ class Accepted:
             true = verify(met, needed_old.select("class", "body").unionByName(bodies(rows, key, text, needed_new, self.width)).dropDuplicates(["class"]), self.s)
             at = old.select(F.col("class").alias("a"), F.struct("batch", "key").alias("at_a"))
             old_links = true.join(at, "a").join(classes.select(F.col("class").alias("b"), F.col("at").alias("at_b")), "b")
-            # a set of shingles that history has already repeats it: a link under a name of its own, as both are one class
-            own = same.join(at, same["class"] == at["a"]).select((-F.col("a") - 1).alias("a"), "at_a", F.col("class").alias("b"), F.col("at").alias("at_b"))
-            links = links.unionByName(old_links.select("a", "at_a", "b", "at_b")).unionByName(own)
+            # history's classes go by names of their own here, as the batch may have the same set of shingles again
+            own = same.join(at, same["class"] == at["a"]).select("a", "at_a", F.col("class").alias("b"), F.col("at").alias("at_b"))
+            past = old_links.select("a", "at_a", "b", "at_b").unionByName(own).withColumn("a", F.bitwise_not("a"))
+            links = links.unionByName(past)
         links = scratch.write("links", links)
         state = settle(links, scratch)
         found = scratch.write("found", repeats(signed, classes, links, state))
         kept = signed.join(found.select(F.col("repeated").alias("key")), "key", "left_anti").dropDuplicates(["class"])
+        heads = one_a_class(rows, key, batch, text, signed, classes, self.counts, self.width, self.s).select("class", "head").dropDuplicates(["class"])
+        kept = kept.join(heads, "class")
         full = kept.join(bodies(rows, key, text, kept.select("class", "key"), self.width), "class")
         full.select("class", "n", "batch", "key", "body").write.mode("append").parquet(f"{self.folder}/rows")
         stored_segments(kept).sortWithinPartitions("symbol").write.mode("append").parquet(f"{self.folder}/segments")
