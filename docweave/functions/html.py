@@ -14,7 +14,7 @@ from docweave.functions.text import count_matches
 
 _SKIP = {"script", "style", "noscript", "template", "svg"}
 _FURNITURE = {"nav", "footer", "header", "aside"}
-_BLOCK = {"p", "div", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "section", "article", "main", "pre", "blockquote"}
+_BLOCK = {"p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "section", "article", "main", "pre", "blockquote"}
 
 
 def title(html: str) -> Column:

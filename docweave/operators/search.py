@@ -80,7 +80,8 @@ def cosine(v: str, query: list[float]) -> Column:
 def knn_cosine(vectors: DataFrame, key: str, vector: str, query: list[float], k: int, unclamped: bool = False) -> DataFrame:
     """(id, score, rank): the k nearest by cosine. score is 1 - d / 2 within [0, 1] for the cosine distance d, or 1 - d if unclamped."""
     c = cosine(vector, query)
-    score = c if unclamped else F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (1 - c) / 2))
+    # greatest and least pass over nulls, so vectors without a cosine are left out first
+    score = c if unclamped else F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (1 - c) / 2)))
     scored = vectors.select(F.col(key).alias("id"), F.round(score, 6).alias("score")).where(F.col("score").isNotNull())
     return top(scored, k)
 

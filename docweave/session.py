@@ -65,7 +65,7 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name)) if not partition_by else self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
