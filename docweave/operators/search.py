@@ -7,8 +7,10 @@ query touches the postings of its terms only, which prunes the scan to their row
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,8 +27,8 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return toks.select("id", "len", F.explode("__t").alias("term")).groupBy("term", "id", "len").agg(F.count("*").alias("tf")).select("term", "id", "tf", "len")
 
 
-def _equals(word: str) -> Callable[[Column], Column]:
-    return lambda x: x == F.lit(word)
+def _occurrences(part: str) -> Column:
+    return (F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(part), F.lit("")))) / len(part)
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], only: DataFrame | None = None) -> DataFrame:
@@ -37,10 +39,12 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], only: DataFrame
     the query that repeat count once. Texts are read once: lengths and term counts come from one pass.
     """
     terms = sorted(set(query))
-    toks = tokens(text)
-    counted = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), toks.alias("__t"))
-    tf = [F.size(F.filter("__t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(terms)]
-    counted = counted.select("id", F.size("__t").alias("len"), *tf)
+    # tokens parted by two blanks, so that each is found with its own blanks around it: string functions instead of arrays
+    spaced = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", "  ")), F.lit(" "))
+    counted = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), spaced.alias("__s"))
+    size = F.when(F.length("__s") > 2, _occurrences("  ") + 1).otherwise(F.lit(0)).cast("int").alias("len")
+    tf = [_occurrences(f" {q} ").cast("int").alias(f"tf{i}") for i, q in enumerate(terms)]
+    counted = counted.select("id", size, *tf)
     # one row of statistics
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
@@ -94,35 +98,37 @@ def knn_l2(vectors: DataFrame, key: str, vector: str, query: list[float], k: int
     return top(scored, k)
 
 
-def knn_batch(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, dim: int, block: int = 512) -> DataFrame:
+def knn_batch(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, dim: int, block: int = 2048, parts: int = 16) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of each query vector by cosine, the query itself aside.
 
     Blocks of vectors meet blocks of queries; each pair of blocks is one matrix product that keeps k rows a query, and
-    the partial results are merged by a window. Queries are a stated set; block is the number of vectors in a block.
+    the partial results are merged by a window. Queries are a stated set; a block has so many ids of
+    vectors, and the queries are in so many parts.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    parts = 8
     fine = lambda df: df.where((F.size(vector) == dim) & F.exists(vector, lambda x: x != 0)).select(F.col(key).cast("bigint").alias("id"), _doubles(F.col(vector)).alias("v"))
     left = fine(queries).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(parts)))
     packed_q = left.groupBy("qb").agg(F.collect_list(F.struct("id", "v")).alias("q"))
 
-    def run(batches):
+    def unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        return rows.field(0).to_numpy(zero_copy_only=False), rows.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for vs, qs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                m = np.array([x["v"] for x in vs])
-                ids = np.array([x["id"] for x in vs])
-                q = np.array([x["v"] for x in qs])
-                s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 6)
-                for i, row in enumerate(qs):
-                    order = [j for j in np.lexsort((ids, -s[i])) if ids[j] != row["id"]][:k]
-                    out += [(row["id"], int(ids[j]), float(s[i][j])) for j in order]
+            out: list[tuple[int, int, float]] = []
+            for i in range(b.num_rows):
+                (ids, m), (names, q) = (unpack(b.column(c).slice(i, 1).flatten()) for c in (0, 1))
+                near = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, 6)
+                near[names[:, None] == ids[None, :]] = -2
+                for name, row in zip(names.tolist(), near):
+                    # all that reach the k-th best, so that ties are settled by id
+                    least = np.partition(row, -k)[-k] if len(row) > k else -1.5
+                    at = np.flatnonzero(row >= max(least, -1.5))
+                    at = at[np.lexsort((ids[at], -row[at]))][:k]
+                    out += zip([name] * len(at), ids[at].tolist(), row[at].tolist())
             a, c, d = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "score"])
 
-    right = fine(vectors).withColumn("vb", F.floor(F.col("id") / block))
+    right = fine(vectors).withColumn("vb", F.floor(F.col("id") / block))  # ids are dense, so blocks are even
     packed_v = right.groupBy("vb").agg(F.collect_list(F.struct("id", "v")).alias("m"))
     met = packed_v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed_q, "qb")
     partial = met.select("m", "q").mapInArrow(run, "query_id bigint, id bigint, score double")
