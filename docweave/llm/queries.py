@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import history, mixing, scans, splitting, tokenize, truncation, unify, vectors
+from docweave.operators import search
 from docweave.session import table
 
 
@@ -82,4 +83,12 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.Truncation(table(spark, sf_dir, "documents")).rates()
 
 
-QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+def p3_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten nearest, exactly: queries are the chunks whose vector_id is divisible by 20, against all chunks, in blocks."""
+    names = table(spark, sf_dir, "vector_metadata").select("vector_id", "chunk_id").distinct()
+    rows = table(spark, sf_dir, "chunk_embeddings").where(vectors.usable("embedding", 64)).groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
+    named = rows.join(names, "chunk_id").select("vector_id", "embedding")
+    return search.knn_batch(named.where("vector_id % 20 = 0"), named, "vector_id", "embedding", 10, 64).select("query_id", "id", "score", "rank")
+
+
+QUERIES = {"p3_ten": p3_ten, "p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}

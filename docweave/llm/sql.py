@@ -7,4 +7,9 @@ SELECT DISTINCT v.vector_id FROM (
          CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.strategy') END AS strategy FROM vector_metadata) v
 LEFT JOIN chunking_config c ON c.strategy = v.strategy
 WHERE v.size > coalesce(c.chunk_size, (SELECT chunk_size FROM chunking_config WHERE strategy = 'sentence'))""",
+    "p3_ten": """
+WITH v AS (SELECT vector_id, e.embedding::DOUBLE[] AS x FROM (SELECT chunk_id, min(embedding) AS embedding FROM chunk_embeddings WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda z: abs(z)), 'sum') > 0 GROUP BY 1) e
+  JOIN (SELECT DISTINCT vector_id, chunk_id FROM vector_metadata) USING (chunk_id)),
+p AS (SELECT q.vector_id AS query_id, v.vector_id AS id, round(list_cosine_similarity(q.x, v.x), 6) AS score FROM v q, v WHERE q.vector_id % 20 = 0 AND q.vector_id <> v.vector_id)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10""",
 }
