@@ -22,7 +22,7 @@ from docweave.operators.skew import salted_join
 from docweave.session import Scratch
 
 # Shapes that text recognition confuses, as printed and as read.
-CONFUSIONS = "e:c c:e s:5 o:0 i:l l:1 i:1 d:cl u:ii m:rn rn:m h:li g:q b:h h:b in:m w:vv ti:h fi:ii b:6 b:8 g:9 z:2 cl:d li:h"
+CONFUSIONS = "nn:mn fl:ll e:c c:e s:5 o:0 i:l l:1 i:1 d:cl u:ii m:rn rn:m h:li g:q b:h h:b in:m w:vv ti:h fi:ii b:6 b:8 g:9 z:2 cl:d li:h"
 SHAPES = [tuple(x.split(":")) for x in CONFUSIONS.split()]
 #: Digits that stand for letters inside a word.
 DIGITS = {"0": "o", "1": "l", "5": "s"}
