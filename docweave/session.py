@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +26,25 @@ def build(app: str = "docweave", master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: their Python need not have it on its path."""
+    context = spark.sparkContext
+    if getattr(context, "_docweave_sent", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="docweave-package-")) / "docweave.zip"  # read by the driver's own file server
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._docweave_sent = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Time stamps without zone are UTC here, so casts need a UTC session."""
+    """Time stamps without zone are UTC here, so casts need a UTC session; and executors need this package."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
@@ -53,7 +70,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.base = f"{shared_folder(spark)}/docweave-{label}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
