@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -134,3 +135,60 @@ def page_column(html: str | Column) -> Column:
             yield pd.DataFrame(done, columns=["text", "headings", "tables"])
 
     return read(F.col(html) if isinstance(html, str) else html)
+
+
+# Keys under which pages keep their text, and marks of saved pages.
+TEXT_KEYS = ("articleBody", "description", "text", "content", "body")
+SAVED_MARKS = ("Page saved with", "saved from url", "archive.org", "data-savepage")
+
+
+def linked_data(page: str | None) -> list[dict]:
+    """The objects of a page's JSON-LD scripts, graphs opened; scripts that are no JSON give nothing."""
+    out: list[dict] = []
+    for m in re.finditer(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>", page or ""):
+        try:
+            data = json.loads(m[1])
+        except ValueError:
+            continue
+        for x in data if isinstance(data, list) else [data]:
+            if isinstance(x, dict):
+                out += [g for g in x["@graph"] if isinstance(g, dict)] if isinstance(x.get("@graph"), list) else [x]
+    return out
+
+
+def article(page: str | None) -> dict | None:
+    """The linked-data object that tells of an article, else the first, else null."""
+    found = linked_data(page)
+    kinds = ("Article", "NewsArticle", "BlogPosting", "WebPage")
+    return next((x for x in found if any(k in kinds for k in ([x.get("@type")] if isinstance(x.get("@type"), str) else x.get("@type") or []))), found[0] if found else None)
+
+
+def texts_in(data: object, longest_path: int = 10, shortest: int = 100) -> list[str]:
+    """Long texts under the text keys of nested data, in order, to a depth."""
+    if longest_path < 0:
+        return []
+    if isinstance(data, dict):
+        own = [v for k, v in data.items() if k in TEXT_KEYS and isinstance(v, str) and len(v) > shortest]
+        return own + [t for v in data.values() if not isinstance(v, str) for t in texts_in(v, longest_path - 1, shortest)]
+    if isinstance(data, list):
+        return [t for v in data for t in texts_in(v, longest_path - 1, shortest)]
+    return []
+
+
+def outline(headings: list[dict]) -> str:
+    """Headings indented by level."""
+    return "\n".join("  " * (h["level"] - 1) + h["title"] for h in headings)
+
+
+def is_saved_page(html: str) -> Column:
+    """Whether a page bears a mark of a saving tool in its first 10 000 characters."""
+    head = F.substring(html, 1, 10_000)
+    out = F.lit(False)
+    for mark in SAVED_MARKS:
+        out = out | F.contains(head, F.lit(mark))
+    return out
+
+
+def saved_from(html: str) -> Column:
+    """The address that a saved page was taken from; empty where it does not say."""
+    return F.regexp_extract(F.substring(html, 1, 10_000), r"(?i)saved from url=\(\d+\)(\S+)|url:\s*(https?://\S+)", 1)
