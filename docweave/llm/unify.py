@@ -107,15 +107,14 @@ def unify_column(text: str | Column, casefold: bool = False, map_signs: bool = T
 def look_alike_pairs(rows: DataFrame, key: str, text: str, rows_per_part: int = 1000, scratch: Scratch | None = None) -> DataFrame:
     """(key_a, key_b, key_a < key_b): pairs of rows whose texts differ but have the same form.
 
-    Null and blank texts take no part; a key that was delivered twice counts once, with its smallest text.
-    Forms are compared through 192 bits of hashes. Classes of more than
+    Null and blank texts take no part; a row that was delivered twice counts once. Forms are compared through 192 bits of hashes. Classes of more than
     rows_per_part rows are split: their left sides are salted and right sides repeated, so each pair still comes once.
     The pairs of a class are the result itself here; of texts without a second spelling nothing is joined.
     """
     base = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length(F.btrim("t")) > 0)
-    base = base.groupBy("k").agg(F.min("t").alias("t"))
+    # texts stay where they are: only hashes of a text and of its form are moved
     forms = base.select("k", F.xxhash64("t").alias("own"), unify_column("t").alias("form"))
-    forms = forms.where(F.col("form") != "").select("k", "own", F.xxhash64("form").alias("h"), F.md5("form").alias("f"))
+    forms = forms.where(F.col("form") != "").select("k", "own", F.xxhash64("form").alias("h"), F.md5("form").alias("f")).distinct()
     # three joins read the forms, so they are written once: 56 bytes a row
     forms = (scratch or Scratch(rows.sparkSession, "forms")).write("forms", forms)
     # only classes with two different texts have pairs
