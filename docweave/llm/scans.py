@@ -173,8 +173,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class ScanNoise:
     """rows (key, text): the noise in every text, and the repaired texts.
 
-    Null, blank and one-line texts have no noise; a key delivered twice counts once, with its smallest text. The vocabulary
-    is counted over all texts. An empty table gives no rows.
+    Null, blank and one-line texts have no noise; rows of one key count as one, with the noise of them all, and are repaired as
+    the smallest of their texts. The vocabulary is counted over all rows. An empty table gives no rows.
     """
 
     def __init__(self, rows: DataFrame, key: str, text: str, scratch: Scratch | None = None):
@@ -243,7 +243,7 @@ class ScanNoise:
                     names=["key", "page_number", "header", "breaks", "suspects"],
                 )
 
-        lined = self.rows.where(F.col("text").rlike("[\\n\\r\\f]")).groupBy("key").agg(F.min("text").alias("text"))
+        lined = self.rows.where(F.col("text").rlike("[\\n\\r\\f]"))
         shape = f"key {kind}, page_number boolean, header boolean, breaks array<struct<first:string,mark:string,second:string>>, suspects array<string>"
         return lined.mapInArrow(run, shape)
 
@@ -274,7 +274,7 @@ class ScanNoise:
         for keys, noise in kinds:
             one = keys.select(F.col("key").alias(self.key), F.lit(noise).alias("noise"))
             out = one if out is None else out.unionByName(one)
-        return out
+        return out.distinct()
 
     def repaired(self) -> DataFrame:
         """(key, text): paragraphs without headers and page numbers, words whole and misread ones put right.
