@@ -71,9 +71,8 @@ def contract(edges: DataFrame, scratch: Scratch, with_paths: bool) -> tuple[Data
     turn = 0
     while True:
         done = scratch.write(f"r{turn}", _round(active, turn), ["step"])
-        steps = {r[0] for r in done.groupBy("step").count().collect()}  # at most three values
         active = done.where(F.col("step") == ACTIVE).select("id", "parent", "hops", "seg")
-        if not steps & {RAKED, COMPRESSED}:
+        if not any(scratch.has(f"r{turn}", f"step={step}") for step in (RAKED, COMPRESSED)):
             return active, turn
         turn += 1
 
@@ -100,6 +99,8 @@ def cycle_members(nodes: DataFrame, id_col: str, parent_col: str, scratch: Scrat
         return found.select(F.col("loop").alias("cycle_id"), "id")
     # backwards: a node left a chain from above its only child; it is on a circle if that child is
     for turn in range(rounds - 1, -1, -1):
+        if not scratch.has(f"r{turn}", f"step={COMPRESSED}"):
+            continue
         records = nodes.sparkSession.read.parquet(scratch.path(f"r{turn}")).where(F.col("step") == COMPRESSED).select(F.col("id").alias("__id"), "child")
         more = records.join(found, records["child"] == found["id"]).select("loop", F.col("__id").alias("id"))
         found = scratch.write(f"c{turn}", found.unionByName(more).coalesce(8))

@@ -84,6 +84,11 @@ class Scratch:
         writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def has(self, name: str, part: str) -> bool:
+        """Whether a table written with partition_by has rows in a part such as step=raked; a look at the folder, no job."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{part}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
