@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.functions.keys import norm_key
 
@@ -43,7 +44,7 @@ def collection_members(rows: DataFrame, collections: DataFrame) -> DataFrame:
     All patterns of include_all must be met, one of include_any if there are any, none of exclude. collections: (id,
     include_all, include_any, exclude). Each list is exploded and joined through the patterns' tags, so the work is that
     of the matches and not of collections times documents. A collection that includes by no tag holds every document but
-    the excluded ones; it does not come out here (collection_sizes counts it).
+    the excluded ones; these have a form of their own, see all_but and exclusions.
     """
     ids = F.col("id").alias("collection")
     need = collections.select(ids, F.size(F.array_distinct(F.coalesce("include_all", F.array()))).alias("n_all"), F.size(F.coalesce("include_any", F.array())).alias("n_any"))
@@ -59,6 +60,51 @@ def collection_members(rows: DataFrame, collections: DataFrame) -> DataFrame:
     return met.join(need, "collection").where(ok).select("collection", "doc")
 
 
+def all_but(collections: DataFrame) -> DataFrame:
+    """The collections that include by no tag: each holds every document but those that its exclude patterns fit."""
+    return collections.where((F.size(F.coalesce("include_all", F.array())) == 0) & (F.size(F.coalesce("include_any", F.array())) == 0))
+
+
+def exclusions(rows: DataFrame, collections: DataFrame) -> DataFrame:
+    """(collection, doc): the documents that are not in a collection which includes by no tag; the work is that of the matches."""
+    terms = all_but(collections).select(F.col("id").alias("collection"), F.explode(F.array_distinct(F.coalesce("exclude", F.array()))).alias("pattern"))
+    return terms.join(pattern_matches(rows, terms), "pattern").join(rows, "tag").select("collection", "doc").distinct()
+
+
+def collection_sizes(rows: DataFrame, collections: DataFrame, documents: DataFrame) -> DataFrame:
+    """(collection, members) for every collection. documents: (doc), once each, all that rows names among them."""
+    named = collection_members(rows, collections).groupBy("collection").agg(F.count("*").alias("members"))
+    out = exclusions(rows, collections).groupBy("collection").agg(F.count("*").alias("out"))
+    total = documents.agg(F.count("*").alias("total"))
+    rest = all_but(collections).select(F.col("id").alias("collection")).join(F.broadcast(total)).join(out, "collection", "left")  # a single row
+    rest = rest.select("collection", (F.col("total") - F.coalesce("out", F.lit(0))).alias("members"))
+    ids = collections.select(F.col("id").alias("collection"))
+    return ids.join(named.unionByName(rest), "collection", "left").select("collection", F.coalesce("members", F.lit(0).cast("bigint")).alias("members"))
+
+
+def collections_for_doc(rows: DataFrame, collections: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc, collections, first_collection) for every document that is in a collection; documents as in collection_sizes.
+
+    Collections that include by no tag are counted as all of them less those that exclude the document. The first of these
+    is the smallest id or, if that excludes the document, the smallest of the ids that follow one that excludes it and do
+    not exclude it themselves.
+    """
+    named = collection_members(rows, collections).groupBy("doc").agg(F.count("*").alias("n"), F.min("collection").alias("first_named"))
+    ids, out = all_but(collections).select(F.col("id").alias("collection")), exclusions(rows, collections)
+    whole = ids.agg(F.count("*").alias("total"), F.min("collection").alias("smallest"))
+    # Ids are put in order only up to the first that excludes no document.
+    free = ids.join(out, "collection", "left_anti").agg(F.min("collection").alias("free"))
+    near = ids.join(F.broadcast(free)).where("free IS NULL OR collection <= free").select("collection")
+    following = near.select("collection", F.lead("collection").over(Window.partitionBy(F.lit(1)).orderBy("collection")).alias("next"))
+    taken = out.select(F.col("collection").alias("next"), "doc", F.lit(True).alias("taken"))
+    after = out.join(following, "collection").join(taken, ["next", "doc"], "left").where("taken IS NULL").groupBy("doc").agg(F.min("next").alias("after"))
+    less = out.join(F.broadcast(whole)).groupBy("doc").agg(F.count("*").alias("out"), F.max(F.col("collection") == F.col("smallest")).alias("hit"))
+    j = documents.join(F.broadcast(whole)).join(less, "doc", "left").join(after, "doc", "left").join(named, "doc", "left")
+    first = F.when(F.coalesce("hit", F.lit(False)), F.col("after")).otherwise(F.col("smallest"))
+    count = F.coalesce("n", F.lit(0)) + F.col("total") - F.coalesce("out", F.lit(0))
+    return j.select("doc", count.alias("collections"), F.least("first_named", first).alias("first_collection")).where("collections > 0")
+
+
 def namespaced(tag: str | Column) -> tuple[Column, Column]:
     """Namespace and value of a tag; a tag without a slash has no namespace."""
     t = F.col(tag) if isinstance(tag, str) else tag

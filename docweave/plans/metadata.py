@@ -112,18 +112,29 @@ def collections(spark: SparkSession, d: str) -> DataFrame:
     return newest.select("id", "r.*")
 
 
+def tagged_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(doc): every document, once: those with a record, and those that have a tag without one, as all tag queries take them."""
+    recorded = table(spark, d, "document_records").select(norm_key("document_id").alias("doc")).where("doc IS NOT NULL")
+    return recorded.unionByName(tags(spark, d).select("doc")).distinct()
+
+
 def collection_members(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.collection_members(tags(spark, d), collections(spark, d))
+    """(collection, doc). A row with a null doc stands for every document but those of collection_exclusions: these collections include by no tag."""
+    rest = tagging.all_but(collections(spark, d)).select(F.col("id").alias("collection"), F.lit(None).cast("string").alias("doc"))
+    return tagging.collection_members(tags(spark, d), collections(spark, d)).unionByName(rest)
+
+
+def collection_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    """(collection, doc): the documents left out of the collections that include by no tag."""
+    return tagging.exclusions(tags(spark, d), collections(spark, d))
 
 
 def collection_sizes(spark: SparkSession, d: str) -> DataFrame:
-    m = tagging.collection_members(tags(spark, d), collections(spark, d)).groupBy("collection").agg(F.count("*").alias("members"))
-    named = collections(spark, d).where("coalesce(size(include_all), 0) > 0 OR coalesce(size(include_any), 0) > 0").select(F.col("id").alias("collection"))
-    return named.join(m, "collection", "left").select("collection", F.coalesce("members", F.lit(0).cast("bigint")).alias("members"))
+    return tagging.collection_sizes(tags(spark, d), collections(spark, d), tagged_documents(spark, d))
 
 
 def collections_for_doc(spark: SparkSession, d: str) -> DataFrame:
-    return tagging.collection_members(tags(spark, d), collections(spark, d)).groupBy("doc").agg(F.count("*").alias("collections"), F.min("collection").alias("first_collection"))
+    return tagging.collections_for_doc(tags(spark, d), collections(spark, d), tagged_documents(spark, d))
 
 
 def collection_children(spark: SparkSession, d: str) -> DataFrame:
@@ -244,6 +255,7 @@ QUERIES = {
     "tag_find_by_source": find_by_source,
     "tag_rename": tag_rename,
     "collection_members": collection_members,
+    "collection_exclusions": collection_exclusions,
     "collection_sizes": collection_sizes,
     "collections_for_doc": collections_for_doc,
     "collection_children": collection_children,
