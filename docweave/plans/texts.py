@@ -60,6 +60,38 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("doc_type").agg(F.count("*").alias("documents"), F.round(F.avg("overall"), 5).alias("mean"), *band)
 
 
+def _extractions(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "document_records").select(norm_key("document_id").alias("document"), "record_id", norm_key("file_type").alias("file_type"), "file_size").where("document IS NOT NULL")
+    r = r.groupBy("document").agg(F.max_by(F.struct("file_type", "file_size"), "record_id").alias("r")).select("document", "r.*")
+    v = table(spark, d, "vector_metadata").select(norm_key("document_id").alias("document"), "vector_id", "content").where("document IS NOT NULL AND content IS NOT NULL").dropDuplicates(["vector_id"])
+    v = v.groupBy("document").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vector_id", "content"))), lambda x: x["content"]), "\n\n").alias("text"))
+    kind = F.col("file_type")
+    scores = {
+        "completeness": quality.extraction_completeness("text", F.col("file_size"), kind),
+        "characters": quality.extraction_characters("text"),
+        "structure": quality.extraction_structure("text", kind),
+        "images": quality.extraction_images("text", kind),
+        "tables": quality.extraction_tables("text", kind),
+    }
+    j = r.join(v, "document", "left").select("document", "file_type", *[F.when(F.col("text").isNotNull(), c).alias(n) for n, c in scores.items()])
+    overall = quality.extraction_overall(*[F.col(n) for n in scores])
+    return j.withColumn("overall", overall)
+
+
+def extraction_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The quality of each stored document, from its latest record and the texts of its chunks in order, worst first. Scores are null without chunks, the overall one without a file size too."""
+    return _extractions(spark, d).orderBy(F.asc_nulls_last("overall"), "document")
+
+
+def extraction_report(spark: SparkSession, d: str, threshold: float = 0.7) -> DataFrame:
+    """Counts and means of extraction_scores: a row for each file type and, with is_total, one for all. Documents without an overall score are errors and in no band."""
+    q = _extractions(spark, d)
+    o = F.col("overall")
+    bands = {"excellent": o >= 0.9, "good": (o >= 0.7) & (o < 0.9), "fair": (o >= 0.5) & (o < 0.7), "poor": o < 0.5, "low": o < threshold}
+    means = [F.round(F.avg(n), 4).alias(n) for n in ("overall", *quality.WEIGHTS)]
+    return q.rollup("file_type").agg((F.grouping("file_type") == 1).alias("is_total"), F.count("*").alias("documents"), F.count_if(o.isNull()).alias("errors"), *means, *[F.count_if(c).alias(n) for n, c in bands.items()])
+
+
 def pii_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", *[quality.pii_count("text", k).alias(k) for k in quality.PII])
 
@@ -175,6 +207,8 @@ QUERIES = {
     "token_sizes": sizes,
     "quality_scores": quality_scores,
     "quality_report": quality_report,
+    "extraction_scores": extraction_scores,
+    "extraction_report": extraction_report,
     "pii_counts": pii_counts,
     "pii_report": pii_report,
     "pii_redact": pii_redact,
