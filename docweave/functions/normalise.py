@@ -1,4 +1,4 @@
-"""Repair of extracted text that needs a vocabulary: spaced letters, joined words, recognition errors, main content.
+"""Repair of extracted text that needs a vocabulary: spaced letters, joined words, ligatures, broken lines, main content.
 
 Each function takes a set of known words in lower case; pass the words of a corpus or a word list read from a file.
 """
@@ -85,7 +85,7 @@ def main_content(text: str, shortest: int = 40) -> str:
 
 
 def classify_block(text: str) -> str:
-    """navigation, list, table, code, heading, caption, boilerplate, short or content."""
+    """list, table, code, heading, caption, boilerplate, short or content."""
     s = text.strip()
     if not s:
         return "short"
