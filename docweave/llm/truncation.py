@@ -48,6 +48,8 @@ _GOES_ON = re.compile(r"(?:^|\s)(" + "|".join(re.escape(x) for x in NUMBER_GOES_
 COMPLETE, CUT, OPEN = "complete", "cut", "open"
 #: Cuts for each complete text among texts whose last line looks whole without being a sentence.
 WHOLE_LINE_ODDS = 1 / 30
+#: A length is examined as a limit if its texts number so many deviations (Poisson) above what is expected, by the fit and by the lengths at most NEAR away.
+DEVIATIONS, NEAR = 6, 25
 LONE, LINE = "lone", "line"
 
 
@@ -224,7 +226,7 @@ class Truncation:
     def _limits(self) -> DataFrame:
         """(source, size, censored): lengths at which texts of a source were cut, with the posterior that one of them was."""
         sizes = self.ends.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
-        # candidates: the longest length of a source, and lengths that many texts share
+        # candidates: the longest length of a source, and lengths that many texts share, or far more than the fit and the lengths near them let expect
         per_source = Window.partitionBy("source")
         sums = sizes.groupBy("source").agg(
             F.sum("n").alias("all"),
@@ -232,7 +234,13 @@ class Truncation:
             F.sum(F.col("n") * F.log("size")).alias("logs"),
             F.sum(F.col("n") * F.log("size") ** 2).alias("squares"),
         )
-        spikes = sizes.join(sums, "source").where((F.col("n") >= 3) & ((F.col("size") == F.col("longest")) | (F.col("n") >= F.greatest(F.lit(8), 0.02 * F.col("all")))))
+        near = F.sum("n").over(Window.partitionBy("source").orderBy("size").rangeBetween(-NEAR, NEAR)) - F.col("n")
+        mean = F.col("logs") / F.col("all")
+        spread = F.greatest(F.sqrt(F.greatest(F.col("squares") / F.col("all") - mean**2, F.lit(0.0))), F.lit(1e-3))
+        fitted = F.col("all") * F.exp(-0.5 * ((F.log("size") - mean) / spread) ** 2) / (math.sqrt(2 * math.pi) * spread * F.col("size"))
+        expected = F.greatest(F.col("near") / (2 * NEAR), fitted)
+        far_more = (F.col("n") >= 8) & (F.col("n") > expected + DEVIATIONS * F.sqrt(expected))
+        spikes = sizes.withColumn("near", near).join(sums, "source").where((F.col("n") >= 3) & ((F.col("size") == F.col("longest")) | (F.col("n") >= F.greatest(F.lit(8), 0.02 * F.col("all"))) | far_more)).drop("near")
         spikes = spikes.withColumn("at", F.sum("n").over(per_source)).withColumn("at_logs", F.sum(F.col("n") * F.log("size")).over(per_source)).withColumn("at_squares", F.sum(F.col("n") * F.log("size") ** 2).over(per_source))
 
         @F.pandas_udf("double")
