@@ -34,11 +34,10 @@ def best_title(html: str) -> Column:
 
 
 def complexity(html: str) -> Column:
-    """simple, moderate or complex, from counts in the first 50 000 characters (the tier's own definition)."""
-    head = F.substring(html, 1, 50_000)
-    articles = count_matches(head, "(?i)<(article|main)[ >]")
-    frames = count_matches(head, "(?i)<iframe[ >]")
-    extras = count_matches(head, "(?i)<(nav|aside)[ >]")
+    """simple, moderate or complex, from counts in the whole page."""
+    articles = count_matches(html, "(?i)<(article|main)[ >]")
+    frames = count_matches(html, "(?i)<iframe[ >]")
+    extras = count_matches(html, "(?i)<(nav|aside)[ >]")
     return F.when((articles > 0) & (extras + frames <= 1), "simple").when((extras > 4) | (frames > 2), "complex").otherwise("moderate")
 
 
