@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 PIECES = "array<struct<piece:int,start:int,stop:int,core:int,content:string,boundary:string>>"
 INSIDE, WORD, CLAUSE, SENTENCE, PARAGRAPH = range(5)
 NAMES = ("inside", "word", "clause", "sentence", "paragraph")
+MOST_SETTINGS = 1000
 _ATOM = re.compile(r"\s*\S+\s*|\s+")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _CLAUSE_END = re.compile(r"[,;:]$")
@@ -108,9 +109,13 @@ def split_column(text: Column, chunk_size: Column, overlap: Column) -> Column:
 def with_limits(rows: DataFrame, config: DataFrame, metadata: str = "metadata", default: str = "sentence") -> DataFrame:
     """rows with chunk_size and overlap of the strategy named in their metadata; the default's where it names none that is listed.
 
-    config is a table of settings with one row a strategy; its rows become expressions of the plan.
+    config is a table of settings with one row a strategy; its rows become expressions of the plan, so more than
+    MOST_SETTINGS are an error.
     """
-    settings = {r["strategy"]: (r["chunk_size"], r["overlap"]) for r in config.limit(1000).collect()}
+    listed = config.limit(MOST_SETTINGS + 1).collect()
+    if len(listed) > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} settings")
+    settings = {r["strategy"]: (r["chunk_size"], r["overlap"]) for r in listed}
     named = F.try_variant_get(F.try_parse_json(F.col(metadata)), "$.strategy", "string")
     size, over = (F.lit(settings.get(default, (None, None))[i]).cast("int") for i in (0, 1))
     for strategy, (a, b) in settings.items():
