@@ -1,13 +1,13 @@
 """New batches against all history: exact and near duplicates through a segment index for edit distance.
 
-A text's set of word shingles is written as a string: its distinct shingles in one global order, rare ones first. Inserting
-and deleting shingles is all that tells two such strings apart, so their edit distance is the size of the sets' symmetric
-difference, and a Jaccard similarity of at least s for sets of a and b shingles is an edit distance of at most
-(1 - s) / (1 + s) x (a + b). A string is cut into a fixed number of segments for its length: its first symbols one by one,
-as many as that distance allows to be lost and a few more, and the rest. By the pigeonhole principle strings within the distance
-share at least those few of the single-symbol segments. Segments are stored with the length and position; a batch probes with the
-substrings of its own strings at the same cut, lengths and positions that the distance rules out are dropped in the join,
-the rest is verified exactly, and the segments of what was accepted are appended.
+A text's set of word shingles is written as a string: its distinct shingles as symbols in one global order, that of their
+hashes. Inserting and deleting symbols is all that tells two such strings apart, so their edit distance is the size of the
+sets' symmetric difference, and a Jaccard similarity of at least s for a and b symbols is an edit distance of at most
+(1 - s) / (1 + s) x (a + b). A stored string of n symbols is cut into a number of segments that n fixes: more of them than
+edits any partner may be away, each of the same few symbols, with its position. One edit spoils at most one segment, so
+some segments stand unspoilt in every partner. A new string probes with its own substrings of the segments' lengths; the
+join drops what length and position put out of reach, counts the unspoilt segments, and the edit distance of what is left is
+verified against its bound. The segments of accepted strings are appended to the folder.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.keys import norm_key
@@ -27,12 +27,19 @@ from docweave.operators.bits import BitFilter
 from docweave.operators.skew import salted_join
 from docweave.session import Scratch
 
-#: Cells of the hashed shingle counts that give the order of symbols: 4 MB, whatever the corpus. Any order gives whole results.
-CELL_BITS = 20
-CHUNKS = 256
-#: Segments that strings within the distance must share: each string has as many more of them, so that none is missed.
-SHARED = 3
-_WORD = re.compile(r"[^\W_]+").findall
+#: Segments a string has beyond the edits of its farthest partner, where it is long enough.
+SPARE = 3
+#: Bits of a shingle's hash that are kept; the others hold the text's number while a batch is sorted.
+HASH_BITS = 54
+#: Rows of a batch that are hashed together; their numbers fit the other bits.
+TOGETHER = 1000
+#: Cells that note which segments occur in several strings: at most 2^26, 8 MB. Fewer cells drop less before the shuffle, never too much.
+MOST_CELL_BITS = 26
+CHUNKS = 64
+#: Links up to this number are settled in one task, 32 bytes each; more of them in rounds.
+ONE_TASK = 2_000_000
+NO_BATCH = 2**62
+_TOKENS = re.compile(r"[^\W_]+|\x00").findall
 _MOST_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -48,6 +55,7 @@ class _Words(dict):
 
 
 _words = _Words()
+_BREAK = np.uint64(xxhash.xxh3_64_intdigest("\x00"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,331 +64,476 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every shingle of width consecutive words, repeats included."""
-    flat: list[int] = []
-    sizes = np.zeros(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            w = _WORD(t.lower())
-            if len(w) >= width:
-                flat += [_words[x] for x in w]
-                sizes[i] = len(w)
-    words = np.array(flat, dtype=np.uint64)
+def strings(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, sizes): the distinct shingles of each of at most TOGETHER texts in ascending order, one text after another."""
+    whole = "\x00".join([t.replace("\x00", " ") if t else "" for t in texts]).lower()
+    found = _TOKENS(whole)
+    words = np.fromiter(map(_words.__getitem__, found), dtype=np.uint64, count=len(found))
+    breaks = words == _BREAK
+    of = np.cumsum(breaks)
     n = max(0, len(words) - width + 1)
-    of = np.repeat(np.arange(len(texts)), sizes)
-    fits = of[:n] == of[width - 1 :] if n else np.zeros(0, dtype=bool)
+    fits = ~breaks[:n] & (of[:n] == of[width - 1 :]) if n else np.zeros(0, dtype=bool)
     h = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
             h = (h ^ words[k : k + n]) * _M1 + _M2
             h ^= h >> np.uint64(29)
         h = _mixed(h)
-    return h[fits], of[:n][fits]
+    keyed = (of[:n][fits].astype(np.uint64) << np.uint64(HASH_BITS)) | (h[fits] >> np.uint64(64 - HASH_BITS))
+    keyed.sort()
+    new = np.ones(len(keyed), dtype=bool)
+    new[1:] = keyed[1:] != keyed[:-1]
+    keyed = keyed[new]
+    sizes = np.bincount((keyed >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(texts))
+    return keyed & np.uint64((1 << HASH_BITS) - 1), sizes
 
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, dtype=np.int64)
 
 
-def symbol_counts(rows: DataFrame, text: str, width: int) -> np.ndarray:
-    """How often the shingles of each cell occur in all of rows: 2^CELL_BITS counts, summed by chunks on the executors."""
-    cells = (1 << CELL_BITS) // CHUNKS
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        for b in batches:
-            h, _ = shingle_hashes(b.column(0).to_pylist(), width)
-            total += np.bincount(_cells(h), minlength=1 << CELL_BITS)
-        total = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(CHUNKS, cells)
-        for at in range(0, CHUNKS, 32):
-            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + 32), pa.int32()), pa.array([x.tobytes() for x in total[at : at + 32]])], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums.setdefault(chunk, np.zeros(cells, dtype=np.int64))
-                sums[chunk] += np.frombuffer(counts, dtype=np.int32)
-        out = [(k, np.minimum(v, 2**31 - 1).astype(np.int32).tobytes()) for k, v in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["chunk", "counts"])
-
-    kind = "chunk int, counts binary"
-    parts = rows.select(text).mapInArrow(count, kind).repartition(16, "chunk").mapInArrow(add, kind).collect()  # CHUNKS rows
-    total = np.zeros((CHUNKS, cells), dtype=np.int32)
-    for chunk, counts in parts:
-        total[chunk] = np.frombuffer(counts, dtype=np.int32)
-    return total.reshape(-1)
-
-
-def least_overlap(a: int, b: int, s: float) -> int:
-    """The shared shingles that sets of a and b shingles need for a similarity of s."""
-    return math.ceil(s / (1 + s) * (a + b) - 1e-9)
-
-
-def segments_of(n: np.ndarray, s: float) -> np.ndarray:
-    """The number of single-symbol segments of a string of n symbols: what a partner of similarity s may lack, and SHARED."""
-    return np.where(n > 0, np.minimum(n, n - np.ceil(s * n - 1e-9).astype(np.int64) + SHARED), 0)
 
+def signed_rows(rows: DataFrame, key: str, batch: str, text: str, width: int) -> DataFrame:
+    """(key, batch, h1, h2, n, body) of every row with a shingle, from one pass over the texts.
 
-def signatures(rows: DataFrame, key: str, batch: str, text: str, counts: np.ndarray, width: int, s: float, heads: bool = False) -> DataFrame:
-    """(key, batch, class, n, head) of every row with a shingle: class names the set of shingles, head has the first
-    segments of its string, or is null without heads."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)  # 4 MB
+    body is the string, 8 bytes a symbol; h1 and h2 name it by 128 bits; a null batch is the last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                h, of = shingle_hashes(b.column(2).to_pylist(), width)
-                h, of = _distinct(h, of, order[_cells(h)])
-                n = np.bincount(of, minlength=b.num_rows)
-                there = np.flatnonzero(n)
+            for at in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(at, TOGETHER)
+                h, sizes = strings(b.column(2).to_pylist(), width)
+                there = np.flatnonzero(sizes)
                 if not len(there):
                     continue
-                sizes = n[there]
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                n = sizes[there]
+                starts = _starts(n)
                 with np.errstate(over="ignore"):
-                    name = _mixed(np.add.reduceat(_mixed(h + _M3), starts) + sizes.astype(np.uint64) * _M2)
-                place = np.arange(len(h)) - np.repeat(starts, sizes)
-                first = segments_of(sizes, s)
-                head = h[place < np.repeat(first, sizes)].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
+                    names = [_mixed(np.add.reduceat(_mixed(h + salt), starts) + n.astype(np.uint64) * _M2).view(np.int64) for salt in (_M1, _M3)]
+                taken = pa.array(there)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array(there)),
-                        b.column(1).take(pa.array(there)),
-                        pa.array(name.view(np.int64)),
-                        pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(head)) if heads else pa.nulls(len(there), pa.list_(pa.int64())),
-                    ],
-                    names=["key", "batch", "class", "n", "head"],
+                    [b.column(0).take(taken), b.column(1).take(taken), pa.array(names[0]), pa.array(names[1]), pa.array(n.astype(np.int32)), _binary(h, n)],
+                    names=["key", "batch", "h1", "h2", "n", "body"],
                 )
 
-    picked = rows.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(batch).cast("bigint"), F.lit(2**62)).alias("batch"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "key bigint, batch bigint, class bigint, n int, head array<bigint>")
+    picked = rows.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(batch).cast("bigint"), F.lit(NO_BATCH)).alias("batch"), F.col(text).alias("text"))
+    return picked.where("key IS NOT NULL").mapInArrow(run, "key bigint, batch bigint, h1 bigint, h2 bigint, n int, body binary")
 
 
-def _distinct(h: np.ndarray, of: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, in the given order, then by hash."""
-    sort = np.lexsort((h, of if order is None else (of << np.int64(32)) | order.astype(np.int64)))
-    h, of = h[sort], of[sort]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    return h[new], of[new]
+# ---- the cut of a string, by its length
 
 
-def bodies(rows: DataFrame, key: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, body) of wanted (class, key): all shingles of each text, 32 bits of each, for verification."""
-    keys = BitFilter(wanted, "key")
-    picked = rows.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(keys.maybe("key"))
+def most_edits(a: np.ndarray, b: np.ndarray, s: float) -> np.ndarray:
+    """The edit distance that strings of a and b symbols of similarity s may have."""
+    return np.floor((1 - s) / (1 + s) * (a + b) + 1e-9).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                h, of = _distinct(*shingle_hashes(b.column(1).to_pylist(), width))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b.num_rows) * 4)]).astype(np.int32)
-                blob = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-                body = pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(blob)])
-                yield pa.RecordBatch.from_arrays([b.column(0), body], names=["key", "body"])
 
-    made = picked.mapInArrow(run, "key bigint, body binary")
-    return made.join(wanted.select("class", "key"), "key").groupBy("class").agg(F.min("body").alias("body"))
+def segment_size(n: np.ndarray, s: float) -> np.ndarray:
+    """Symbols of each segment of a string of n symbols: as many as leave more segments than edits to the farthest partner."""
+    far = most_edits(n, np.floor(n / s + 1e-9), s)
+    return np.maximum(1, n // (far + 1))
 
 
-def one_a_class(rows: DataFrame, key: str, batch: str, text: str, signed: DataFrame, classes: DataFrame, counts: np.ndarray, width: int, s: float) -> DataFrame:
-    """The signature with its head of the first row of each class.
+def segment_count(n: np.ndarray, s: float) -> np.ndarray:
+    """Segments of a string of n symbols."""
+    far = most_edits(n, np.floor(n / s + 1e-9), s)
+    return np.minimum(n // segment_size(n, s), far + SPARE)
+
+
+def probe_sizes(sizes: np.ndarray, s: float) -> dict[int, np.ndarray]:
+    """For each size of segments, which of the given lengths have partners cut that way."""
+    if not len(sizes):
+        return {}
+    low = np.maximum(1, np.ceil(sizes * s - 1e-9)).astype(np.int64)
+    high = np.floor(sizes / s + 1e-9).astype(np.int64)
+    cut = segment_size(np.arange(0, high.max() + 1), s)
+    out = {}
+    for m in np.unique(cut[low.min() :]):
+        upto = np.concatenate([[0], np.cumsum(cut == m)])
+        out[int(m)] = upto[high + 1] - upto[low] > 0
+    return out
 
-    A bit filter of the later copies' keys tells most first rows before their text is read; only the rest is joined.
-    """
-    firsts = classes.select(F.col("at.key").alias("key"))
-    copies = signed.select("key").join(firsts, "key", "left_anti")
-    doubt = BitFilter(copies, "key").maybe("__key")
-    named = rows.withColumn("__key", F.col(key).cast("bigint"))
-    sure = signatures(named.where(~doubt), "__key", batch, text, counts, width, s, heads=True)
-    other = signatures(named.where(doubt), "__key", batch, text, counts, width, s, heads=True)
-    return sure.unionByName(other.join(firsts, "key", "left_semi").dropDuplicates(["key"]))
 
+def substrings(h: np.ndarray, sizes: np.ndarray, s: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(segment, text, position, stored) of all substrings that can meet a segment; stored marks the text's own segments."""
+    starts = _starts(sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(h)) - np.repeat(starts, sizes)
+    own_size, own_count = segment_size(sizes, s), segment_count(sizes, s)
+    for m, wanted in probe_sizes(sizes, s).items():
+        n = len(h) - m + 1
+        if n <= 0:
+            continue
+        with np.errstate(over="ignore"):
+            x = np.full(n, np.uint64(m) * _M3)
+            for k in range(m):
+                x = (x ^ h[k : k + n]) * _M1 + _M2
+                x ^= x >> np.uint64(32)
+            x = _mixed(x)
+        o, p = of[:n], place[:n]
+        mine = own_size[o] == m
+        stored = mine & (p % m == 0) & (p // m < own_count[o])
+        keep = (p + m <= sizes[o]) & (wanted[o] | stored)
+        yield x[keep], o[keep], p[keep], stored[keep]
 
-def stored_segments(classes: DataFrame) -> DataFrame:
-    """(symbol, class, place): one row a segment; place holds the length of the string and the position in it."""
-    each = classes.select("class", "n", F.posexplode("head").alias("pos", "symbol"))
-    return each.select("symbol", "class", (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("place"))
 
+def _bodies_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=np.uint64), np.array([len(v) // 8 for v in values], dtype=np.int64)
 
-def probe(new: DataFrame, stored: DataFrame, s: float, ordered: bool = False) -> DataFrame:
-    """(a, b): pairs of classes that share enough segments at lengths and positions within the distance; a is of stored.
 
-    By the pigeonhole principle that is SHARED of them, or all that must be shared where that is fewer. ordered: only a < b.
+def _parts(whole: pa.RecordBatch, rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    for at in range(0, whole.num_rows, rows):
+        yield whole.slice(at, rows)
+
+
+# ---- which segments several strings have
+
+
+def cell_bits(symbols: int) -> int:
+    """Four cells for each symbol, within the bound."""
+    return min(MOST_CELL_BITS, max(16, math.ceil(math.log2(max(symbols, 1) * 4))))
+
+
+def several(classes: DataFrame, s: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(once, twice): one bit a cell, set where a substring of any string, or substrings of several, fall."""
+    size = (1 << bits) // 8
+    part = size // CHUNKS
+
+    def emit(once: np.ndarray, twice: np.ndarray, chunks: list[int]) -> pa.RecordBatch:
+        a, b = (pa.array([x[k].tobytes() for k in chunks], pa.binary()) for x in (once, twice))
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), a, b], names=["chunk", "once", "twice"])
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(size, dtype=np.uint8), np.zeros(size, dtype=np.uint8)
+        for whole in batches:
+            for b in _parts(whole):
+                for seg, *_ in substrings(*_bodies_of(b.column(0)), s):
+                    at = np.sort((seg >> np.uint64(64 - bits)).astype(np.int64))
+                    same = at[1:][at[1:] == at[:-1]]
+                    bit = (1 << (at & 7)).astype(np.uint8)
+                    seen = (once[at >> 3] & bit) != 0
+                    for cells in (at[seen], same):
+                        np.bitwise_or.at(twice, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
+                    np.bitwise_or.at(once, at >> 3, bit)
+        if once.any():
+            yield emit(once.reshape(CHUNKS, part), twice.reshape(CHUNKS, part), list(range(CHUNKS)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for chunk, one, two in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = np.frombuffer(one, dtype=np.uint8), np.frombuffer(two, dtype=np.uint8)
+                if chunk in done:
+                    had = done[chunk]
+                    had[1] |= y | (had[0] & x)
+                    had[0] |= x
+                else:
+                    done[chunk] = [x.copy(), y.copy()]
+        chunks = sorted(done)
+        if chunks:
+            yield emit({k: done[k][0] for k in chunks}, {k: done[k][1] for k in chunks}, chunks)
+
+    kind = "chunk int, once binary, twice binary"
+    rows = classes.select("body").mapInArrow(note, kind).repartition(8, "chunk").mapInArrow(merge, kind).collect()  # CHUNKS rows of one fixed size
+    once, twice = np.zeros((CHUNKS, part), dtype=np.uint8), np.zeros((CHUNKS, part), dtype=np.uint8)
+    for chunk, one, two in rows:
+        once[chunk], twice[chunk] = np.frombuffer(one, dtype=np.uint8), np.frombuffer(two, dtype=np.uint8)
+    return once.reshape(-1), twice.reshape(-1)
+
+
+def postings(classes: DataFrame, s: float, wanted: np.ndarray | None, bits: int = 0, only_stored: bool = False) -> DataFrame:
+    """(segment, class, n, pos, stored): one row a substring, of the wanted cells only where these are given."""
+    shared = None if wanted is None else classes.sparkSession.sparkContext.broadcast(wanted)  # 2^bits / 8 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _parts(whole):
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                h, sizes = _bodies_of(b.column(1))
+                for seg, of, pos, stored in substrings(h, sizes, s):
+                    keep = stored if only_stored else np.ones(len(seg), dtype=bool)
+                    if shared is not None:
+                        at = (seg >> np.uint64(64 - bits)).astype(np.int64)
+                        keep = keep & ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                    of = of[keep]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(seg[keep].view(np.int64)), pa.array(ids[of]), pa.array(sizes[of].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(stored[keep])],
+                        names=["segment", "class", "n", "pos", "stored"],
+                    )
+
+    return classes.select("class", "body").mapInArrow(run, "segment bigint, class bigint, n int, pos int, stored boolean")
+
+
+def candidates(stored: DataFrame, probes: DataFrame, s: float) -> DataFrame:
+    """(a, b): stored strings a and probing strings b with as many equal segments as their distance leaves unspoilt.
+
+    stored has a column old: segments of history meet every probe, those of the batch itself only classes after their own.
     """
-    x = stored.select("symbol", F.col("class").alias("a"), F.col("place").alias("pa"))
-    y = new.select("symbol", F.col("class").alias("b"), F.col("place").alias("pb"))
-    size_a, size_b = F.shiftright("pa", 32), F.shiftright("pb", 32)
-    left_a, left_b = size_a - F.col("pa").bitwiseAND(F.lit(0xFFFFFFFF)), size_b - F.col("pb").bitwiseAND(F.lit(0xFFFFFFFF))
-    fits = (size_a >= size_b * s - 1e-9) & (size_b >= size_a * s - 1e-9)
-    needed = (size_a + size_b) * (s / (1 + s)) - 1e-9
-    # before the first SHARED shared symbols there are fewer than SHARED others
-    reach = F.least(left_a, left_b) >= needed - (SHARED - 1)
-    apart = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
-    met = x.join(y, "symbol").where(apart & fits & reach)
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least(F.lit(float(SHARED)), F.ceil(needed))).alias("least"))
-    return shared.where(F.col("n") >= F.col("least")).select("a", "b")
+    x = stored.select("segment", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "old")
+    y = probes.select("segment", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    edits = F.floor((F.col("na") + F.col("nb")) * F.lit((1 - s) / (1 + s)) + 1e-9)
+    shift = F.abs(F.col("pa") - F.col("pb")) + F.abs((F.col("na") - F.col("pa")) - (F.col("nb") - F.col("pb")))
+    near = (F.col("na") >= F.col("nb") * s - 1e-9) & (F.col("nb") >= F.col("na") * s - 1e-9) & (shift <= edits)
+    met = x.join(y, "segment").where(((F.col("a") < F.col("b")) | (F.col("old") & (F.col("a") != F.col("b")))) & near)
+    far = F.floor((F.col("na") + F.floor(F.col("na") / s + 1e-9)) * F.lit((1 - s) / (1 + s)) + 1e-9)
+    size = F.greatest(F.lit(1), F.floor(F.col("na") / (far + 1)))
+    count = F.least(F.floor(F.col("na") / size), far + SPARE)
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(count - edits).alias("least"))
+    return shared.where(F.col("shared") >= F.col("least")).select("a", "b")
 
 
 def verify(pairs: DataFrame, bodies: DataFrame, s: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least s."""
-    one = bodies.select(F.col("class").alias("a"), F.col("body").alias("body_a"))
-    two = bodies.select(F.col("class").alias("b"), F.col("body").alias("body_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b")
+    """(a, batch_a, b, batch_b): the pairs whose edit distance is within the bound of their lengths, the earlier one as a."""
+    one, two = (bodies.select(F.col("class").alias(x), F.col("batch").alias(f"batch_{x}"), F.col("body").alias(f"body_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "batch_a", "b", "batch_b", "body_a", "body_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for b in _parts(whole, 500):
                 n = b.num_rows
-                sides = []
-                sizes = []
-                for c in (2, 3):
-                    values = b.column(c).to_pylist()
-                    size = np.array([len(v) // 4 for v in values])
-                    sides.append((np.repeat(np.arange(n), size).astype(np.uint64) << np.uint64(32)) | np.frombuffer(b"".join(values), dtype=np.uint32))
+                sides, sizes = [], []
+                for c in (4, 5):
+                    h, size = _bodies_of(b.column(c))
+                    sides.append((np.repeat(np.arange(n), size).astype(np.uint64) << np.uint64(HASH_BITS)) | h)
                     sizes.append(size)
-                merged = np.sort(np.concatenate([np.unique(x) for x in sides]))
-                twice = merged[1:][merged[1:] == merged[:-1]] >> np.uint64(32)
-                shared = np.bincount(twice.astype(np.int64), minlength=n)
-                keep = shared >= s * (sizes[0] + sizes[1] - shared) - 1e-9
-                yield b.select(["a", "b"]).filter(pa.array(keep))
+                merged = np.sort(np.concatenate(sides))
+                twice = merged[1:][merged[1:] == merged[:-1]] >> np.uint64(HASH_BITS)
+                kept = np.bincount(twice.astype(np.int64), minlength=n)
+                distance = sizes[0] + sizes[1] - 2 * kept
+                yield b.select(["a", "batch_a", "b", "batch_b"]).filter(pa.array(distance <= most_edits(sizes[0], sizes[1], s)))
+
+    true = both.mapInArrow(run, "a bigint, batch_a bigint, b bigint, batch_b bigint")
+    late = F.struct("batch_a", "a") > F.struct("batch_b", "b")
+    return true.select(*[F.when(late, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("batch_a", "batch_b"), ("b", "a"), ("batch_b", "batch_a"))])
+
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+# ---- which strings are accepted
 
 
-UNKNOWN, ACCEPTED, REPEATED = 0, 1, 2
+def _settle_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in batches if b.num_rows]
+    links = np.concatenate(read) if read else np.zeros((0, 4), dtype=np.int64)
+    links = links[np.lexsort((links[:, 2], links[:, 3]))]  # by the later class
+    repeated: set[int] = set()
+    for a, _, b, _ in links.tolist():
+        if a not in repeated:
+            repeated.add(b)
+    out = list(repeated)
+    yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["class"])
 
 
-def settle(links: DataFrame, scratch: Scratch, label: str = "settle") -> DataFrame:
-    """(class, state) of all classes of links (a, b), a before b: ACCEPTED, or REPEATED if an accepted one comes before.
+def settle(links: DataFrame, scratch: Scratch, label: str = "settle", one_task: int = ONE_TASK) -> DataFrame:
+    """(class): the later classes of links (a, batch_a, b, batch_b) that are repeats: an accepted class comes before them.
 
-    Each round decides every class whose earlier neighbours are decided, so there are as many rounds as the longest
-    chain of links from early to late.
+    A class is accepted unless it is linked to an accepted one before it. Up to one_task links are gone through in order by
+    one task; more of them in rounds, each of which decides every class whose earlier neighbours are decided, so that there
+    are as many rounds as the longest chain of links.
     """
-    classes = links.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.lit(False).alias("later")), F.struct(F.col("b").alias("class"), F.lit(True).alias("later")))).alias("x"))
-    begin = classes.groupBy("x.class").agg(F.when(F.max("x.later"), UNKNOWN).otherwise(ACCEPTED).alias("state"))
-    state, turn = scratch.write(f"{label}0", begin), 0
-    while not state.where(F.col("state") == UNKNOWN).isEmpty():
-        open_b = state.where(F.col("state") == UNKNOWN).select(F.col("class").alias("b"))
-        seen = links.join(open_b, "b", "left_semi").join(state.select(F.col("class").alias("a"), F.col("state").alias("of_a")), "a")
-        verdict = seen.groupBy(F.col("b").alias("class")).agg(F.max(F.col("of_a") == ACCEPTED).alias("hit"), F.max(F.col("of_a") == UNKNOWN).alias("wait"))
+    if links.count() <= one_task:
+        return scratch.write(label, links.select("a", "batch_a", "b", "batch_b").coalesce(1).mapInArrow(_settle_here, "class bigint"))
+    # a class is open while an earlier neighbour is; rows are (class, repeated), null while open
+    later = links.select(F.col("b").alias("class")).distinct()
+    state, turn = scratch.write(f"{label}0", later.select("class", F.lit(None).cast("boolean").alias("repeated"))), 0
+    while not state.where("repeated IS NULL").isEmpty():
+        open_b = state.where("repeated IS NULL").select(F.col("class").alias("b"))
+        known = state.select(F.col("class").alias("a"), F.col("repeated"), F.lit(True).alias("__later"))
+        # a class that is never later is accepted from the beginning
+        of_a = F.when(F.col("__later").isNull(), F.lit(False)).otherwise(F.col("repeated"))
+        seen = links.join(open_b, "b", "left_semi").join(known, "a", "left").select(F.col("b").alias("class"), of_a.alias("of_a"))
+        verdict = seen.groupBy("class").agg(F.max(F.coalesce(~F.col("of_a"), F.lit(False))).alias("hit"), F.max(F.col("of_a").isNull()).alias("wait"))
         turn += 1
-        decided = F.when(F.col("hit"), REPEATED).when(~F.col("wait"), ACCEPTED).otherwise(F.col("state"))
-        state = scratch.write(f"{label}{turn}", state.join(verdict, "class", "left").select("class", F.coalesce(decided, "state").alias("state")))
+        decided = F.coalesce("repeated", F.when(F.col("hit"), F.lit(True)).when(~F.col("wait"), F.lit(False)))
+        state = scratch.write(f"{label}{turn}", state.join(verdict, "class", "left").select("class", decided.alias("repeated")))
         if turn > 1:
             scratch.drop(f"{label}{turn - 2}")
-    return state
+    return state.where("repeated").select("class")
 
 
-def near_repeats(rows: DataFrame, key: str, batch: str, text: str, width: int = 3, s: float = 0.7, scratch: Scratch | None = None) -> DataFrame:
-    """(kept, repeated): rows in the order of batch and key, each with the smallest accepted key whose text is like it.
+def earliest_key(near: Column, batch: Column, key: Column) -> Column:
+    """The smallest key before (batch, key) in an array of (batch, key), the smallest key of each batch."""
+    before = F.filter(near, lambda x: (x["batch"] < batch) | ((x["batch"] == batch) & (x["key"] < key)))
+    return F.array_min(F.transform(before, lambda x: x["key"]))
 
-    A row is accepted unless an accepted row before it has a similarity of at least s: the Jaccard similarity of their sets of
-    width consecutive words, words being runs of letters and digits in lower case. Texts of fewer words (null and empty ones
-    too) are accepted and nothing's copy. A key delivered twice counts once, a null batch comes last; an empty table gives
-    no row. All batches are settled together here; Accepted does it batch by batch with the same result.
-    """
-    scratch = scratch or Scratch(rows.sparkSession, "history")
-    counts = symbol_counts(rows, text, width)
-    signed = scratch.write("signed", signatures(rows, key, batch, text, counts, width, s).drop("head"))
-    classes = first_rows(signed)
-    # one exchange by symbol serves both sides of the join
-    segments = stored_segments(one_a_class(rows, key, batch, text, signed, classes, counts, width, s)).repartition("symbol")
-    pairs = scratch.write("pairs", probe(segments, segments, s, ordered=True))
-    links = scratch.write("links", linked(pairs, classes, rows, key, text, width, s))
-    scratch.drop("pairs")
-    return repeats(signed, classes, links, settle(links, scratch))
-
-
-def first_rows(signed: DataFrame) -> DataFrame:
-    """(class, at): the first row of each set of shingles; at is (batch, key)."""
-    return signed.groupBy("class").agg(F.min(F.struct("batch", "key")).alias("at"))
-
-
-def linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, key: str, text: str, width: int, s: float) -> DataFrame:
-    """(a, at_a, b, at_b): the verified pairs, a being the earlier class, with their first rows."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    firsts = classes.join(needed, "class", "left_semi").select("class", "at")
-    true = verify(pairs, bodies(rows, key, text, firsts.select("class", "at.key"), width), s)
-    true = true.join(firsts.select(F.col("class").alias("a"), F.col("at").alias("at_a")), "a").join(firsts.select(F.col("class").alias("b"), F.col("at").alias("at_b")), "b")
-    late = F.col("at_a") > F.col("at_b")
-    ends = [F.when(late, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("at_a", "at_b"), ("b", "a"), ("at_b", "at_a"))]
-    return true.select(*ends)
-
-
-def repeats(signed: DataFrame, classes: DataFrame, links: DataFrame, state: DataFrame) -> DataFrame:
-    """(kept, repeated) of the rows, from the state of their classes; a class without links is accepted."""
-    both = links.select("a", "at_a", "b", "at_b").unionByName(links.select(F.col("b").alias("a"), F.col("at_b").alias("at_a"), F.col("a").alias("b"), F.col("at_a").alias("at_b")))
-    taken = state.where(F.col("state") == ACCEPTED).select(F.col("class").alias("a"))
-    out = state.where(F.col("state") == REPEATED).select(F.col("class").alias("b"))
-    near = both.join(taken, "a", "left_semi").join(out, "b", "left_semi").groupBy(F.col("b").alias("class")).agg(F.collect_set("at_a").alias("near"))
-    # what a row may repeat: the first row of its own set if that is accepted, else the accepted sets like it
-    known = classes.join(near, "class", "left").select("class", F.coalesce("near", F.array("at")).alias("near"))
-    rows = signed.select("class", "batch", "key").distinct()
-    joined = salted_join(rows, known, "class", "left", F.col("key"))
-    me = F.struct("batch", "key")
-    kept = F.array_min(F.transform(F.filter("near", lambda x: x < me), lambda x: x["key"]))
-    return joined.select(kept.alias("kept"), F.col("key").alias("repeated")).where(F.col("kept").isNotNull())
+
+def by_batch(rows: DataFrame, group: str, batch: str, key: str) -> DataFrame:
+    """(group, near): the smallest key of each batch, as an array with one entry a batch: within a batch keys are the order."""
+    least = rows.groupBy(group, F.col(batch).alias("batch")).agg(F.min(key).alias("key"))
+    return least.groupBy(group).agg(F.collect_list(F.struct("batch", "key")).alias("near"))
 
 
 class Accepted:
-    """The accepted rows of all batches so far, as segments in a folder; add() takes the next batch.
+    """The accepted rows of all batches so far, as strings and segments in a folder; add() takes the next batches.
+
+    A row is accepted unless an accepted row before it has a similarity of at least s: the Jaccard similarity of their sets of
+    width consecutive words, words being runs of letters and digits in lower case. Texts of fewer words (null and empty ones
+    too) are accepted and nothing's copy. Rows are in the order of batch and key; a null batch comes last, a row with a null
+    key does not count, a key delivered twice counts once, with its earliest batch.
 
-    A batch costs its own signatures, a probe of its segments against the stored ones, and the verification of what they
-    share; the texts of the history are not read again. The order of symbols is fixed by the first batch.
+    An add costs one pass over its own texts, a probe of its substrings against the stored segments, and the verification of
+    what they share; the texts of the history are not read again. All state is in the folder, so that another object, session
+    or machine goes on where this one ended. Every add has a number; what it writes counts once its mark is written, and an
+    add made again under its number replaces what it wrote before.
     """
 
     def __init__(self, spark: SparkSession, folder: str, width: int = 3, s: float = 0.7):
         self.spark, self.folder, self.width, self.s = spark, folder, width, s
-        self.counts: np.ndarray | None = None
-        self.batches = 0
-
-    def _stored(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/{name}") if self.batches else None
-
-    def add(self, rows: DataFrame, key: str, batch: str, text: str) -> DataFrame:
-        """(kept, repeated) of the new rows, which are after all earlier ones; nulls and ties as in near_repeats."""
-        scratch = Scratch(self.spark, "batch")
-        if self.counts is None:
-            self.counts = symbol_counts(rows, text, self.width)
-        signed = scratch.write("signed", signatures(rows, key, batch, text, self.counts, self.width, self.s).drop("head"))
-        classes = first_rows(signed)
-        segments = stored_segments(one_a_class(rows, key, batch, text, signed, classes, self.counts, self.width, self.s)).repartition("symbol")
-        pairs = scratch.write("pairs", probe(segments, segments, self.s, ordered=True))
-        links = linked(pairs, classes, rows, key, text, self.width, self.s)
-        old = self._stored("rows")
+
+    def _path(self, name: str, number: int) -> str:
+        return f"{self.folder}/{name}/add={number}"
+
+    def numbers(self) -> list[int]:
+        """The numbers of the adds that are complete."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/done")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return []
+        done = [x.getPath() for x in fs.listStatus(where) if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
+
+    def _stored(self, name: str, before: list[int], schema: str) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(*[self._path(name, k) for k in before]) if before else None
+
+    def add(self, rows: DataFrame, key: str, batch: str, text: str, number: int | None = None, last: bool = False) -> DataFrame:
+        """(kept, repeated) of the new rows, which are after all earlier adds: each repeat with the smallest accepted key it fits.
+
+        rows may hold several batches. number: of this add, by default the next; last: nothing is added afterwards, so
+        nothing is stored. An empty table gives no row.
+        """
+        done = self.numbers()
+        number = (done[-1] + 1 if done else 1) if number is None else number
+        before = [k for k in done if k < number]
+        if before:
+            held = self.spark.read.parquet(self._path("done", before[-1])).first()
+            if (held["width"], held["s"]) != (self.width, self.s):
+                raise ValueError(f"the folder was begun with width {held['width']} and similarity {held['s']}")
+        scratch, s = Scratch(self.spark, "batch"), self.s
+        signed = scratch.write("signed", signed_rows(rows, key, batch, text, self.width))
+        named = signed.groupBy("key").agg(F.min(F.struct("batch", "h1", "h2")).alias("r"), F.count("*").alias("times"), F.max("n").alias("n"))
+        named = named.select("key", "r.*", "times", "n")
+        first = named.groupBy("h1", "h2").agg(F.min(F.struct("batch", "key")).alias("at"))
+        # a class is a set of shingles; it goes by the key of its first row
+        members = named.join(first, ["h1", "h2"]).select(F.col("at.key").alias("class"), F.col("at.batch").alias("first"), "batch", "key", "h1", "h2", "times", "n")
+        members = scratch.write("members", members)
+        classes = self._one_a_class(signed, members)
+        symbols = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not symbols:
+            self._commit(number, None, last)
+            return self.spark.createDataFrame([], "kept bigint, repeated bigint")
+        bits = cell_bits(symbols)
+        once, wanted = several(classes, s, bits)
+        kind = "segment bigint, class bigint, n int, pos int, stored boolean"
+        old = self._stored("segments", before, kind)
+        if old is not None:
+            # of history's segments only those are shuffled that the new strings may meet
+            seen = self.spark.sparkContext.broadcast(once)  # 2^bits / 8 bytes
+            old = scratch.write("old", old.mapInArrow(_in_cells(seen, bits), kind))
+            wanted = wanted | _cells_of(old, bits)
+        posted = scratch.write("postings", postings(classes, s, wanted, bits))
+        stored = posted.where("stored").withColumn("old", F.lit(False))
+        stored = stored if old is None else stored.unionByName(old.withColumn("old", F.lit(True)))
+        pairs = scratch.write("pairs", candidates(stored, posted, s))
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        bodies = self._bodies(signed, members, needed)
         if old is not None:
-            met = scratch.write("met", probe(segments, self._stored("segments"), self.s))
-            same = classes.join(old.select("class"), "class", "left_semi")
-            needed_old = old.join(met.select(F.col("a").alias("class")).distinct(), "class", "left_semi")
-            needed_new = classes.join(met.select(F.col("b").alias("class")).distinct(), "class", "left_semi").select("class", "at.key")
-            true = verify(met, needed_old.select("class", "body").unionByName(bodies(rows, key, text, needed_new, self.width)).dropDuplicates(["class"]), self.s)
-            at = old.select(F.col("class").alias("a"), F.struct("batch", "key").alias("at_a"))
-            old_links = true.join(at, "a").join(classes.select(F.col("class").alias("b"), F.col("at").alias("at_b")), "b")
-            # history's classes go by names of their own here, as the batch may have the same set of shingles again
-            own = same.join(at, same["class"] == at["a"]).select("a", "at_a", F.col("class").alias("b"), F.col("at").alias("at_b"))
-            past = old_links.select("a", "at_a", "b", "at_b").unionByName(own).withColumn("a", F.bitwise_not("a"))
-            links = links.unionByName(past)
-        links = scratch.write("links", links)
-        state = settle(links, scratch)
-        found = scratch.write("found", repeats(signed, classes, links, state))
-        kept = signed.join(found.select(F.col("repeated").alias("key")), "key", "left_anti").dropDuplicates(["class"])
-        heads = one_a_class(rows, key, batch, text, signed, classes, self.counts, self.width, self.s).select("class", "head").dropDuplicates(["class"])
-        kept = kept.join(heads, "class")
-        full = kept.join(bodies(rows, key, text, kept.select("class", "key"), self.width), "class")
-        full.select("class", "n", "batch", "key", "body").write.mode("append").parquet(f"{self.folder}/rows")
-        stored_segments(kept).sortWithinPartitions("symbol").write.mode("append").parquet(f"{self.folder}/segments")
-        self.batches += 1
+            past = self._stored("rows", before, "class bigint, batch bigint, body binary")
+            maybe = BitFilter(needed, "class").maybe("class")
+            bodies = bodies.unionByName(past.where(maybe).join(needed, "class", "left_semi"))
+        links = scratch.write("links", verify(pairs, bodies, s))
+        repeated = settle(links, scratch)
+        found = scratch.write("found", self._repeats(members, links, repeated))
+        if not last:
+            kept = members.select("class", "key", "h1", "h2").where("class = key").join(repeated, "class", "left_anti")
+            self._commit(number, self._bodies(signed, members, kept.select("class")), last)
         return found
 
+    @staticmethod
+    def _one_a_class(signed: DataFrame, members: DataFrame) -> DataFrame:
+        """(class, body): one row a class. A bit filter tells most first rows without a join; only the rest is joined."""
+        doubt = BitFilter(members.where("key <> class OR times > 1"), "key").maybe("key")
+        firsts = members.where("key = class").select("key", "h1", "h2")
+        sure = signed.where(~doubt).select(F.col("key").alias("class"), "body")
+        other = signed.where(doubt).join(firsts, ["key", "h1", "h2"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("class"), "body")
+        return sure.unionByName(other)
+
+    @staticmethod
+    def _bodies(signed: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(class, batch, body) of the wanted classes."""
+        firsts = members.where("key = class").join(wanted, "class", "left_semi").select("key", "h1", "h2", F.col("first"))
+        maybe = BitFilter(wanted, "class").maybe("key")
+        found = signed.where(maybe).select("key", "h1", "h2", "body").join(firsts, ["key", "h1", "h2"]).dropDuplicates(["key"])
+        return found.select(F.col("key").alias("class"), F.col("first").alias("batch"), "body")
+
+    @staticmethod
+    def _repeats(members: DataFrame, links: DataFrame, repeated: DataFrame) -> DataFrame:
+        """(kept, repeated) of the rows, from the classes that are repeats; a class without links is accepted."""
+        both = links.select("a", "batch_a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("batch_b").alias("batch_a"), F.col("a").alias("b")))
+        taken = both.join(repeated.select(F.col("class").alias("a")), "a", "left_anti").join(repeated.select(F.col("class").alias("b")), "b", "left_semi")
+        near = by_batch(taken, "b", "batch_a", "a").withColumnRenamed("b", "class")
+        # what a row may repeat: the first row of its own class if that is accepted, else the accepted classes like it
+        joined = members.join(near, "class", "left").withColumn("near", F.coalesce("near", F.array(F.struct(F.col("first").alias("batch"), F.col("class").alias("key")))))
+        kept = earliest_key(F.col("near"), F.col("batch"), F.col("key"))
+        return joined.select(kept.alias("kept"), F.col("key").alias("repeated")).where(F.col("kept").isNotNull())
+
+    def _commit(self, number: int, accepted: DataFrame | None, last: bool) -> None:
+        """Writes the strings and segments of an add, then its mark; all of it in the place of an earlier try."""
+        if last:
+            return
+        empty = "class bigint, batch bigint, body binary"
+        rows = accepted if accepted is not None else self.spark.createDataFrame([], empty)
+        rows.write.mode("overwrite").parquet(self._path("rows", number))
+        rows = self.spark.read.schema(empty).parquet(self._path("rows", number))
+        postings(rows, self.s, None, only_stored=True).write.mode("overwrite").parquet(self._path("segments", number))
+        self.spark.createDataFrame([(self.width, self.s)], "width int, s double").coalesce(1).write.mode("overwrite").parquet(self._path("done", number))
+
+
+def _in_cells(seen, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            yield b.filter(pa.array(((seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+
+    return run
+
+
+def _cells_of(segments: DataFrame, bits: int) -> np.ndarray:
+    """One bit a cell, set where a segment falls."""
+    size = (1 << bits) // 8
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(size, dtype=np.uint8)
+        for b in batches:
+            at = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(there, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if there.any():
+            rows = there.reshape(CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["chunk", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(x, dtype=np.uint8)
+                done[chunk] = done[chunk] | x if chunk in done else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array([x.tobytes() for x in done.values()], pa.binary())], names=["chunk", "bits"])
+
+    kind = "chunk int, bits binary"
+    out = np.zeros((CHUNKS, size // CHUNKS), dtype=np.uint8)
+    for chunk, x in segments.select("segment").mapInArrow(note, kind).repartition(8, "chunk").mapInArrow(merge, kind).collect():  # CHUNKS rows
+        out[chunk] = np.frombuffer(x, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def near_repeats(rows: DataFrame, key: str, batch: str, text: str, width: int = 3, s: float = 0.7) -> DataFrame:
+    """(kept, repeated): all batches of a table in one add to an empty history; see Accepted."""
+    scratch = Scratch(rows.sparkSession, "history")
+    return Accepted(rows.sparkSession, scratch.path("accepted"), width, s).add(rows, key, batch, text, last=True)
+
 
 def same_hash(rows: DataFrame, key: str, batch: str, document: str, digest: str) -> DataFrame:
     """(kept, repeated): rows whose hash an accepted row of another document has, each with the smallest such key before it.
@@ -390,15 +543,13 @@ def same_hash(rows: DataFrame, key: str, batch: str, document: str, digest: str)
     are one document; a key delivered twice counts once, a null batch comes last.
     """
     text = F.regexp_replace(norm_key(digest), "^sha256:\\s*", "")
-    me = F.struct(F.coalesce(F.col(batch).cast("bigint"), F.lit(2**62)).alias("batch"), F.col(key).cast("bigint").alias("key"))
+    me = F.struct(F.coalesce(F.col(batch).cast("bigint"), F.lit(NO_BATCH)).alias("batch"), F.col(key).cast("bigint").alias("key"))
     rows = rows.select(F.substring(text, 1, 32).alias("hash"), F.coalesce(norm_key(document), F.lit("")).alias("document"), me.alias("me"))
     rows = rows.where(F.col("hash") != "").distinct()
     firsts = rows.groupBy("hash").agg(F.min(F.struct("me", "document")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("hash", F.col("f.me").alias("first"), F.col("f.document").alias("owner"))
-    # rows of the owner that come later but have a smaller key than the first are the only other answers
-    joined = salted_join(rows, firsts, "hash", "inner", F.col("me"))
-    lower = joined.where((F.col("document") == F.col("owner")) & (F.col("me.key") <= F.col("first.key"))).groupBy("hash").agg(F.collect_set("me").alias("near"))
-    others = joined.where(F.col("document") != F.col("owner")).select("hash", "me")
-    found = salted_join(others, lower, "hash", "inner", F.col("me"))
-    kept = F.array_min(F.transform(F.filter("near", lambda x: x < F.col("me")), lambda x: x["key"]))
-    return found.select(kept.alias("kept"), F.col("me.key").alias("repeated"))
+    firsts = firsts.select("hash", F.col("f.document").alias("owner"))
+    joined = salted_join(rows, firsts, "hash", "inner", F.col("me")).select("hash", "me.batch", "me.key", (F.col("document") == F.col("owner")).alias("own"))
+    near = by_batch(joined.where("own"), "hash", "batch", "key")
+    found = salted_join(joined.where("NOT own"), near, "hash", "inner", F.col("key"))
+    kept = earliest_key(F.col("near"), F.col("batch"), F.col("key"))
+    return found.select(kept.alias("kept"), F.col("key").alias("repeated")).where(F.col("kept").isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import history, mixing, scans, splitting, tokenize, truncation, unify, vectors
 from docweave.operators import search
-from docweave.session import table
+from docweave.session import Scratch, table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(chunks.select(F.lit("vector_metadata").alias("table_name"), F.col("kept").alias("kept_id"), F.col("repeated").alias("dup_id")))
 
 
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near repeats of vector_metadata once more, in four adds of ten batches, each by a new object on the folder the last one left."""
+    rows = table(spark, sf_dir, "vector_metadata").select("vector_id", "batch_no", "content")
+    folder = Scratch(spark, "accepted").path("index")
+    out = None
+    for number in range(1, 5):
+        batch = F.coalesce("batch_no", F.lit(40))
+        part = rows.where((F.ceil(batch / 10) == number) if number < 4 else (batch > 30))
+        found = history.Accepted(spark, folder).add(part, "vector_id", "batch_no", "content", number=number, last=number == 4)
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("kept").alias("kept_id"), F.col("repeated").alias("dup_id"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kinds of noise in every scanned text."""
     return scans.ScanNoise(table(spark, sf_dir, "normalisation_results"), "result_id", "text").found()
@@ -91,4 +104,4 @@ def p3_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_batch(named.where("vector_id % 20 = 0"), named, "vector_id", "embedding", 10, 64).select("query_id", "id", "score", "rank")
 
 
-QUERIES = {"p3_ten": p3_ten, "p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+QUERIES = {"p3_ten": p3_ten, "p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}

@@ -51,15 +51,44 @@ def test_near_repeats_against_all_accepted(spark, seed):
 
 
 def test_batch_by_batch_gives_the_same(spark, tmp_path):
+    """Each batch through a new object on the same folder; the third is tried twice."""
     rows = [r for r in _texts(3) if r[0] is not None]
-    store = history.Accepted(spark, f"file://{tmp_path}/accepted")
-    got = set()
-    for b in sorted({r[0] for r in rows}):
+    folder, got = f"file://{tmp_path}/accepted", set()
+    for turn, b in enumerate(sorted({r[0] for r in rows}), 1):
         df = spark.createDataFrame([r for r in rows if r[0] == b], "batch int, id long, text string")
-        got |= {tuple(r) for r in store.add(df, "id", "batch", "text").collect()}
+        for _ in range(1 + (turn == 3)):
+            found = {tuple(r) for r in history.Accepted(spark, folder).add(df, "id", "batch", "text", number=turn).collect()}
+        got |= found
     assert got == _near(rows)
 
 
+def test_a_folder_keeps_its_settings(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, "one two three four five")], "batch int, id long, text string")
+    history.Accepted(spark, f"file://{tmp_path}/a").add(df, "id", "batch", "text")
+    again = df.selectExpr("2 AS batch", "id + 1 AS id", "text")
+    assert [tuple(r) for r in history.Accepted(spark, f"file://{tmp_path}/a").add(again, "id", "batch", "text").collect()] == [(1, 2)]
+    with pytest.raises(ValueError):
+        history.Accepted(spark, f"file://{tmp_path}/a", s=0.8).add(df, "id", "batch", "text")
+
+
+def test_every_length_leaves_an_unspoilt_segment():
+    for s in (0.6, 0.7, 0.8, 0.9):
+        n = np.arange(1, 400)
+        size, count = history.segment_size(n, s), history.segment_count(n, s)
+        assert (size * count <= n).all() and (count > history.most_edits(n, np.floor(n / s + 1e-9), s)).all()
+
+
+def test_settling_in_rounds_gives_the_same(spark, tmp_path):
+    from docweave.session import Scratch
+
+    rnd = random.Random(2)
+    pairs = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(120)}
+    links = spark.createDataFrame([(a, 1, b, 1) for a, b in pairs], "a long, batch_a long, b long, batch_b long")
+    scratch = Scratch(spark, "t")
+    one, many = ({r[0] for r in history.settle(links, scratch, str(k), k).collect()} for k in (1000, 0))
+    assert one == many and one
+
+
 def test_near_repeats_of_an_empty_table(spark):
     df = spark.createDataFrame([], "batch int, id long, text string")
     assert history.near_repeats(df, "id", "batch", "text").count() == 0
