@@ -1,13 +1,14 @@
 """New batches against all history: exact and near duplicates through a segment index for edit distance.
 
-A text's set of word shingles is written as a string: its distinct shingles as symbols in one global order, that of their
-hashes. Inserting and deleting symbols is all that tells two such strings apart, so their edit distance is the size of the
-sets' symmetric difference, and a Jaccard similarity of at least s for a and b symbols is an edit distance of at most
-(1 - s) / (1 + s) x (a + b). A stored string of n symbols is cut into a number of segments that n fixes: more of them than
-edits any partner may be away, each of the same few symbols, with its position. One edit spoils at most one segment, so
-some segments stand unspoilt in every partner. A new string probes with its own substrings of the segments' lengths; the
-join drops what length and position put out of reach, counts the unspoilt segments, and the edit distance of what is left is
-verified against its bound. The segments of accepted strings are appended to the folder.
+A text's set of word shingles is written as a string: its distinct shingles as symbols in one global order, rare ones first.
+Inserting and deleting symbols is all that tells two such strings apart, so their edit distance is the size of the sets'
+symmetric difference, and a Jaccard similarity of at least s for a and b symbols is an edit distance of at most
+(1 - s) / (1 + s) x (a + b). A string of n symbols is cut into a number of segments that n fixes: its first symbols one by one,
+as many as a partner may lack and SHARED more, and the rest. Only deletions spoil a segment of one symbol, so strings within the
+distance have SHARED of them in common. Segments of two symbols, which insertions spoil too, need nearly the whole string (0.86 of
+it for a similarity of 0.7) instead of its rarest third; README has the measurements. Segments are stored with the length
+and position; a batch probes with its own, the join drops what length and position put out of reach, and the edit distance of
+what is left is verified against its bound. The segments of accepted strings are appended to the folder.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from docweave.operators.bits import BitFilter
 from docweave.operators.skew import salted_join
 from docweave.session import Scratch
 
-#: Segments a string has beyond the edits of its farthest partner, where it is long enough.
-SPARE = 3
+#: Segments that strings within the distance must share: each string has as many more of them, so that none is missed.
+SHARED = 3
+#: Cells of the hashed shingle counts that give the order of symbols: 4 MB, whatever the corpus. Any order gives whole results.
+ORDER_BITS = 20
 #: Bits of a shingle's hash that are kept; the others hold the text's number while a batch is sorted.
-HASH_BITS = 54
+HASH_BITS = 48
+SYMBOL_BYTES = HASH_BITS // 8
 #: Rows of a batch that are hashed together; their numbers fit the other bits.
 TOGETHER = 1000
 #: Cells that note which segments occur in several strings: at most 2^26, 8 MB. Fewer cells drop less before the shuffle, never too much.
@@ -93,14 +97,15 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 
 
 def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+    ends = np.concatenate([[0], np.cumsum(sizes * SYMBOL_BYTES)]).astype(np.int32)
+    packed = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SYMBOL_BYTES])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
 
 
 def signed_rows(rows: DataFrame, key: str, batch: str, text: str, width: int) -> DataFrame:
     """(key, batch, h1, h2, n, body) of every row with a shingle, from one pass over the texts.
 
-    body is the string, 8 bytes a symbol; h1 and h2 name it by 128 bits; a null batch is the last.
+    body is the string, SYMBOL_BYTES a symbol; h1 and h2 name it by 128 bits; a null batch is the last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +130,7 @@ def signed_rows(rows: DataFrame, key: str, batch: str, text: str, width: int) ->
     return picked.where("key IS NOT NULL").mapInArrow(run, "key bigint, batch bigint, h1 bigint, h2 bigint, n int, body binary")
 
 
-# ---- the cut of a string, by its length
+# ---- the cut of a string
 
 
 def most_edits(a: np.ndarray, b: np.ndarray, s: float) -> np.ndarray:
@@ -133,58 +138,31 @@ def most_edits(a: np.ndarray, b: np.ndarray, s: float) -> np.ndarray:
     return np.floor((1 - s) / (1 + s) * (a + b) + 1e-9).astype(np.int64)
 
 
-def segment_size(n: np.ndarray, s: float) -> np.ndarray:
-    """Symbols of each segment of a string of n symbols: as many as leave more segments than edits to the farthest partner."""
-    far = most_edits(n, np.floor(n / s + 1e-9), s)
-    return np.maximum(1, n // (far + 1))
+def segment_count(n: np.ndarray, s: float) -> np.ndarray:
+    """The segments of one symbol of a string of n: what a partner of similarity s may lack, and SHARED."""
+    return np.minimum(n, n - np.ceil(s * n - 1e-9).astype(np.int64) + SHARED)
 
 
-def segment_count(n: np.ndarray, s: float) -> np.ndarray:
-    """Segments of a string of n symbols."""
-    far = most_edits(n, np.floor(n / s + 1e-9), s)
-    return np.minimum(n // segment_size(n, s), far + SPARE)
-
-
-def probe_sizes(sizes: np.ndarray, s: float) -> dict[int, np.ndarray]:
-    """For each size of segments, which of the given lengths have partners cut that way."""
-    if not len(sizes):
-        return {}
-    low = np.maximum(1, np.ceil(sizes * s - 1e-9)).astype(np.int64)
-    high = np.floor(sizes / s + 1e-9).astype(np.int64)
-    cut = segment_size(np.arange(0, high.max() + 1), s)
-    out = {}
-    for m in np.unique(cut[low.min() :]):
-        upto = np.concatenate([[0], np.cumsum(cut == m)])
-        out[int(m)] = upto[high + 1] - upto[low] > 0
-    return out
-
-
-def substrings(h: np.ndarray, sizes: np.ndarray, s: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(segment, text, position, stored) of all substrings that can meet a segment; stored marks the text's own segments."""
-    starts = _starts(sizes)
+def _order_cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(HASH_BITS - ORDER_BITS)).astype(np.int64)
+
+
+def segments(h: np.ndarray, sizes: np.ndarray, s: float, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, text, position) of the segments of at most TOGETHER strings, rare symbols first."""
     of = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(h)) - np.repeat(starts, sizes)
-    own_size, own_count = segment_size(sizes, s), segment_count(sizes, s)
-    for m, wanted in probe_sizes(sizes, s).items():
-        n = len(h) - m + 1
-        if n <= 0:
-            continue
-        with np.errstate(over="ignore"):
-            x = np.full(n, np.uint64(m) * _M3)
-            for k in range(m):
-                x = (x ^ h[k : k + n]) * _M1 + _M2
-                x ^= x >> np.uint64(32)
-            x = _mixed(x)
-        o, p = of[:n], place[:n]
-        mine = own_size[o] == m
-        stored = mine & (p % m == 0) & (p // m < own_count[o])
-        keep = (p + m <= sizes[o]) & (wanted[o] | stored)
-        yield x[keep], o[keep], p[keep], stored[keep]
+    rank = (of.astype(np.uint64) << np.uint64(HASH_BITS)) | (order[_order_cells(h)].astype(np.uint64) << np.uint64(HASH_BITS - 31)) | (h & np.uint64((1 << (HASH_BITS - 31)) - 1))
+    h = h[np.argsort(rank, kind="stable")]
+    place = np.arange(len(h)) - np.repeat(_starts(sizes), sizes)
+    keep = place < segment_count(sizes, s)[of]
+    return h[keep], of[keep], place[keep]
 
 
 def _bodies_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=np.uint64), np.array([len(v) // 8 for v in values], dtype=np.int64)
+    packed = np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, SYMBOL_BYTES)
+    wide = np.zeros((len(packed), 8), dtype=np.uint8)
+    wide[:, :SYMBOL_BYTES] = packed
+    return wide.view("<u8").reshape(-1), np.array([len(v) // SYMBOL_BYTES for v in values], dtype=np.int64)
 
 
 def _parts(whole: pa.RecordBatch, rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
@@ -200,91 +178,154 @@ def cell_bits(symbols: int) -> int:
     return min(MOST_CELL_BITS, max(16, math.ceil(math.log2(max(symbols, 1) * 4))))
 
 
-def several(classes: DataFrame, s: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(once, twice): one bit a cell, set where a substring of any string, or substrings of several, fall."""
-    size = (1 << bits) // 8
-    part = size // CHUNKS
+def _merged(parts: DataFrame, add, width: int) -> dict[int, bytes]:
+    """Chunks of one fixed size, of all tasks, put together by add on the executors: CHUNKS rows come to the driver."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, tuple] = {}
+        for b in batches:
+            for chunk, *values in zip(*(c.to_pylist() for c in b.columns)):
+                done[chunk] = add(done.get(chunk), values)
+        arrays = [pa.array([v[k].tobytes() for v in done.values()], pa.binary()) for k in range(width)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), *arrays], names=["chunk", *(f"v{k}" for k in range(width))])
+
+    kind = ", ".join(["chunk int", *(f"v{k} binary" for k in range(width))])
+    return {r[0]: r[1:] for r in parts.repartition(8, "chunk").mapInArrow(merge, kind).collect()}
+
+
+def _chunked(*arrays: np.ndarray) -> pa.RecordBatch:
+    parts = [pa.array([x.tobytes() for x in a.reshape(CHUNKS, -1)], pa.binary()) for a in arrays]
+    return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), *parts], names=["chunk", *(f"v{k}" for k in range(len(arrays)))])
+
+
+def _whole(chunks: dict[int, tuple], k: int, kind, size: int) -> np.ndarray:
+    out = np.zeros((CHUNKS, size // CHUNKS), dtype=kind)
+    for chunk, values in chunks.items():
+        out[chunk] = np.frombuffer(values[k], dtype=kind)
+    return out.reshape(-1)
+
+
+def symbol_order(signed: DataFrame) -> np.ndarray:
+    """How often the shingles of each cell occur in all strings: 2^ORDER_BITS counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << ORDER_BITS, dtype=np.int64)
+        for b in batches:
+            for part in _parts(b):
+                total += np.bincount(_order_cells(_bodies_of(part.column(0))[0]), minlength=1 << ORDER_BITS)
+        if total.any():
+            yield _chunked(np.minimum(total, 2**31 - 1).astype(np.int32))
 
-    def emit(once: np.ndarray, twice: np.ndarray, chunks: list[int]) -> pa.RecordBatch:
-        a, b = (pa.array([x[k].tobytes() for k in chunks], pa.binary()) for x in (once, twice))
-        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), a, b], names=["chunk", "once", "twice"])
+    def add(had: tuple | None, values: list) -> tuple:
+        x = np.frombuffer(values[0], dtype=np.int32).astype(np.int64)
+        return (np.minimum(x if had is None else had[0] + x, 2**31 - 1).astype(np.int32),)
+
+    return _whole(_merged(signed.select("body").mapInArrow(count, "chunk int, v0 binary"), add, 1), 0, np.int32, 1 << ORDER_BITS)
+
+
+def _note(cells: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(cells, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _noted(cells: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((cells[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _cell(symbols: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mixed(symbols * _M1) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def several(classes: DataFrame, s: float, order: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(once, twice): one bit a cell, set where a segment of any string, or segments of several, fall."""
+    size = (1 << bits) // 8
+    shared = classes.sparkSession.sparkContext.broadcast(order)  # 4 MB
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(size, dtype=np.uint8), np.zeros(size, dtype=np.uint8)
         for whole in batches:
             for b in _parts(whole):
-                for seg, *_ in substrings(*_bodies_of(b.column(0)), s):
-                    at = np.sort((seg >> np.uint64(64 - bits)).astype(np.int64))
-                    same = at[1:][at[1:] == at[:-1]]
-                    bit = (1 << (at & 7)).astype(np.uint8)
-                    seen = (once[at >> 3] & bit) != 0
-                    for cells in (at[seen], same):
-                        np.bitwise_or.at(twice, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
-                    np.bitwise_or.at(once, at >> 3, bit)
+                at = np.sort(_cell(segments(*_bodies_of(b.column(0)), s, shared.value)[0], bits))
+                _note(twice, at[_noted(once, at)])
+                _note(twice, at[1:][at[1:] == at[:-1]])
+                _note(once, at)
         if once.any():
-            yield emit(once.reshape(CHUNKS, part), twice.reshape(CHUNKS, part), list(range(CHUNKS)))
+            yield _chunked(once, twice)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, list[np.ndarray]] = {}
+    def add(had: tuple | None, values: list) -> tuple:
+        once, twice = (np.frombuffer(v, dtype=np.uint8) for v in values)
+        return (once, twice) if had is None else (had[0] | once, had[1] | twice | (had[0] & once))
+
+    chunks = _merged(classes.select("body").mapInArrow(note, "chunk int, v0 binary, v1 binary"), add, 2)
+    return _whole(chunks, 0, np.uint8, size), _whole(chunks, 1, np.uint8, size)
+
+
+def cells_of(stored: DataFrame, bits: int) -> np.ndarray:
+    """One bit a cell, set where a stored segment falls."""
+    size = (1 << bits) // 8
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(size, dtype=np.uint8)
         for b in batches:
-            for chunk, one, two in zip(*(c.to_pylist() for c in b.columns)):
-                x, y = np.frombuffer(one, dtype=np.uint8), np.frombuffer(two, dtype=np.uint8)
-                if chunk in done:
-                    had = done[chunk]
-                    had[1] |= y | (had[0] & x)
-                    had[0] |= x
-                else:
-                    done[chunk] = [x.copy(), y.copy()]
-        chunks = sorted(done)
-        if chunks:
-            yield emit({k: done[k][0] for k in chunks}, {k: done[k][1] for k in chunks}, chunks)
-
-    kind = "chunk int, once binary, twice binary"
-    rows = classes.select("body").mapInArrow(note, kind).repartition(8, "chunk").mapInArrow(merge, kind).collect()  # CHUNKS rows of one fixed size
-    once, twice = np.zeros((CHUNKS, part), dtype=np.uint8), np.zeros((CHUNKS, part), dtype=np.uint8)
-    for chunk, one, two in rows:
-        once[chunk], twice[chunk] = np.frombuffer(one, dtype=np.uint8), np.frombuffer(two, dtype=np.uint8)
-    return once.reshape(-1), twice.reshape(-1)
-
-
-def postings(classes: DataFrame, s: float, wanted: np.ndarray | None, bits: int = 0, only_stored: bool = False) -> DataFrame:
-    """(segment, class, n, pos, stored): one row a substring, of the wanted cells only where these are given."""
-    shared = None if wanted is None else classes.sparkSession.sparkContext.broadcast(wanted)  # 2^bits / 8 bytes
+            _note(there, _cell(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+        if there.any():
+            yield _chunked(there)
+
+    def add(had: tuple | None, values: list) -> tuple:
+        x = np.frombuffer(values[0], dtype=np.uint8)
+        return (x if had is None else had[0] | x,)
+
+    return _whole(_merged(stored.select("segment").mapInArrow(note, "chunk int, v0 binary"), add, 1), 0, np.uint8, size)
+
+
+POSTINGS = "segment bigint, class bigint, n int, pos int"
+
+
+def postings(classes: DataFrame, s: float, order: np.ndarray, wanted: np.ndarray | None = None, bits: int = 0) -> DataFrame:
+    """(segment, class, n, pos): one row a segment, with the length of its string; of the wanted cells only where these are given."""
+    context = classes.sparkSession.sparkContext
+    ranks, shared = context.broadcast(order), None if wanted is None else context.broadcast(wanted)  # 4 MB, 2^bits / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _parts(whole):
                 ids = b.column(0).to_numpy(zero_copy_only=False)
                 h, sizes = _bodies_of(b.column(1))
-                for seg, of, pos, stored in substrings(h, sizes, s):
-                    keep = stored if only_stored else np.ones(len(seg), dtype=bool)
-                    if shared is not None:
-                        at = (seg >> np.uint64(64 - bits)).astype(np.int64)
-                        keep = keep & ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                    of = of[keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(seg[keep].view(np.int64)), pa.array(ids[of]), pa.array(sizes[of].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(stored[keep])],
-                        names=["segment", "class", "n", "pos", "stored"],
-                    )
+                seg, of, pos = segments(h, sizes, s, ranks.value)
+                if shared is not None:
+                    keep = _noted(shared.value, _cell(seg, bits))
+                    seg, of, pos = seg[keep], of[keep], pos[keep]
+                arrays = [pa.array(seg.view(np.int64)), pa.array(ids[of]), pa.array(sizes[of].astype(np.int32)), pa.array(pos.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["segment", "class", "n", "pos"])
 
-    return classes.select("class", "body").mapInArrow(run, "segment bigint, class bigint, n int, pos int, stored boolean")
+    return classes.select("class", "body").mapInArrow(run, POSTINGS)
 
 
-def candidates(stored: DataFrame, probes: DataFrame, s: float) -> DataFrame:
-    """(a, b): stored strings a and probing strings b with as many equal segments as their distance leaves unspoilt.
+def within_cells(stored: DataFrame, cells: np.ndarray, bits: int) -> DataFrame:
+    """The stored segments that fall into noted cells."""
+    shared = stored.sparkSession.sparkContext.broadcast(cells)  # 2^bits / 8 bytes
 
-    stored has a column old: segments of history meet every probe, those of the batch itself only classes after their own.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_noted(shared.value, _cell(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))))
+
+    return stored.mapInArrow(run, POSTINGS)
+
+
+def candidates(stored: DataFrame, probes: DataFrame, s: float, ordered: bool) -> DataFrame:
+    """(a, b): stored strings a and probing strings b that share enough segments at lengths and positions within the distance.
+
+    By the pigeonhole principle that is SHARED of them, or all that must be shared where that is fewer. ordered: only a < b.
     """
-    x = stored.select("segment", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "old")
+    x = stored.select("segment", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     y = probes.select("segment", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    edits = F.floor((F.col("na") + F.col("nb")) * F.lit((1 - s) / (1 + s)) + 1e-9)
-    shift = F.abs(F.col("pa") - F.col("pb")) + F.abs((F.col("na") - F.col("pa")) - (F.col("nb") - F.col("pb")))
-    near = (F.col("na") >= F.col("nb") * s - 1e-9) & (F.col("nb") >= F.col("na") * s - 1e-9) & (shift <= edits)
-    met = x.join(y, "segment").where(((F.col("a") < F.col("b")) | (F.col("old") & (F.col("a") != F.col("b")))) & near)
-    far = F.floor((F.col("na") + F.floor(F.col("na") / s + 1e-9)) * F.lit((1 - s) / (1 + s)) + 1e-9)
-    size = F.greatest(F.lit(1), F.floor(F.col("na") / (far + 1)))
-    count = F.least(F.floor(F.col("na") / size), far + SPARE)
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(count - edits).alias("least"))
+    near = (F.col("na") >= F.col("nb") * s - 1e-9) & (F.col("nb") >= F.col("na") * s - 1e-9)
+    needed = (F.col("na") + F.col("nb")) * (s / (1 + s)) - 1e-9
+    # before the first SHARED shared symbols there are fewer than SHARED others
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed - (SHARED - 1)
+    apart = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
+    met = x.join(y, "segment").where(apart & near & reach)
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least(F.lit(float(SHARED)), F.ceil(needed))).alias("least"))
     return shared.where(F.col("shared") >= F.col("least")).select("a", "b")
 
 
@@ -422,22 +463,20 @@ class Accepted:
         members = scratch.write("members", members)
         classes = self._one_a_class(signed, members)
         symbols = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        order = self._order(signed, before, number, last)
         if not symbols:
-            self._commit(number, None, last)
+            self._commit(number, None, order, last)
             return self.spark.createDataFrame([], "kept bigint, repeated bigint")
         bits = cell_bits(symbols)
-        once, wanted = several(classes, s, bits)
-        kind = "segment bigint, class bigint, n int, pos int, stored boolean"
-        old = self._stored("segments", before, kind)
+        once, wanted = several(classes, s, order, bits)
+        old = self._stored("segments", before, POSTINGS)
         if old is not None:
             # of history's segments only those are shuffled that the new strings may meet
-            seen = self.spark.sparkContext.broadcast(once)  # 2^bits / 8 bytes
-            old = scratch.write("old", old.mapInArrow(_in_cells(seen, bits), kind))
-            wanted = wanted | _cells_of(old, bits)
-        posted = scratch.write("postings", postings(classes, s, wanted, bits))
-        stored = posted.where("stored").withColumn("old", F.lit(False))
-        stored = stored if old is None else stored.unionByName(old.withColumn("old", F.lit(True)))
-        pairs = scratch.write("pairs", candidates(stored, posted, s))
+            old = scratch.write("old", within_cells(old, once, bits))
+            wanted = wanted | cells_of(old, bits)
+        posted = scratch.write("postings", postings(classes, s, order, wanted, bits))
+        pairs = candidates(posted, posted, s, ordered=True)
+        pairs = scratch.write("pairs", pairs if old is None else pairs.unionByName(candidates(old, posted, s, ordered=False)))
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         bodies = self._bodies(signed, members, needed)
         if old is not None:
@@ -449,7 +488,7 @@ class Accepted:
         found = scratch.write("found", self._repeats(members, links, repeated))
         if not last:
             kept = members.select("class", "key", "h1", "h2").where("class = key").join(repeated, "class", "left_anti")
-            self._commit(number, self._bodies(signed, members, kept.select("class")), last)
+            self._commit(number, self._bodies(signed, members, kept.select("class")), order, last)
         return found
 
     @staticmethod
@@ -480,55 +519,27 @@ class Accepted:
         kept = earliest_key(F.col("near"), F.col("batch"), F.col("key"))
         return joined.select(kept.alias("kept"), F.col("key").alias("repeated")).where(F.col("kept").isNotNull())
 
-    def _commit(self, number: int, accepted: DataFrame | None, last: bool) -> None:
+    def _order(self, signed: DataFrame, before: list[int], number: int, last: bool) -> np.ndarray:
+        """The counts that order the symbols: those of the first add, kept in the folder for all later ones."""
+        if before:
+            return np.frombuffer(self.spark.read.parquet(self._path("order", before[0])).first()[0], dtype=np.int32)
+        order = symbol_order(signed)
+        if not last:
+            self.spark.createDataFrame([(bytearray(order.tobytes()),)], "counts binary").coalesce(1).write.mode("overwrite").parquet(self._path("order", number))
+        return order
+
+    def _commit(self, number: int, accepted: DataFrame | None, order: np.ndarray, last: bool) -> None:
         """Writes the strings and segments of an add, then its mark; all of it in the place of an earlier try."""
         if last:
             return
-        empty = "class bigint, batch bigint, body binary"
-        rows = accepted if accepted is not None else self.spark.createDataFrame([], empty)
+        kind = "class bigint, batch bigint, body binary"
+        rows = accepted if accepted is not None else self.spark.createDataFrame([], kind)
         rows.write.mode("overwrite").parquet(self._path("rows", number))
-        rows = self.spark.read.schema(empty).parquet(self._path("rows", number))
-        postings(rows, self.s, None, only_stored=True).write.mode("overwrite").parquet(self._path("segments", number))
+        rows = self.spark.read.schema(kind).parquet(self._path("rows", number))
+        postings(rows, self.s, order).write.mode("overwrite").parquet(self._path("segments", number))
         self.spark.createDataFrame([(self.width, self.s)], "width int, s double").coalesce(1).write.mode("overwrite").parquet(self._path("done", number))
 
 
-def _in_cells(seen, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            yield b.filter(pa.array(((seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
-
-    return run
-
-
-def _cells_of(segments: DataFrame, bits: int) -> np.ndarray:
-    """One bit a cell, set where a segment falls."""
-    size = (1 << bits) // 8
-
-    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.zeros(size, dtype=np.uint8)
-        for b in batches:
-            at = (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            np.bitwise_or.at(there, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if there.any():
-            rows = there.reshape(CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["chunk", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(x, dtype=np.uint8)
-                done[chunk] = done[chunk] | x if chunk in done else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array([x.tobytes() for x in done.values()], pa.binary())], names=["chunk", "bits"])
-
-    kind = "chunk int, bits binary"
-    out = np.zeros((CHUNKS, size // CHUNKS), dtype=np.uint8)
-    for chunk, x in segments.select("segment").mapInArrow(note, kind).repartition(8, "chunk").mapInArrow(merge, kind).collect():  # CHUNKS rows
-        out[chunk] = np.frombuffer(x, dtype=np.uint8)
-    return out.reshape(-1)
-
-
 def near_repeats(rows: DataFrame, key: str, batch: str, text: str, width: int = 3, s: float = 0.7) -> DataFrame:
     """(kept, repeated): all batches of a table in one add to an empty history; see Accepted."""
     scratch = Scratch(rows.sparkSession, "history")

@@ -71,11 +71,12 @@ def test_a_folder_keeps_its_settings(spark, tmp_path):
         history.Accepted(spark, f"file://{tmp_path}/a", s=0.8).add(df, "id", "batch", "text")
 
 
-def test_every_length_leaves_an_unspoilt_segment():
+def test_partners_share_segments():
+    """Whatever a partner lacks, SHARED segments stay, or all that must be shared."""
     for s in (0.6, 0.7, 0.8, 0.9):
         n = np.arange(1, 400)
-        size, count = history.segment_size(n, s), history.segment_count(n, s)
-        assert (size * count <= n).all() and (count > history.most_edits(n, np.floor(n / s + 1e-9), s)).all()
+        lacks = n - np.ceil(s * n - 1e-9)
+        assert (history.segment_count(n, s) - lacks >= np.minimum(history.SHARED, n - lacks)).all()
 
 
 def test_settling_in_rounds_gives_the_same(spark, tmp_path):
