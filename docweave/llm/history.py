@@ -32,8 +32,9 @@ from docweave.session import Scratch
 SHARED = 3
 #: Cells of the hashed shingle counts that give the order of symbols: 4 MB, whatever the corpus. Any order gives whole results.
 ORDER_BITS = 20
-#: Bits of a shingle's hash that are kept; the others hold the text's number while a batch is sorted.
-HASH_BITS = 48
+#: Bits of a shingle's hash that are kept; the others hold the text's number while a batch is sorted. Two texts of 1000 shingles
+#: have a wrong match with a probability of a millionth.
+HASH_BITS = 40
 SYMBOL_BYTES = HASH_BITS // 8
 #: Rows of a batch that are hashed together; their numbers fit the other bits.
 TOGETHER = 1000
@@ -462,7 +463,8 @@ class Accepted:
         members = named.join(first, ["h1", "h2"]).select(F.col("at.key").alias("class"), F.col("at.batch").alias("first"), "batch", "key", "h1", "h2", "times", "n")
         members = scratch.write("members", members)
         classes = self._one_a_class(signed, members)
-        symbols = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        heads = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * F.lit(s)) + SHARED)
+        symbols = members.agg(F.coalesce(F.sum(heads), F.lit(0))).first()[0]
         order = self._order(signed, before, number, last)
         if not symbols:
             self._commit(number, None, order, last)
@@ -477,6 +479,7 @@ class Accepted:
         posted = scratch.write("postings", postings(classes, s, order, wanted, bits))
         pairs = candidates(posted, posted, s, ordered=True)
         pairs = scratch.write("pairs", pairs if old is None else pairs.unionByName(candidates(old, posted, s, ordered=False)))
+        scratch.drop("postings")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         bodies = self._bodies(signed, members, needed)
         if old is not None:
@@ -485,6 +488,8 @@ class Accepted:
             bodies = bodies.unionByName(past.where(maybe).join(needed, "class", "left_semi"))
         links = scratch.write("links", verify(pairs, bodies, s))
         repeated = settle(links, scratch)
+        if last:
+            scratch.drop("signed")
         found = scratch.write("found", self._repeats(members, links, repeated))
         if not last:
             kept = members.select("class", "key", "h1", "h2").where("class = key").join(repeated, "class", "left_anti")
