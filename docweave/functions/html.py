@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.records import any_date
 from docweave.functions.text import count_matches
 
 _SKIP = {"script", "style", "noscript", "template", "svg"}
+_VOID = {"br", "hr", "img", "input", "link", "meta", "source", "area", "base", "col", "embed", "track", "wbr"}
 _FURNITURE = {"nav", "footer", "header", "aside"}
 _BLOCK = {"p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "section", "article", "main", "pre", "blockquote"}
 
@@ -22,15 +25,109 @@ def title(html: str) -> Column:
     return F.btrim(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1), F.lit(" \n\t\r"))
 
 
-def meta(html: str, name: str) -> Column:
-    """The content of a meta element by name or property; empty where there is none."""
-    return F.regexp_extract(html, f"(?is)<meta[^>]+(?:name|property)=[\"']{re.escape(name)}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
+def meta(html: str, *names: str) -> Column:
+    """The content of the first meta element of a name or property, whatever the order of its attributes; empty where there is none."""
+    out = F.lit("")
+    for name in reversed(names):
+        key = f"(?:name|property|itemprop)\\s*=\\s*[\"']{re.escape(name)}[\"']"
+        value = "content\\s*=\\s*[\"']([^\"']*)[\"']"
+        found = F.concat(F.regexp_extract(html, f"(?is)<meta\\b[^>]*{key}[^>]*{value}", 1), F.regexp_extract(html, f"(?is)<meta\\b[^>]*{value}[^>]*{key}", 1))
+        out = F.when(found != "", found).otherwise(out)
+    return out
+
+
+def _first(*parts: Column) -> Column:
+    return F.coalesce(*[F.nullif(F.btrim(x, F.lit(" \n\t\r")), F.lit("")) for x in parts])
+
+
+def linked(html: str, field: str) -> Column:
+    """A text field of the first linked-data script that has it; empty where none does."""
+    return F.regexp_extract(html, rf'(?is)application/ld\+json[^>]*>.*?"{field}"\s*:\s*"([^"]*)"', 1)
 
 
 def best_title(html: str) -> Column:
-    """Open Graph's title, else Twitter's, else Dublin Core's, else the title element; null where all are blank."""
-    parts = [F.nullif(F.btrim(x), F.lit("")) for x in (meta(html, "og:title"), meta(html, "twitter:title"), meta(html, "DC.title"), title(html))]
-    return F.coalesce(*parts)
+    """Open Graph's title, else Twitter's, else Dublin Core's, else the title element, else linked data's headline; null where all are blank."""
+    return _first(meta(html, "og:title"), meta(html, "twitter:title"), meta(html, "DC.title", "dc.title"), title(html), linked(html, "headline"))
+
+
+def best_date(html: str) -> Column:
+    """When a page was published, as TIMESTAMP: its article's time, else linked data's, else Dublin Core's; null where none can be read."""
+    return F.coalesce(*[any_date(x) for x in (meta(html, "article:published_time"), linked(html, "datePublished"), meta(html, "DC.date", "dc.date", "date"))])
+
+
+def page_metadata(html: str) -> list[Column]:
+    """title, description, author, site, language, canonical, published, keywords of a page, as columns; null where there is none."""
+    canonical = F.regexp_extract(html, r"(?is)<link\b[^>]*rel\s*=\s*[\"']canonical[\"'][^>]*href\s*=\s*[\"']([^\"']*)[\"']", 1)
+    turned = F.regexp_extract(html, r"(?is)<link\b[^>]*href\s*=\s*[\"']([^\"']*)[\"'][^>]*rel\s*=\s*[\"']canonical[\"']", 1)
+    words = F.filter(F.transform(F.split(meta(html, "keywords", "article:tag"), ","), lambda x: F.btrim(x)), lambda x: x != "")
+    return [
+        best_title(html).alias("title"),
+        _first(meta(html, "og:description"), meta(html, "twitter:description"), meta(html, "DC.description", "description"), linked(html, "description")).alias("description"),
+        _first(meta(html, "author", "article:author"), meta(html, "DC.creator", "dc.creator"), linked(html, "author")).alias("author"),
+        _first(meta(html, "og:site_name")).alias("site"),
+        _first(F.regexp_extract(html, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']([^\"']*)[\"']", 1), meta(html, "DC.language", "og:locale")).alias("language"),
+        _first(canonical, turned, meta(html, "og:url")).alias("canonical"),
+        best_date(html).alias("published"),
+        words.alias("keywords"),
+    ]
+
+
+def select_first(html: str | None, selector: str, attribute: str | None = None) -> str | None:
+    """The text, or an attribute, of the first element that a selector fits: tag, .class, #id, [attr], [attr=value] and their combinations."""
+    m = re.fullmatch(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[\w-]+(?:=[^\]]*)?\])*)", selector.strip())
+    if html is None or not m or not selector.strip():
+        return None
+    tag = (m[1] or "*").lower()
+    tests = [(p[1:-1] if p[0] == "[" else p) for p in re.findall(r"[.#][\w-]+|\[[^\]]*\]", m[2] or "")]
+
+    def fits(name: str, attrs: dict[str, str | None]) -> bool:
+        for t in tests:
+            if t[0] == ".":
+                ok = t[1:] in (attrs.get("class") or "").split()
+            elif t[0] == "#":
+                ok = attrs.get("id") == t[1:]
+            else:
+                key, equal, value = t.partition("=")
+                ok = key in attrs and (not equal or attrs[key] == value.strip("\"'"))
+            if not ok:
+                return False
+        return tag in ("*", name)
+
+    class Finder(HTMLParser):
+        depth, name, parts, found = 0, "", None, None
+
+        def handle_starttag(self, name: str, attrs: list) -> None:
+            if self.parts is None and fits(name, dict(attrs)):
+                self.parts, self.name, self.found = [], name, dict(attrs)
+                self.depth = 0 if name in _VOID else 1
+            elif self.depth and name == self.name:
+                self.depth += 1
+
+        def handle_endtag(self, name: str) -> None:
+            if self.depth and name == self.name:
+                self.depth -= 1
+
+        def handle_data(self, data: str) -> None:
+            if self.depth:
+                self.parts.append(data)
+
+    f = Finder(convert_charrefs=True)
+    f.feed(html)
+    f.close()
+    if f.parts is None:
+        return None
+    return f.found.get(attribute) if attribute else " ".join("".join(f.parts).split())
+
+
+def select_column(html: str | Column, selector: str, attribute: str | None = None) -> Column:
+    """select_first() as a column."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([select_first(x, selector, attribute) for x in s], dtype="object")
+
+    return run(F.col(html) if isinstance(html, str) else html)
 
 
 def complexity(html: str) -> Column:
@@ -41,10 +138,14 @@ def complexity(html: str) -> Column:
     return F.when((articles > 0) & (extras + frames <= 1), "simple").when((extras > 4) | (frames > 2), "complex").otherwise("moderate")
 
 
+# What pages that scripts draw have in common.
+SCRIPT_MARKS = r"""id=["'](?:root|app|__next|__nuxt|svelte)["'][^>]*>\s*</|<div[^>]+data-reactroot|ng-app=|ng-version=|data-v-app|window\.__INITIAL_STATE__|window\.__NUXT__|__NEXT_DATA__|class=["'][^"']*(?:skeleton|loading-placeholder)|<noscript>[^<]*(?:enable|requires?) javascript"""
+
+
 def needs_script(html: str) -> Column:
-    """Whether a page seems to be drawn by scripts: an application's root element, or over five scripts and little text."""
+    """Whether a page seems to be drawn by scripts: a framework's mark, or over five scripts and less than 200 characters of text."""
     text = F.length(F.regexp_replace(html, "(?is)<script.*?</script>|<[^>]+>", ""))
-    return F.rlike(html, F.lit("(?i)id=[\"'](root|app|__next|__nuxt)[\"']\\s*>\\s*</")) | ((count_matches(html, "(?i)<script[ >]") > 5) & (text < 200))
+    return F.rlike(html, F.lit("(?i)" + SCRIPT_MARKS)) | ((count_matches(html, "(?i)<script[ >]") > 5) & (text < 200))
 
 
 class _Reader(HTMLParser):
@@ -122,6 +223,8 @@ def read_page(html: str | None) -> dict | None:
     r.feed(html)
     r.close()
     main = _tidy(r.main)
+    if len(main) <= 20:  # pages that keep their text in data
+        main = "\n\n".join(t for x in linked_data(html) for t in texts_in(x)) or "\n\n".join(t for x in app_state(html) for t in texts_in(x))
     tables = ["\n".join("| " + " | ".join(" ".join(c.split()) for c in row) + " |" for row in t if row) for t in r.tables]
     return {"text": main if len(main) > 20 else _tidy(r.out), "headings": [{"level": a, "title": " ".join(b.split())} for a, b in r.headings], "tables": [t for t in tables if t]}
 
@@ -155,6 +258,37 @@ def linked_data(page: str | None) -> list[dict]:
     return out
 
 
+def app_state(page: str | None) -> list:
+    """The data of scripts that are JSON (of an application's state), other than linked data."""
+    out = []
+    for m in re.finditer(r"(?is)<script[^>]+application/json[^>]*>(.*?)</script>", page or ""):
+        try:
+            out.append(json.loads(m[1]))
+        except ValueError:
+            continue
+    return out
+
+
+def structured_text(page: dict) -> str:
+    """The outline, the tables and the text of read_page(), parted by blank lines; what is empty is left out."""
+    return "\n\n".join(x for x in (outline(page["headings"]), *page["tables"], page["text"]) if x)
+
+
+def lists_and_code(html: str | None) -> dict | None:
+    """Lists as Markdown and code blocks with their language; null for null. A list inside another is part of it."""
+    if html is None:
+        return None
+    lists, code = [], []
+    plain = lambda x: " ".join(re.sub(r"(?s)<[^>]+>", " ", x).split())
+    for m in re.finditer(r"(?is)<(ul|ol)\b[^>]*>(.*?)</\1>", html):
+        items = [plain(x) for x in re.findall(r"(?is)<li\b[^>]*>(.*?)(?=<li\b|</li>|$)", m[2])]
+        lists.append("\n".join(f"{i}. {x}" if m[1].lower() == "ol" else f"- {x}" for i, x in enumerate([x for x in items if x], 1)))
+    for m in re.finditer(r"(?is)<pre\b[^>]*>(.*?)</pre>", html):
+        lang = re.search(r"(?i)class=[\"'][^\"']*(?:language|lang|highlight)-([\w+#-]+)", m[0])
+        code.append({"language": lang[1] if lang else None, "code": unescape(re.sub(r"(?s)<[^>]+>", "", m[1])).strip("\n")})
+    return {"lists": [x for x in lists if x], "code": code}
+
+
 def article(page: str | None) -> dict | None:
     """The linked-data object that tells of an article, else the first, else null."""
     found = linked_data(page)

@@ -5,91 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.stem import fold
 from docweave.functions.text import count_matches, tokens
 
-#: Personal data by type, in patterns that both Java and RE2 read alike.
-PII = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "phone": r"\+[0-9]{1,3}[ -][0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}",
-    "card": r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "url": r"https?://[A-Za-z0-9./_-]+",
-    "path": r"/[a-z]+/[a-z0-9/_-]+\.[a-z]{2,4}",
-    "ticket": r"\b[A-Z]{2}-[0-9]{3,5}\b",
-}
-PII_CONFIDENCE = 0.9
-
-#: A few frequent words of each language.
+# Frequent words of each language.
 STOP_WORDS = {
-    "de": ("und", "die", "der", "das", "nicht", "wurde", "weil", "mit", "aus"),
-    "en": ("the", "and", "of", "was", "with", "from", "that", "were", "to"),
-    "es": ("el", "los", "las", "por", "del", "una", "que", "y", "se"),
-    "fr": ("le", "les", "des", "du", "une", "est", "et", "dans", "pour"),
+    "de": "und die der das nicht wurde weil mit aus den von ist ein eine im auf für dem sich auch werden wird sind nach bei zu als an es oder".split(),
+    "en": "the and of was with from that were to is for in on as by are this be it at or an not has have which will but".split(),
+    "es": "el los las por del una que se la de en con para un es como su al lo fue ser pero sus más este ya no".split(),
+    "fr": "le les des du une est et dans pour que en la un sur pas par plus au avec ce qui il sont ses aux ne cette était".split(),
 }
 
 
-def pii_count(text: str, kind: str) -> Column:
-    return count_matches(text, PII[kind])
-
-
-def redact(text: str | Column, kinds: list[str] | None = None) -> Column:
-    """Personal data replaced by its type in brackets, type after type in a fixed order."""
-    out = F.col(text) if isinstance(text, str) else text
-    for kind in kinds or list(PII):
-        out = F.regexp_replace(out, PII[kind], f"[{kind}]")
-    return out
-
-
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def character_quality(text: str) -> Column:
-    """1 less ten times the share of broken characters (replacement signs, typical mojibake, controls), not below 0; 0 for an empty text."""
-    bad = count_matches(text, "[�\x01-\x08\x0b\x0c\x0e-\x1f]|Ã[\x80-\xbf©¨¤¶¼]|â€")
-    size = F.length(text)
-    return F.round(F.when(size > 0, F.greatest(F.lit(0.0), 1 - 10 * bad / size)).otherwise(F.lit(0.0)), 4)
+def grade(score: Column) -> Column:
+    return F.when(score >= 0.9, "A").when(score >= 0.8, "B").when(score >= 0.7, "C").when(score >= 0.6, "D").otherwise("F")
 
 
-def structure_score(text: str) -> Column:
-    """The density of headings, list items, tables and paragraphs, 0 to 1."""
-    marks = count_matches(text, r"(?m)^(#{1,6} |[-*•] |[0-9]+[.)] |\|)") + count_matches(text, "\n\n")
-    return F.round(F.least(F.lit(1.0), F.coalesce(_share(100.0 * marks, F.length(text)), F.lit(0.0))), 4)
+def _plain(word: str) -> str:
+    return fold(word)
 
 
-def completeness(text: str) -> Column:
-    """A ladder on the length: under 50 characters 0.3, under 200 0.6, else 1."""
-    size = F.coalesce(F.length(text), F.lit(0))
-    return F.when(size < 50, 0.3).when(size < 200, 0.6).otherwise(1.0)
+def language(text: str) -> Column:
+    """The language with most stop words; ties go to the first in alphabetical order, null without any."""
+    return language_scores(text)["code"]
 
 
-def lexical_variety(text: str) -> Column:
-    """Distinct words over words."""
+def language_scores(text: str) -> Column:
+    """(n, o, code): the stop words of the language that has most, and its code; null without any."""
     t = tokens(text)
-    return F.round(F.coalesce(_share(F.size(F.array_distinct(t)) * 1.0, F.size(t)), F.lit(0.0)), 4)
-
-
-def overall(text: str) -> Column:
-    """The weighted sum of the scores, to 4 places; a hair is added so that halves go up whatever the order of the sum."""
-    total = 0.4 * completeness(text) + 0.25 * character_quality(text) + 0.2 * structure_score(text) + 0.15 * lexical_variety(text)
-    return F.round(total + 1e-9, 4)
-
-
-def grade(score: Column) -> Column:
-    return F.when(score >= 0.9, "A").when(score >= 0.8, "B").when(score >= 0.7, "C").when(score >= 0.6, "D").otherwise("F")
+    counts = [F.struct(F.size(F.filter(t, _among(words))).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("code")) for i, (code, words) in enumerate(STOP_WORDS.items())]
+    best = F.greatest(*counts)
+    return F.when(best["n"] > 0, best)
 
 
-def language(text: str) -> Column:
-    """The language with most stop words; ties go to the first in alphabetical order, null without any."""
+def language_confidence(text: str) -> Column:
+    """The share of the language's stop words among those of all languages; 0 without any."""
     t = tokens(text)
-    counts = [F.struct(F.size(F.filter(t, _among(words))).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("code")) for i, (code, words) in enumerate(STOP_WORDS.items())]
-    best = F.greatest(*counts)
-    return F.when(best["n"] > 0, best["code"])
+    counts = [F.size(F.filter(t, _among(words))) for words in STOP_WORDS.values()]
+    return F.round(F.coalesce(_share(F.greatest(*counts) * 1.0, sum(counts[1:], counts[0])), F.lit(0.0)), 4)
 
 
-def _among(words: tuple[str, ...]):
-    return lambda x: x.isin(*words)
+def _among(words: list[str]):
+    return lambda x: x.isin(*sorted({_plain(w) for w in words}))
 
 
 def citation_markers(text: str | Column) -> Column:
@@ -99,16 +60,6 @@ def citation_markers(text: str | Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ";"))), lambda x: x.cast("int"))))
 
 
-def keyword_overlap(claim: str, source: str) -> Column:
-    """The share of the claim's longer words (over 3 letters) that the source has."""
-    words = lambda c: F.array_distinct(F.filter(tokens(c), lambda x: F.length(x) > 3))
-    return F.round(F.coalesce(_share(F.size(F.array_intersect(words(claim), words(source))) * 1.0, F.size(words(claim))), F.lit(0.0)), 4)
-
-
-def citation_verdict(overlap: Column) -> Column:
-    return F.when(overlap >= 0.3, "valid").when(overlap >= 0.15, "weak").otherwise("invalid")
-
-
 def format_citation(style: str, title: Column, author: Column, year: Column, name: Column) -> Column:
     """A citation in APA, MLA, Chicago, BibTeX, Markdown or inline style; missing parts are left out."""
     who, when = F.coalesce(author, name), F.coalesce(year, F.lit("n.d."))

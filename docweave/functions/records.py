@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.keys import as_column, iso_instant
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy")
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd/MM/yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "yyyyMMdd")
 
 
 def surname(author: str | Column) -> Column:

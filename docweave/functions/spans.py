@@ -1,4 +1,4 @@
-"""Spans of personal data and of cited claims, and vectors pooled over spans."""
+"""Spans of cited claims, and vectors pooled over spans."""
 
 from __future__ import annotations
 
@@ -10,50 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docweave.functions.quality import PII, PII_CONFIDENCE
-
-SPANS = "array<struct<type:string,value:string,start:int,stop:int,confidence:double>>"
-_COMPILED = {k: re.compile(p) for k, p in PII.items()}
 _MARKER = re.compile(r"\[(\d+(?:;\d+)*)\]")
 
 
-def without_overlaps(spans: list[dict]) -> list[dict]:
-    """Spans by start, then the surer, then the longer first; one that begins before the last kept one ends is left out."""
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start"], -s["confidence"], -s["stop"])):
-        if not out or s["start"] >= out[-1]["stop"]:
-            out.append(s)
-    return out
-
-
-def personal_data(text: str | None, allowed: frozenset[str] = frozenset(), kinds: tuple[str, ...] = tuple(PII)) -> list[dict] | None:
-    """The spans of personal data in a text, no two overlapping; values in allowed are none. Null for null."""
-    if text is None:
-        return None
-    found = [{"type": k, "value": m[0], "start": m.start(), "stop": m.end(), "confidence": PII_CONFIDENCE} for k in kinds for m in _COMPILED[k].finditer(text) if m[0] not in allowed]
-    return without_overlaps(found)
-
-
-def mask(text: str | None, spans: list[dict] | None, sign: str = "█") -> str | None:
-    """The text with every span covered by as many signs as it has characters."""
-    if text is None or not spans:
-        return text
-    out, at = [], 0
-    for s in sorted(spans, key=lambda s: s["start"]):
-        out += [text[at : s["start"]], sign * (s["stop"] - s["start"])]
-        at = s["stop"]
-    return "".join([*out, text[at:]])
-
-
-def personal_data_column(text: str | Column, allowed: frozenset[str] = frozenset()) -> Column:
-    @F.pandas_udf(SPANS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([personal_data(t, allowed) for t in s], dtype="object")
-
-    return run(F.col(text) if isinstance(text, str) else text)
-
-
 def claims(answer: str | None) -> list[dict]:
     """(claim, markers) of every sentence that cites: the sentence without its markers, and their numbers."""
     out = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,26 @@ from docweave.functions.keys import as_column
 ZERO_WIDTH = "​‌‍⁠﻿"
 
 
+def _accents() -> tuple[str, str]:
+    """The letters whose canonical decomposition is one sign and marks, and these signs."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2200)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+_ACCENTED, _PLAIN = _accents()
+#: What parts words.
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
+def folded(text: str | Column) -> Column:
+    """Lower case without accents and combining marks."""
+    return F.regexp_replace(F.translate(F.lower(as_column(text)), _ACCENTED, _PLAIN), r"\p{M}+", "")
+
+
 def tokens(text: str | Column) -> Column:
-    """Runs of ASCII letters and digits in lower case; null for null text."""
-    return F.filter(F.split(F.lower(as_column(text)), "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of letters and digits in lower case, accents folded; null for null text."""
+    return F.filter(F.split(folded(text), NO_WORD), lambda t: t != "")
 
 
 def token_count(text: str | Column) -> Column:

@@ -59,9 +59,9 @@ def decayed_mean(ranked: DataFrame, decay: float) -> DataFrame:
 def pack(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """(group, order, used): rows of each group in order while their sizes fit the budget, to the first that does not.
 
-    Only rows before the budget matter, so each group is first cut to what can fit where sizes are at least 1.
+    Rows of size 0 fit as long as no row before them failed; null and negative sizes count as 0.
     """
     w = Window.partitionBy(group).orderBy(order)
-    near = rows.where(F.col(size) > 0).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= budget)
+    near = rows.withColumn(size, F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)))
     used = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("used", used).where(F.col("used") <= budget).select(group, order, "used")

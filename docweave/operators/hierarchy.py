@@ -103,7 +103,7 @@ def cycle_members(nodes: DataFrame, id_col: str, parent_col: str, scratch: Scrat
             continue
         records = nodes.sparkSession.read.parquet(scratch.path(f"r{turn}")).where(F.col("step") == COMPRESSED).select(F.col("id").alias("__id"), "child")
         more = records.join(found, records["child"] == found["id"]).select("loop", F.col("__id").alias("id"))
-        found = scratch.write(f"c{turn}", found.unionByName(more).coalesce(8))
+        found = scratch.write(f"c{turn}", found.unionByName(more))
     names = found.groupBy("loop").agg(F.min("id").alias("cycle_id"))
     return found.join(names, "loop").select("cycle_id", "id")
 
@@ -142,5 +142,7 @@ def closure(tree: DataFrame) -> DataFrame:
 
 def descendant_counts(tree: DataFrame) -> DataFrame:
     """(id, descendants): the number of nodes below each node of a tree; leaves have 0."""
-    below = closure(tree).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("descendants"))
+    # counted before they are shuffled: of each task's nodes the ancestors
+    steps = tree.where(F.col("path").isNotNull()).select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("id"))
+    below = steps.groupBy("id").agg(F.count("*").alias("descendants"))
     return tree.where(F.col("path").isNotNull()).select("id").join(below, "id", "left").select("id", F.coalesce("descendants", F.lit(0).cast("bigint")).alias("descendants"))

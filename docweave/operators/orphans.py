@@ -62,7 +62,8 @@ def orphan_references(
         (F.col(born) if born else F.lit(None).cast("timestamp")).alias("__born"),
         (F.col(dead) if dead else F.lit(None).cast("timestamp")).alias("__dead"),
     )
-    masks = range(1, full + 1) if match == PARTIAL else [full]
+    # only the masks that references have: at most 2^n rows, a key having few columns
+    masks = [m[0] for m in r.select("__mask").distinct().collect() if m[0]] or [full] if match == PARTIAL else [full]
     projections = F.explode(F.array(*[F.lit(m) for m in masks]))
     t = t.withColumn("__mask", projections)
     for i, c in enumerate(columns):

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.stem import fold
+
 
 class QueryError(ValueError):
     """A query that cannot be read; position is the character where it fails."""
@@ -66,7 +68,8 @@ def _lex(query: str) -> list[tuple[str, str, int]]:
 
 
 def words(text: str) -> list[str]:
-    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    """Runs of letters and digits in lower case, accents folded, as functions.text.tokens cuts texts."""
+    return re.findall(r"[^\W_]+", fold(text))
 
 
 class _Parser:
@@ -122,15 +125,16 @@ class _Parser:
 
 
 def parse(query: str) -> object:
-    """The tree of a query; QueryError for one that is empty, unbalanced, or begins or ends with an operator."""
+    """The tree of a query; QueryError for one that is empty, unbalanced, or begins or ends with an operator.
+
+    A NOT alone is read, and lint() warns of it: it ranks nothing, so a search finds nothing by it.
+    """
     p = _Parser(query)
     if not p.items:
         raise QueryError("empty query")
     node = p.side_by_side()
     if p.peek() is not None:
         raise QueryError("parenthesis was not opened", p.items[p.at][2])
-    if isinstance(node, Not):
-        raise QueryError("a query cannot be a NOT alone")
     return node
 
 
@@ -148,8 +152,8 @@ def parse_or_words(query: str) -> object:
 
 
 def lint(node: object, most_terms: int = 20, most_depth: int = 5) -> list[str]:
-    """Warnings: too deep, too many terms, NOT of NOT."""
-    out, terms = [], 0
+    """Warnings: too deep, too many terms, NOT of NOT, NOT alone."""
+    out, terms = (["NOT alone"] if isinstance(node, Not) else []), 0
 
     def walk(x: object, depth: int) -> int:
         nonlocal terms

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docweave.functions.text import tokens
+from docweave.functions.text import NO_WORD, folded, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
 SEMANTIC_WEIGHT, KEYWORD_WEIGHT, BM25_SCALE = 0.7, 0.3, 10.0
@@ -40,7 +40,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], only: DataFrame
     """
     terms = sorted(set(query))
     # tokens parted by two blanks, so that each is found with its own blanks around it: string functions instead of arrays
-    spaced = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", "  ")), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.btrim(F.regexp_replace(folded(text), NO_WORD, "  ")), F.lit(" "))
     counted = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), spaced.alias("__s"))
     size = F.when(F.length("__s") > 2, _occurrences("  ") + 1).otherwise(F.lit(0)).cast("int").alias("len")
     tf = [_occurrences(f" {q} ").cast("int").alias(f"tf{i}") for i, q in enumerate(terms)]
@@ -98,14 +98,15 @@ def knn_l2(vectors: DataFrame, key: str, vector: str, query: list[float], k: int
     return top(scored, k)
 
 
-def knn_batch(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, dim: int, block: int = 2048, parts: int = 16) -> DataFrame:
+def knn_batch(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, dim: int, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of each query vector by cosine, the query itself aside.
 
-    Blocks of vectors meet blocks of queries; each pair of blocks is one matrix product that keeps k rows a query, and
-    the partial results are merged by a window. Queries are a stated set; a block has so many ids of
-    vectors, and the queries are in so many parts.
+    Blocks of about block vectors meet blocks of as many queries, both cut by hash into parts that the counts give, so that a
+    packed row has a bounded size whatever the tables'. Each pair of blocks is one matrix product that keeps k rows a
+    query, and the partial results are merged by a window. Queries are a stated set.
     """
     fine = lambda df: df.where((F.size(vector) == dim) & F.exists(vector, lambda x: x != 0)).select(F.col(key).cast("bigint").alias("id"), _doubles(F.col(vector)).alias("v"))
+    parts, blocks = (max(1, -(-df.count() // block)) for df in (queries, vectors))
     left = fine(queries).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(parts)))
     packed_q = left.groupBy("qb").agg(F.collect_list(F.struct("id", "v")).alias("q"))
 
@@ -128,7 +129,7 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k:
             a, c, d = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "id", "score"])
 
-    right = fine(vectors).withColumn("vb", F.floor(F.col("id") / block))  # ids are dense, so blocks are even
+    right = fine(vectors).withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     packed_v = right.groupBy("vb").agg(F.collect_list(F.struct("id", "v")).alias("m"))
     met = packed_v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(packed_q, "qb")
     partial = met.select("m", "q").mapInArrow(run, "query_id bigint, id bigint, score double")

@@ -52,10 +52,10 @@ def ids_with_vector(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphan_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines per ship year whose part costs more than any part of an order that exists: lines without an order are counted."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", F.year("l_shipdate").alias("year"))
-    orders = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return lines.join(orders, "l_orderkey", "left_anti").groupBy("year").agg(F.count("*").alias("lines"))
+    """Chunks of each batch whose document has no record."""
+    known = table(spark, d, "document_records").select(norm_key("document_id").alias("doc")).where("doc IS NOT NULL").distinct()
+    v = table(spark, d, "vector_metadata").dropDuplicates(["vector_id"]).select("batch_no", norm_key("document_id").alias("doc"))
+    return v.join(known, "doc", "left_anti").groupBy("batch_no").agg(F.count("*").alias("orphans"))
 
 
 def file_types(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +236,7 @@ n AS (SELECT doc, file_size AS new, true AS in_new FROM r WHERE batch_no > 20 QU
 SELECT coalesce(o.doc, n.doc) AS doc, CASE WHEN in_old IS NULL THEN 'new' WHEN in_new IS NULL THEN 'missing' WHEN old IS NOT DISTINCT FROM new THEN 'same' ELSE 'changed' END AS change FROM o FULL OUTER JOIN n ON o.doc = n.doc""",
     "set_difference_ids": "SELECT chunk_id FROM vector_metadata EXCEPT SELECT chunk_id FROM chunk_embeddings",
     "set_intersect_ids": "SELECT chunk_id FROM vector_metadata INTERSECT SELECT chunk_id FROM chunk_embeddings",
-    "orphan_check": "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
+    "orphan_check": f"SELECT batch_no, count(*) AS orphans FROM (SELECT DISTINCT ON (vector_id) batch_no, {_N.format('document_id')} AS doc FROM vector_metadata) v LEFT JOIN (SELECT DISTINCT {_N.format('document_id')} AS id FROM document_records) r ON r.id = v.doc WHERE r.id IS NULL GROUP BY 1",
     "file_type_histogram": f"SELECT upper(coalesce({_N.format('file_type')}, 'unknown')) AS file_type, count(*) AS records, count(DISTINCT {_N.format('document_id')}) AS documents, CAST(sum(chunk_count) AS BIGINT) AS chunks FROM {_REC} GROUP BY 1",
     "corpus_stats": 'SELECT doc_type, count(*) AS documents, round(avg(length(text)), 4) AS mean_chars, min(ingested_at) AS "first", max(ingested_at) AS "last" FROM documents GROUP BY 1',
     "latency_summary": f"""SELECT operation, count(*) AS n, round(avg(duration_ms), 4) AS mean_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(coalesce(stddev_samp(duration_ms), 0), 4) AS stdev_ms,

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import analytics, collections_tree, metadata, records, references, searching, streams, texts
+from docweave.plans import analytics, answering, collections_tree, edits, metadata, records, references, searching, stores, streams, texts
 
-MODULES = (references, collections_tree, searching, metadata, analytics, texts, streams, records)
+MODULES = (references, collections_tree, searching, metadata, analytics, texts, streams, records, stores, edits, answering)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

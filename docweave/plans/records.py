@@ -135,7 +135,7 @@ _N = "nullif(lower(trim({}, ' ' || chr(9) || chr(10) || chr(13))), '')"
 _REC = "(SELECT DISTINCT ON (record_id) * FROM document_records)"
 _SUG = "(SELECT DISTINCT ON (id) * FROM tag_suggestions)"
 _HASH = f"regexp_replace({_N.format('content_hash')}, '^sha256:', '')[1:32]"
-_TOKS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+_TOKS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _TITLE = "array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(filename, '\\.[^.]+$', ''), '[-_.]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 _FIELD = "CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.{}') END"
 

@@ -139,7 +139,7 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("final_rank", final).where("rerank_score >= 0.3")
 
 
-_TOKS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+_TOKS = r"list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
 def _bm25_sql(terms: list[str], cte: str = "bm", only: str = "true") -> str:

@@ -1,0 +1,186 @@
+"""The kept keyword index and the document store."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.functions.keys import norm_key
+from docweave.operators.documents import DocumentStore, export_filter, export_metadata
+from docweave.operators.engines import HashedEmbedder, OverlapReranker, embedded, reranked
+from docweave.operators.keyindex import KeywordIndex
+from docweave.session import Scratch, table
+
+_built: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "vector_metadata").dropDuplicates(["vector_id"])
+    return v.select(norm_key("document_id").alias("document"), F.col("vector_id").cast("string").alias("chunk"), F.col("content").alias("text"), "batch_no")
+
+
+def index(spark: SparkSession, d: str) -> KeywordIndex:
+    """The index over all chunks, built once a session; words are not stemmed, so that SQL can say the same."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        made = KeywordIndex(spark, Scratch(spark, "keyindex").path("index"), stemmed=False)
+        made.add(chunks(spark, d))
+        _built[key] = made
+    return _built[key]
+
+
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    documents, n, mean = index(spark, d).statistics()
+    return spark.createDataFrame([(documents, n, round(mean, 6))], "documents bigint, chunks bigint, mean_length double")
+
+
+SEARCHES = {"or": "archive OR query OR index", "phrase": '"audit trail" AND archive', "not": "(snapshot OR glossary) NOT index*"}
+
+
+def indexed(name: str, spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d).search(SEARCHES[name], 50)
+
+
+def index_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks a document has after batches 1 to 20 were added, then those of later batches (each document anew), and documents that begin with 0 deleted."""
+    ix = KeywordIndex(spark, Scratch(spark, "keyindex").path("changing"), stemmed=False)
+    c = chunks(spark, d)
+    ix.add(c.where("batch_no <= 20"))
+    ix.add(c.where("batch_no > 20"))
+    ix.delete(c.where("document LIKE '0%'").select("document"))
+    return ix.documents().select("document", "chunks")
+
+
+def _loaded(spark: SparkSession, d: str, name: str) -> DocumentStore:
+    store = DocumentStore(spark, Scratch(spark, "store").path(name), dim=64)
+    r = table(spark, d, "document_records").select(norm_key("document_id").alias("document_id"), "record_id", "path", "filename", "file_type", "file_size", norm_key("content_hash").alias("content_hash"), "metadata")
+    r = r.where("document_id IS NOT NULL").groupBy("document_id").agg(F.max_by(F.struct("path", "filename", "file_type", "file_size", "content_hash", "metadata"), "record_id").alias("r")).select("document_id", "r.*")
+    e = table(spark, d, "chunk_embeddings").where(F.size("embedding") == 64).groupBy("chunk_id").agg(F.min("embedding").alias("embedding"))
+    v = table(spark, d, "vector_metadata").dropDuplicates(["vector_id"]).select(norm_key("document_id").alias("document_id"), "chunk_id", F.col("vector_id").cast("int").alias("position"), "content", "metadata")
+    store.add(r, v.join(e, "chunk_id", "left"))
+    return store
+
+
+def store_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The store after all documents were added and those that begin with 0 deleted."""
+    store = _loaded(spark, d, "statistics")
+    store.delete(store.documents.live().where("document_id LIKE '0%'"))
+    return store.statistics()
+
+
+def store_import(policy: str, spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the documents of an archive that begin with 0 to 3 when those that begin with 0 or 1 are there: by action, the documents and chunks that the store has then."""
+    whole = _loaded(spark, d, f"archive-{policy}")
+    store = DocumentStore(spark, Scratch(spark, "store").path(f"import-{policy}"), dim=64)
+    docs, held = whole.documents.live(), whole.held_chunks()
+    store.add(docs.where("document_id < '2'"), held)
+    plan = store.import_archive(docs.where("document_id < '4'"), held.where("document_id < '4'"), policy, stamp="1")
+    totals = store.statistics().select(F.lit("total").alias("action"), "documents", "chunks")
+    return plan.groupBy("action").agg(F.count("*").alias("documents"), F.lit(None).cast("bigint").alias("chunks")).unionByName(totals)
+
+
+def store_export(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to export of one kind of tag, with the number of characters of their chunks' metadata without core keys."""
+    store = _loaded(spark, d, "export")
+    m = table(spark, d, "tag_suggestions").where(norm_key("status") == "confirmed").select(norm_key("doc_id").alias("document_id"), norm_key("tag_name").alias("t")).where("document_id IS NOT NULL AND t IS NOT NULL")
+    m = m.groupBy("document_id").agg(F.collect_set("t").alias("tags"), F.lit("").alias("project"))
+    return export_filter(store.documents.live(), m, tags=["topic/quinozon", "quinozon"]).select("document_id")
+
+
+def export_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of chunks' metadata that an export keeps, with their use."""
+    v = table(spark, d, "vector_metadata").dropDuplicates(["vector_id"])
+    kept = export_metadata(v, core=("page", "strategy", "document_id", "chunk_id", "content")).select(F.explode(F.map_keys(F.from_json("metadata", "map<string,string>"))).alias("key"))
+    return kept.groupBy("key").agg(F.count("*").alias("chunks"))
+
+
+def embedded_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of documents with one vector of the hashed embedder: their size and first document."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    e = docs.select("doc_id", embedded("text", _embedder).alias("v")).where(F.exists("v", lambda x: x != 0))
+    return e.groupBy(F.xxhash64("v").alias("h")).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first")).where("documents > 1").select("documents", "first")
+
+
+def _embedder() -> HashedEmbedder:
+    return HashedEmbedder(256)
+
+
+def rerank_engine(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 best chunks of a query ranked anew by the overlap engine, the 20 best of at least 0.3."""
+    found = index(spark, d).search(SEARCHES["or"], 50)
+    texts = chunks(spark, d).select("document", "chunk", "text")
+    rows = found.join(texts, ["document", "chunk"]).withColumn("id", F.concat_ws("/", "document", "chunk"))
+    return reranked(rows, "archive query index", "text", OverlapReranker, 20, 0.3).select("id", "original_rank", "rerank_score", "final_rank")
+
+
+_V = "(SELECT DISTINCT ON (vector_id) * FROM vector_metadata)"
+_D = "nullif(lower(trim(document_id, ' ' || chr(9) || chr(10) || chr(13))), '')"
+_W = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce(content, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_C = f"c AS (SELECT {_D} AS document, CAST(vector_id AS VARCHAR) AS chunk, {_W} AS w FROM {_V} WHERE {_D} IS NOT NULL), st AS (SELECT count(*) AS n, avg(len(w)) AS l FROM c)"
+
+
+def _count(word: str) -> str:
+    return f"len(list_filter(w, lambda x: x = '{word}'))"
+
+
+def _phrase(*words: str) -> str:
+    tests = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(words, 1))
+    return f"len(list_filter(range(len(w)), lambda i: {tests}))"
+
+
+def _search(items: list[str], match: str, extra: str = "false AS g") -> str:
+    cols = ", ".join(f"{x} AS f{i}" for i, x in enumerate(items))
+    dfs = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(items)))
+    score = " + ".join(f"greatest(ln((n - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / l))" for i in range(len(items)))
+    return f"""WITH {_C}, f AS (SELECT document, chunk, len(w) AS len, {cols}, {extra} FROM c), df AS (SELECT {dfs} FROM f),
+s AS (SELECT document, chunk, round({score}, 6) AS score FROM f, df, st WHERE {match})
+SELECT *, CAST(row_number() OVER (ORDER BY score DESC, document, chunk) AS INTEGER) AS rank FROM s ORDER BY score DESC, document, chunk LIMIT 50"""
+
+
+_PICK = f"SELECT DISTINCT {_D} AS document_id FROM document_records WHERE {_D} IS NOT NULL"
+_HELD = f"h AS (SELECT {_D} AS document_id, v.chunk_id, e.chunk_id IS NOT NULL AS has FROM {_V} v LEFT JOIN (SELECT DISTINCT chunk_id FROM chunk_embeddings WHERE len(embedding) = 64) e USING (chunk_id) WHERE {_D} IN ({_PICK})), dd AS (SELECT DISTINCT document_id FROM h)"
+
+
+def _import_sql(policy: str) -> str:
+    clash = {"skip": "skipped", "replace": "replaced", "merge": "merged", "rename": "renamed"}[policy]
+    fresh = "document_id >= '2' AND document_id < '4' AND document_id IN (SELECT document_id FROM h WHERE has)"
+    documents = f"(SELECT count(*) FROM dd WHERE document_id < '2' OR ({fresh}))"
+    chunks_sql = f"(SELECT count(*) FROM h WHERE document_id < '2' OR ({fresh} AND has))"
+    if policy == "replace":
+        chunks_sql = "(SELECT count(*) FROM h WHERE document_id < '4' AND (has OR (document_id < '2' AND document_id NOT IN (SELECT document_id FROM h WHERE has))))"
+    if policy == "rename":
+        renamed = "document_id < '2' AND document_id IN (SELECT document_id FROM h WHERE has)"
+        documents = f"{documents} + (SELECT count(*) FROM dd WHERE {renamed})"
+        chunks_sql = f"{chunks_sql} + (SELECT count(*) FROM h WHERE {renamed} AND has)"
+    return f"""WITH {_HELD}
+SELECT CASE WHEN document_id < '2' THEN '{clash}' ELSE 'added' END AS action, count(*) AS documents, NULL::BIGINT AS chunks FROM dd WHERE document_id < '4' GROUP BY 1
+UNION ALL SELECT 'total', {documents}, {chunks_sql}"""
+
+
+POLICIES = ("skip", "replace", "merge", "rename")
+QUERIES = {
+    "index_build": index_build,
+    **{f"index_search_{n}": partial(indexed, n) for n in SEARCHES},
+    "index_changes": index_changes,
+    "store_statistics": store_statistics,
+    **{f"store_import_{p}": partial(store_import, p) for p in POLICIES},
+    "store_export": store_export,
+    "export_keys": export_keys,
+    "embedded_repeats": embedded_repeats,
+    "rerank_engine": rerank_engine,
+}
+SQL = {
+    "index_build": f"WITH {_C} SELECT (SELECT count(DISTINCT document) FROM c) AS documents, n AS chunks, round(l, 6) AS mean_length FROM st",
+    "index_search_or": _search([_count("archive"), _count("query"), _count("index")], "f0 + f1 + f2 > 0"),
+    "index_search_phrase": _search([_phrase("audit", "trail"), _count("archive")], "f0 > 0 AND f1 > 0"),
+    "index_search_not": _search([_count("snapshot"), _count("glossary")], "f0 + f1 > 0 AND NOT g", "len(list_filter(w, lambda x: starts_with(x, 'index'))) > 0 AS g"),
+    "index_changes": f"""WITH c AS (SELECT {_D} AS document, batch_no FROM {_V} WHERE {_D} IS NOT NULL AND batch_no IS NOT NULL), l AS (SELECT document, max(batch_no > 20) AS late FROM c GROUP BY 1)
+SELECT document, count(*) AS chunks FROM c JOIN l USING (document) WHERE (batch_no > 20) = late AND NOT starts_with(document, '0') GROUP BY 1""",
+    "store_statistics": f"WITH {_HELD}, k AS (SELECT * FROM h WHERE NOT starts_with(document_id, '0')) SELECT count(DISTINCT document_id) AS documents, count(*) AS chunks, count(*) FILTER (has) AS embedded, CAST(max(CASE WHEN has THEN 64 END) AS INTEGER) AS dimension FROM k",
+    **{f"store_import_{p}": _import_sql(p) for p in POLICIES},
+    "store_export": f"""WITH {_HELD}, t AS (SELECT nullif(lower(trim(doc_id, ' ' || chr(9) || chr(10) || chr(13))), '') AS d, nullif(lower(trim(tag_name, ' ' || chr(9) || chr(10) || chr(13))), '') AS t FROM tag_suggestions WHERE lower(trim(status, ' ' || chr(9) || chr(10) || chr(13))) = 'confirmed'),
+m AS (SELECT d, max(t IN ('topic/quinozon', 'quinozon')) AS hit FROM t WHERE d IS NOT NULL AND t IS NOT NULL GROUP BY 1) SELECT document_id FROM dd LEFT JOIN m ON d = document_id WHERE coalesce(hit, true)""",
+    "export_keys": f"SELECT key, count(*) AS chunks FROM (SELECT unnest(json_keys(metadata)) AS key FROM {_V} WHERE json_valid(metadata) AND json_type(metadata) = 'OBJECT') WHERE key NOT IN ('page', 'strategy', 'document_id', 'chunk_id', 'content') GROUP BY 1",
+}

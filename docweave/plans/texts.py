@@ -7,7 +7,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions import chunks, html, quality, text
+from docweave.functions import chunks, html, pii, quality, text
+from docweave.functions.stem import fold
+from docweave.operators import answers
 from docweave.functions.keys import norm_key
 from docweave.session import table
 
@@ -49,15 +51,21 @@ def sizes(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.token_count("text").alias("tokens"), text.shorten("text", 80).alias("preview"))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """The five scores of each document as text of no known type, its recorded size being n_chars."""
+    scores = (quality.extraction_completeness("text", F.col("n_chars")), quality.extraction_characters("text"), quality.extraction_structure("text"), quality.extraction_images("text"), quality.extraction_tables("text"))
+    q = docs(spark, d).select("doc_id", "doc_type", *[F.round(c, 6).alias(n) for n, c in zip(quality.WEIGHTS, scores)])
+    return q.withColumn("overall", quality.extraction_overall(*[F.col(n) for n in quality.WEIGHTS]))
+
+
 def quality_scores(spark: SparkSession, d: str) -> DataFrame:
-    score = quality.overall("text")
-    return docs(spark, d).select("doc_id", quality.completeness("text").alias("completeness"), quality.character_quality("text").alias("characters"), quality.structure_score("text").alias("structure"), quality.lexical_variety("text").alias("variety"), score.alias("overall"), quality.grade(score).alias("grade"))
+    return _scored(spark, d).drop("doc_type").withColumn("grade", quality.grade(F.col("overall")))
 
 
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    q = docs(spark, d).select("doc_type", quality.overall("text").alias("overall"))
-    band = [F.count_if(c).alias(n) for n, c in (("excellent", F.col("overall") >= 0.8), ("good", (F.col("overall") >= 0.6) & (F.col("overall") < 0.8)), ("poor", F.col("overall") < 0.6))]
-    return q.groupBy("doc_type").agg(F.count("*").alias("documents"), F.round(F.avg("overall"), 5).alias("mean"), *band)
+    o = F.col("overall")
+    bands = {"excellent": o >= 0.9, "good": (o >= 0.7) & (o < 0.9), "fair": (o >= 0.5) & (o < 0.7), "poor": o < 0.5}
+    return _scored(spark, d).groupBy("doc_type").agg(F.count("*").alias("documents"), F.round(F.avg("overall"), 5).alias("mean"), *[F.count_if(c).alias(n) for n, c in bands.items()])
 
 
 def _extractions(spark: SparkSession, d: str) -> DataFrame:
@@ -93,18 +101,20 @@ def extraction_report(spark: SparkSession, d: str, threshold: float = 0.7) -> Da
 
 
 def pii_counts(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", *[quality.pii_count("text", k).alias(k) for k in quality.PII])
+    return docs(spark, d).select("doc_id", *pii.counts("text"))
 
 
 def pii_report(spark: SparkSession, d: str) -> DataFrame:
     """Findings by type, with the documents they are in."""
-    found = docs(spark, d).select(F.explode(F.array(*[F.struct(F.lit(k).alias("type"), quality.pii_count("text", k).alias("n")) for k in quality.PII])).alias("x")).select("x.*")
-    return found.groupBy("type").agg(F.sum("n").cast("bigint").alias("findings"), F.count_if(F.col("n") > 0).alias("documents"))
+    found = docs(spark, d).select(*pii.counts("text"))
+    each = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("type"), F.col(f"n_{k.lower()}").alias("n")) for k in pii.PATTERNS])).alias("x")).select("x.*")
+    return each.groupBy("type").agg(F.sum("n").cast("bigint").alias("findings"), F.count_if(F.col("n") > 0).alias("documents"))
 
 
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
-    clean = quality.redact("text")
-    return docs(spark, d).where("text IS NOT NULL").select("doc_id", F.md5(clean).alias("digest"), (clean != F.col("text")).alias("changed"))
+    """Every text with its personal data covered sign by sign; the length stays."""
+    clean = pii.masked("text")
+    return docs(spark, d).where("text IS NOT NULL").select("doc_id", F.md5(clean).alias("digest"), F.length(clean).alias("size"))
 
 
 def languages(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +129,9 @@ def citation_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Each chunk as a claim against the chunk that comes before it in its document's numbering."""
     v = table(spark, d, "vector_metadata").dropDuplicates(["vector_id"]).select("vector_id", "content").where("content IS NOT NULL")
     source = v.select((F.col("vector_id") + 1).alias("vector_id"), F.col("content").alias("source"))
-    overlap = quality.keyword_overlap("content", "source")
-    return v.join(source, "vector_id").select("vector_id", overlap.alias("overlap"), quality.citation_verdict(overlap).alias("verdict"))
+    shared = answers.overlap("content", "source")
+    said = answers.verdict(shared)
+    return v.join(source, "vector_id").select("vector_id", shared.alias("overlap"), said["verdict"].alias("verdict"), said["confidence"].alias("confidence"))
 
 
 def citation_formats(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +187,7 @@ _ZW = "chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279)"
 _UNI = "trim(" + _g(f"translate(text, {_ZW}, '')", ("\\r\\n?", "\\n"), ("[ \\t]+", " "), (" ?\\n ?", "\\n"), ("\\n{3,}", "\\n\\n")) + ", ' ' || chr(10) || chr(9))"
 _UNI = _UNI.replace("'\\n\\n'", "chr(10) || chr(10)").replace("'\\n', 'g'", "chr(10), 'g'")
 _LB = _g("text", ("([a-z])-\\n([a-z])", "\\1\\2"), ("([a-z,;])\\n([a-z])", "\\1 \\2"), ("[ \\t]+", " "), ("\\n{3,}", "\\n\\n")).replace("'\\n\\n', 'g'", "chr(10) || chr(10), 'g'")
-_TOKS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_TOKS = r"list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
 def _lines(pattern: str) -> str:
@@ -188,15 +199,21 @@ def _count(pattern: str, of: str = "text") -> str:
 
 
 _TITLE = "array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(filename, '\\.[^.]+$', ''), '[-_.]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
-_BAD = _count("[�\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]|Ã[\\x{80}-\\x{bf}©¨¤¶¼]|â€")
-_COMP = "CASE WHEN coalesce(length(text), 0) < 50 THEN 0.3 WHEN length(text) < 200 THEN 0.6 ELSE 1.0 END"
-_QUAL = f"""q0 AS (SELECT doc_id, doc_type, {_COMP}::DOUBLE AS completeness, round(CASE WHEN length(text) > 0 THEN greatest(0.0, 1 - 10 * {_BAD} / length(text)::DOUBLE) ELSE 0 END, 4) AS characters,
- round(least(1.0, coalesce(CASE WHEN length(text) > 0 THEN 100.0 * ({_count("(?m)^(#{1,6} |[-*•] |[0-9]+[.)] |[|])")} + {_count("\\n\\n")}) / length(text)::DOUBLE ELSE 0 END, 0)), 4) AS structure,
- round(coalesce(CASE WHEN len({_TOKS.format("text")}) > 0 THEN len(list_distinct({_TOKS.format("text")})) / len({_TOKS.format("text")})::DOUBLE ELSE 0 END, 0), 4) AS variety FROM documents),
-q AS (SELECT *, round(0.4 * completeness + 0.25 * characters + 0.2 * structure + 0.15 * variety + 1e-9, 4) AS overall FROM q0)"""
+_HAS = lambda p, flags="": f"coalesce(regexp_matches(text, '{flags}{p}'), false)"
+_QUAL = f"""q0 AS (SELECT doc_id, doc_type, text, length(text)::DOUBLE AS size, coalesce(length(text), 0)::DOUBLE / nullif(n_chars, 0) AS r, n_chars,
+ (length(text) - length({_g("text", ("�+", ""))})) + (length(text) - length({_g("text", ("â€[™œ]", ""))})) + (length(text) - length({_g("text", ("Ã[\\x{80}-\\x{bf}]", ""))})) + (length(text) - length({_g("text", ("ï»¿", ""))})) + (length(text) - length({_g("text", ("[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""))})) AS bad,
+ length(text) - length({_g("text", ("\\p{C}", ""))}) AS other,
+ {" + ".join(_count("(?m)" + p.replace("'", "''")) for p in quality.STRUCTURE)} AS marks FROM documents),
+q1 AS (SELECT doc_id, doc_type, round(CASE WHEN n_chars = 0 THEN 0.0 WHEN n_chars IS NOT NULL THEN least(1.0, greatest(0.0, CASE WHEN r < 0.005 THEN r / 0.005 * 0.3 WHEN r < 0.05 THEN 0.3 + (r - 0.005) / 0.045 * 0.4 WHEN r <= 0.5 THEN 0.7 + (r - 0.05) / 0.45 * 0.3 ELSE greatest(0.5, 1 - (r - 0.5)) END)) END, 6) AS completeness,
+ CASE WHEN size > 0 THEN CASE WHEN bad = 0 AND other / size < 0.01 THEN 1.0 WHEN bad / size < 0.001 THEN 0.95 WHEN bad / size < 0.01 THEN 0.8 WHEN bad / size < 0.05 THEN 0.5 ELSE round(greatest(0.0, 0.3 - bad / size), 6) END ELSE 0.0 END AS characters,
+ round(CASE WHEN size > 0 THEN CASE WHEN marks = 0 AND size > 500 THEN 0.3 WHEN marks < size / 1000 THEN 0.5 + marks / (size / 1000) * 0.3 WHEN marks < size / 500 THEN 0.8 + (marks - size / 1000) / (size / 1000) * 0.15 ELSE 0.95 END ELSE 0.0 END, 6) AS structure,
+ CASE WHEN size > 0 THEN CASE WHEN {_HAS(quality.IMAGES["caption"], "(?im)")} OR {_HAS(quality.IMAGES["placeholder"], "(?im)")} OR {_HAS(quality.IMAGES["markdown"])} THEN 0.85 ELSE 0.7 END ELSE 0.0 END AS images,
+ CASE WHEN size > 0 THEN CASE WHEN {_HAS(quality.TABLES["row"])} AND {_HAS(quality.TABLES["header"])} THEN 0.95 WHEN {_HAS(quality.TABLES["placeholder"])} THEN 0.7 ELSE 0.6 END ELSE 0.0 END AS tables FROM q0),
+q AS (SELECT *, round(0.30::DOUBLE * completeness + 0.25::DOUBLE * characters + 0.20::DOUBLE * structure + 0.15::DOUBLE * images + 0.10::DOUBLE * tables, 4) AS overall FROM q1)"""
 _YEAR = "coalesce(nullif(regexp_extract(indexed_at, '((19|20)[0-9]{2})', 1), ''), 'n.d.')"
-_WORDS = "list_distinct(list_filter(" + _TOKS + ", lambda x: length(x) > 3))"
-_LANG = ", ".join(f"[len(list_filter({_TOKS.format('text')}, lambda x: x IN ({', '.join(repr(w) for w in ws)}))), {-i}]" for i, ws in enumerate(quality.STOP_WORDS.values()))
+_WORDS = "list_distinct(list_filter(" + _TOKS + ", lambda x: length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in answers.STOP_WORDS) + ")))"
+_PII = {k: f"len(list_filter(coalesce(regexp_extract_all(text, '{p}'), []), lambda m: NOT regexp_matches(m, '{pii.ALLOWED}')))" for k, p in pii.PATTERNS.items()}
+_LANG = ", ".join(f"[len(list_filter({_TOKS.format('text')}, lambda x: x IN ({', '.join(repr(fold(w)) for w in ws)}))), {-i}]" for i, ws in enumerate(quality.STOP_WORDS.values()))
 
 QUERIES = {
     "normalise_universal": normalise_universal,
@@ -229,15 +246,14 @@ SQL = {
     "caption_removal": f"SELECT doc_id, md5(CASE WHEN length(x) * 2 >= length(text) THEN x ELSE text END) AS digest, length(x) < length(text) AS has_caption FROM (SELECT doc_id, text, {_lines(CAPTION)} AS x FROM documents WHERE text IS NOT NULL)",
     "document_hashes": f"SELECT record_id, sha256(path)[1:16] AS id, sha256(filename)[1:32] AS name_hash, {_TITLE} AS title FROM document_records",
     "token_sizes": "SELECT doc_id, CAST(length(text) // 4 AS INTEGER) AS tokens, CASE WHEN length(x) > 80 THEN x[1:77] || '...' ELSE x END AS preview FROM (SELECT doc_id, text, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS x FROM documents)",
-    "quality_scores": f"WITH {_QUAL} SELECT doc_id, completeness, characters, structure, variety, overall, CASE WHEN overall >= 0.9 THEN 'A' WHEN overall >= 0.8 THEN 'B' WHEN overall >= 0.7 THEN 'C' WHEN overall >= 0.6 THEN 'D' ELSE 'F' END AS grade FROM q",
-    "quality_report": f"WITH {_QUAL} SELECT doc_type, count(*) AS documents, round(avg(overall), 5) AS mean, count(*) FILTER (overall >= 0.8) AS excellent, count(*) FILTER (overall >= 0.6 AND overall < 0.8) AS good, count(*) FILTER (overall < 0.6) AS poor FROM q GROUP BY 1",
-    "pii_counts": "SELECT doc_id, " + ", ".join(f"CAST({_count(p)} AS INTEGER) AS {k}" for k, p in quality.PII.items()) + " FROM documents",
-    "pii_report": " UNION ALL ".join(f"SELECT '{k}' AS type, CAST(sum({_count(p)}) AS BIGINT) AS findings, count(*) FILTER ({_count(p)} > 0) AS documents FROM documents" for k, p in quality.PII.items()),
-    "pii_redact": "SELECT doc_id, md5(x) AS digest, x <> text AS changed FROM (SELECT doc_id, text, " + _g("text", *[(p, f"[{k}]") for k, p in quality.PII.items()]) + " AS x FROM documents WHERE text IS NOT NULL)",
+    "quality_scores": f"WITH {_QUAL} SELECT doc_id, completeness, characters, structure, images, tables, overall, CASE WHEN overall >= 0.9 THEN 'A' WHEN overall >= 0.8 THEN 'B' WHEN overall >= 0.7 THEN 'C' WHEN overall >= 0.6 THEN 'D' ELSE 'F' END AS grade FROM q",
+    "quality_report": f"WITH {_QUAL} SELECT doc_type, count(*) AS documents, round(avg(overall), 5) AS mean, count(*) FILTER (overall >= 0.9) AS excellent, count(*) FILTER (overall >= 0.7 AND overall < 0.9) AS good, count(*) FILTER (overall >= 0.5 AND overall < 0.7) AS fair, count(*) FILTER (overall < 0.5) AS poor FROM q GROUP BY 1",
+    "pii_counts": "SELECT doc_id, " + ", ".join(f"CAST({c} AS INTEGER) AS n_{k.lower()}" for k, c in _PII.items()) + " FROM documents",
+    "pii_report": " UNION ALL ".join(f"SELECT '{k}' AS type, CAST(sum({c}) AS BIGINT) AS findings, count(*) FILTER ({c} > 0) AS documents FROM documents" for k, c in _PII.items()),
     "language_detect": f"SELECT doc_id, CASE WHEN b[1] > 0 THEN ({list(quality.STOP_WORDS)})[1 - b[2]] END AS language FROM (SELECT doc_id, list_max([{_LANG}]) AS b FROM documents)",
     "citation_markers": "SELECT DISTINCT doc_id, CAST(unnest(flatten(list_transform(regexp_extract_all(text, '\\[([0-9]+(;[0-9]+)*)\\]', 1), lambda g: string_split(g, ';')))) AS INTEGER) AS marker FROM documents",
     "citation_verdicts": f"""WITH v AS (SELECT DISTINCT ON (vector_id) vector_id, content FROM vector_metadata WHERE content IS NOT NULL), j AS (SELECT v.vector_id, {_WORDS.format("v.content")} AS a, {_WORDS.format("s.content")} AS b FROM v JOIN v s ON v.vector_id = s.vector_id + 1),
-o AS (SELECT vector_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a)::DOUBLE ELSE 0 END, 4) AS overlap FROM j) SELECT *, CASE WHEN overlap >= 0.3 THEN 'valid' WHEN overlap >= 0.15 THEN 'weak' ELSE 'invalid' END AS verdict FROM o""",
+o AS (SELECT vector_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a)::DOUBLE ELSE 0 END, 4) AS overlap FROM j) SELECT *, CASE WHEN overlap >= 0.3 THEN 'valid' WHEN overlap >= 0.15 THEN 'weak' ELSE 'invalid' END AS verdict, round(CASE WHEN overlap >= 0.3 THEN least(1.0, overlap + 0.3) WHEN overlap >= 0.15 THEN overlap + 0.2 ELSE overlap * 0.3 END + 1e-9, 4) AS confidence FROM o""",
     "citation_formats": f"""WITH r AS (SELECT DISTINCT ON (record_id) record_id, filename, {_TITLE} AS t, {_YEAR} AS y FROM document_records)
 SELECT record_id, filename || ' (' || y || '). ' || t || '.' AS apa, filename || '. "' || t || '." ' || y || '.' AS mla, filename || '. ' || t || '. ' || y || '.' AS chicago,
  '@misc{{' || regexp_replace(lower(filename), '[^a-z0-9]+', '_', 'g') || ', title={{' || t || '}}, year={{' || y || '}}}}' AS bibtex, '[' || t || '](' || filename || ')' AS markdown, '(' || filename || ', ' || y || ')' AS inline FROM r""",

@@ -54,9 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir; a temporary one where that is unset and all runs in one process.
+
+    On a cluster an unset folder is an error, as a folder of one machine would lose rows there.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='docweave-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -108,15 +108,23 @@ def recent_ring(events: DataFrame, most: int = 100) -> DataFrame:
 
 
 def ingest_step(target: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that upserts a batch of rows by key into a Parquet folder, a version a batch; rows whose event_type is delete remove theirs."""
+    """A foreachBatch step that upserts a batch of rows by key into a folder, and writes the batch only.
+
+    Of several rows of a key in a batch the latest counts; a row whose event_type is delete removes its key. A batch made
+    again takes its own place. live_rows() reads what is there.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts")))).where("__r = 1").drop("__r")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v{number - 1}")
-        if number and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            old = spark.read.parquet(f"{target}/v{number - 1}").join(newest.select(key), key, "left_anti")
-            newest = old.unionByName(newest)
-        newest.where("event_type <> 'delete'").write.mode("overwrite").parquet(f"{target}/v{number}")
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_type")))
+        newest = batch.where(F.col(key).isNotNull()).withColumn("__r", place).where("__r = 1").drop("__r")
+        rows = newest.select("*", F.lit(number).cast("bigint").alias("__change"), (F.coalesce("event_type", F.lit("")) != "delete").alias("__live"))
+        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return write
+
+
+def live_rows(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """What ingest_step() has written: the rows of the latest change of each key, but for deleted ones."""
+    rows = spark.read.parquet(target).drop("batch")
+    last = rows.groupBy(key).agg(F.max(F.struct("__change", "__live")).alias("__last")).where("__last.__live").select(key, F.col("__last.__change").alias("__change"))
+    return rows.where("__live").join(last, [key, "__change"], "left_semi").drop("__change", "__live")

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.functions import chunks, html, quality, text
+from docweave.functions import chunks, html, pii, text
 from docweave.operators import evaluation, graph, tagging
 from docweave.operators.bits import BitFilter
 from docweave.operators.filters import FilterError, compile_filter, tag_query, tag_query_text
@@ -99,8 +99,8 @@ def test_text_functions(spark):
     r = one.select(text.html_line_breaks("t"), text.url_domain("u"), text.title_from_filename("f"), text.shorten(F.lit("a  b" * 9), 10)).first()
     assert tuple(r) == ("document is here", "a.org", "My File One", "a ba ba...")
     p = spark.createDataFrame([("mail a.b@c.org or 10.0.0.1",), (None,)], "t string")
-    assert [x[0] for x in p.select(quality.redact("t")).collect()] == ["mail [email] or [ip]", None]
-    assert [x[0] for x in p.select(quality.pii_count("t", "email")).collect()] == [1, 0]
+    assert [x[0] for x in p.select(pii.masked("t")).collect()] == ["mail █████████ or ████████", None]
+    assert [tuple(x) for x in p.select(*pii.counts("t", ["EMAIL_ADDRESS", "IP_ADDRESS"])).collect()] == [(1, 1), (0, 0)]
 
 
 @pytest.mark.parametrize("strategy", list(chunks.STRATEGIES))

@@ -58,8 +58,8 @@ def test_deletes_and_indexing_times(spark):
 def test_salted_join_is_the_plain_join(spark):
     left = spark.range(3000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3), (None, 4)], "k string, v int")
-    assert skew.hot_keys(left, "k", 1000) == ["hot"]
+    assert skew.hot_keys(left, "k", 1000) == {"hot": 2000}
     for how in ("inner", "left", "left_semi", "left_anti"):
-        a = skew.salted_join(left, right, "k", how, F.col("id"), hot=["hot"])
+        a = skew.salted_join(left, right, "k", how, F.col("id"), hot={"hot": 2000})
         b = left.join(right, "k", how)
         assert a.count() == b.count() and a.exceptAll(b.select(*a.columns)).count() == 0

@@ -56,7 +56,7 @@ def test_precedence(query, tree):
     assert ql.parse(query) == tree
 
 
-@pytest.mark.parametrize("query", ["", "AND a", "a OR", "(a", "a)", '"a', "NOT a", "a AND", "café"])
+@pytest.mark.parametrize("query", ["", "AND a", "a OR", "(a", "a)", '"a', "a AND", "café"])
 def test_unreadable_queries(query):
     with pytest.raises(ql.QueryError):
         ql.parse(query)
@@ -104,3 +104,7 @@ def test_hybrid(spark):
     assert boosted["combined_score"] == round(0.15 * 1.5, 6)
     assert search.hybrid(s.limit(0), k.limit(0), 10).count() == 0
     assert {r["id"] for r in search.hybrid(s, k, 10, min_score=0.5).collect()} == {1, 2}
+
+
+def test_a_not_alone_is_a_warning():
+    assert ql.lint(ql.parse("NOT a")) == ["NOT alone"] and ql.terms_of(ql.parse("NOT a")) == []

@@ -1,0 +1,81 @@
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from docweave.functions.stem import index_words, stem
+from docweave.operators.documents import DocumentStore, unsafe_member
+from docweave.operators.keyindex import KeywordIndex
+from docweave.streaming import events
+
+# what the published algorithm makes of these words
+STEMS = "caresses:caress ponies:poni feed:feed agreed:agre motoring:motor conflated:conflat sized:size hopping:hop failing:fail happy:happi relational:relat conditional:condit digitizer:digit triplicate:triplic hopeful:hope goodness:good allowance:allow adjustable:adjust adoption:adopt probate:probat cease:ceas controlling:control running:run"
+
+
+def test_stems():
+    assert {w: stem(w) for w, _ in (x.split(":") for x in STEMS.split())} == dict(x.split(":") for x in STEMS.split())
+    assert index_words("Élan FOO-bar_baz  Führung") == ["elan", "foo", "bar", "baz", "fuhrung"] and index_words(None) == []
+
+
+def test_keyword_index_life(spark, tmp_path):
+    rows = [("a", "a1", "He was running the archive index"), ("a", "a2", "élan of the archive"), ("b", "b1", "foo-bar archive"), ("c", "c1", None), (None, "x", "archive"), ("b", "b1", "foo-bar archive")]
+    df = spark.createDataFrame(rows, "document string, chunk string, text string").selectExpr("*", "1 AS tf", "2 AS term")
+    ix = KeywordIndex(spark, f"file://{tmp_path}/ix")
+    assert ix.search("archive").count() == 0 and ix.statistics() == (0, 0, 0.0)
+    ix.add(df)
+    assert ix.statistics()[:2] == (3, 4)
+    hits = lambda q, **k: [r["chunk"] for r in ix.search(q, **k).orderBy("rank").collect()]
+    assert hits("run") == ["a1"] and hits("elan") == ["a2"] and hits('"foo bar"') == ["b1"] and hits("foo-bar") == ["b1"]
+    assert set(hits("archive")) == {"a1", "a2", "b1"} and hits("archive", documents=["b"]) == ["b1"] and len(hits("archive", documents=[])) == 3
+    assert hits("archive NOT foo* NOT elan") == ["a1"] and hits("") == [] and hits("NOT archive") == [] and hits('"bar foo"') == []
+    reopened = KeywordIndex(spark, f"file://{tmp_path}/ix")
+    reopened.add(spark.createDataFrame([("a", "a9", "nothing here")], "document string, chunk string, text string"))
+    assert [r["chunk"] for r in reopened.search("archive").collect()] == ["b1"]
+    assert reopened.delete(spark.createDataFrame([("b",), ("zz",)], "document string")) == 1 and reopened.search("archive").count() == 0
+    there = {r["document"]: r["there"] for r in reopened.exists(spark.createDataFrame([("a",), ("b",), (None,)], "document string")).collect()}
+    assert there == {"a": True, "b": False}
+    reopened.compact()
+    assert reopened.statistics()[:2] == (2, 2)
+
+
+def _chunks(spark, rows):
+    return spark.createDataFrame(rows, "document_id string, position int, content string, embedding array<float>").selectExpr("*", "'q' AS path")
+
+
+def test_document_store(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/s", dim=2)
+    assert store.statistics().first()["documents"] == 0
+    docs = spark.createDataFrame([("a", "/a.txt", "h1"), ("b", "/b.txt", "h2"), ("bare", "/c.txt", "h3"), (None, "/d", "h")], "document_id string, path string, content_hash string")
+    store.add(docs, _chunks(spark, [("a", 0, "x", [1.0, 0.0]), ("a", 1, "y", None), ("b", 0, "z", [0.0, 1.0]), ("a", 0, "x", [1.0, 0.0])]))
+    assert tuple(store.statistics().first()) == (2, 3, 2, 2)
+    assert store.find_by_hash("h2").first()["document_id"] == "b" and store.find_by_hash("none").isEmpty()
+    store.add(docs.where("document_id = 'a'"), _chunks(spark, [("a", 0, "new", [1.0, 1.0])]))
+    assert sorted(r["content"] for r in store.held_chunks().collect()) == ["new", "z"]
+    assert store.update(spark.createDataFrame([("a", "/moved", 1), ("zz", "/no", 1)], "document_id string, path string, unknown int")) == 1
+    assert store.documents.live().where("document_id = 'a'").first()["path"] == "/moved"
+    with pytest.raises(PySparkException):
+        store.add(docs, _chunks(spark, [("a", 0, "x", [1.0])]))
+    other = DocumentStore(spark, f"file://{tmp_path}/o", dim=2)
+    assert store.copy_to(other, dry_run=True)["same"] is None and other.statistics().first()["documents"] == 0
+    assert store.copy_to(other)["same"]
+    assert store.delete_chunks(spark.createDataFrame([("b_chunk_0",)], "chunk_id string")) == 1
+    assert store.delete(docs.where("document_id IN ('a', 'zz')")) == {"documents": 1, "chunks": 1}
+    plan = store.import_archive(other.documents.live(), other.held_chunks(), "rename", stamp="7")
+    assert {(r["document_id"], r["imported_as"], r["action"]) for r in plan.collect()} == {("a", "a", "added"), ("b", "b_imported_7", "renamed")}
+    with pytest.raises(ValueError):
+        store.import_archive(other.documents.live(), other.held_chunks(), "rename")
+
+
+def test_unsafe_members(spark):
+    rows = [("/etc/x", None), ("a/../../x", None), ("a/b", "../c"), ("a/b", "c"), ("C:\\x", None)]
+    df = spark.createDataFrame(rows, "p string, l string")
+    assert [r[0] for r in df.select(unsafe_member("p", F.col("l"))).collect()] == ["absolute", "parent", "link", None, "absolute"]
+
+
+def test_ingest_step_writes_changes(spark, tmp_path):
+    step = events.ingest_step(f"file://{tmp_path}/t", "k")
+    batch = lambda rows: spark.createDataFrame(rows, "k string, ts int, event_type string")
+    step(batch([("a", 1, "new"), ("b", 1, "new"), ("a", 2, "more"), (None, 1, "new")]), 0)
+    for _ in range(2):
+        step(batch([("b", 3, "delete"), ("c", 3, "new")]), 1)
+    assert {(r["k"], r["ts"]) for r in events.live_rows(spark, f"file://{tmp_path}/t", "k").collect()} == {("a", 2), ("c", 3)}
