@@ -51,10 +51,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks, each among the other's ten nearest, with a cosine of at least 0.9."""
     index = vectors.MultiprobeIndex(table(spark, sf_dir, "chunk_embeddings"), "chunk_id", "embedding")
-    pairs = vectors.mutual(index.nearest(0.9))
+    pairs = vectors.mutual(index.nearest(0.9, every_member=False))
     return pairs.select(F.col("key_a").alias("chunk_id_a"), F.col("key_b").alias("chunk_id_b"))
 
 
+def p3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every chunk's ten nearest those of a cosine of at least 0.9, by hashing."""
+    index = vectors.MultiprobeIndex(table(spark, sf_dir, "chunk_embeddings"), "chunk_id", "embedding")
+    return index.nearest(0.9).select(F.col("key").alias("chunk_id"), "neighbour", F.round("cosine", 6).alias("score"), "rank")
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact neighbours (p3_ten) of a cosine of at least 0.9 hashing finds: (queries, neighbours, found, recall)."""
+    names = table(spark, sf_dir, "vector_metadata").select("vector_id", "chunk_id").distinct()
+    true = p3_ten(spark, sf_dir).where("score >= 0.9").select(F.col("query_id").alias("vector_id"), "id")
+    by_name = p3_near(spark, sf_dir).join(names, "chunk_id").select("vector_id", "neighbour")
+    found = by_name.join(names.select(F.col("chunk_id").alias("neighbour"), F.col("vector_id").alias("id")), "neighbour").select("vector_id", "id", F.lit(1).alias("hit"))
+    both = true.join(found, ["vector_id", "id"], "left")
+    return both.agg(F.count_distinct("vector_id").alias("queries"), F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each ingest batch that repeat an accepted row, exactly by hash or nearly by content."""
     records = history.same_hash(table(spark, sf_dir, "document_records"), "record_id", "batch_no", "document_id", "content_hash")
@@ -104,4 +120,4 @@ def p3_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_batch(named.where("vector_id % 20 = 0"), named, "vector_id", "embedding", 10, 64).select("query_id", "id", "score", "rank")
 
 
-QUERIES = {"p3_ten": p3_ten, "p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+QUERIES = {"p3_ten": p3_ten, "p3_near": p3_near, "p3_recall": p3_recall, "p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}

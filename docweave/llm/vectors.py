@@ -4,7 +4,7 @@ Vectors are brought to length 1, so that nearness by cosine is nearness by Eucli
 tables of floor((a.x + b) / width) with normal a. Every vector is stored under its own bucket of each table and
 visits, besides it, the buckets reached by moving single hashes by one, in the order of estimated success: the
 sum of the squared distances of x to the boundaries crossed. Candidates of all tables are merged and ranked by exact
-cosine.
+cosine. Equal vectors are one class with one entry in the tables; every member of a class has its neighbours.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql.window import Window
 from docweave.session import Scratch
 
 WIDTH = 3.0
-TABLES = 6
 PROBES = 20
+#: The share of the pairs at the asked cosine that tables and probes together are to meet, as expected; it gives the number of tables.
+RECALL = 0.98
 #: Of 64 sign bits so many may differ before exact ranking: a pair of cosine 0.9 differs in 9.2 of them on average (deviation 2.8).
 SKETCH_LIMIT = 20
 
@@ -61,10 +62,35 @@ def hashes_for(rows: int, width: float = WIDTH, occupancy: float = 2.0) -> int:
     return max(4, math.ceil(math.log(max(rows, 2) / occupancy) / -math.log(meet)))
 
 
+def meeting(hashes: int, probes: int, cosine: float, width: float = WIDTH, trials: int = 4000) -> float:
+    """The probability that a vector at the cosine is met in one table, by the bucket or a visit of either; by simulation of the hashes."""
+    rng = np.random.default_rng(1)
+    apart = math.sqrt(2 - 2 * cosine)
+    low = rng.uniform(0, 1, (trials, hashes))
+    other = low + apart * rng.normal(size=(trials, hashes)) / width
+    crossed = np.floor(other).astype(int)
+    within = np.abs(crossed).max(axis=1) <= 1
+    # the place of each crossing among the vector's own boundary distances, nearest first
+    order = np.argsort(np.argsort(np.concatenate([low, 1 - low], axis=1), axis=1), axis=1)
+    known = {frozenset()} | {frozenset(m) for m in probe_order(hashes, probes)}
+    hit = 0
+    for row, places, fine in zip(crossed, order, within):
+        if fine:
+            hit += frozenset([int(places[j + (hashes if c > 0 else 0)]) for j, c in enumerate(row) if c]) in known
+    one = hit / trials
+    return 1 - (1 - one) ** 2 if one < 1 else 1.0
+
+
+def tables_for(hashes: int, probes: int, cosine: float, recall: float = RECALL, width: float = WIDTH) -> int:
+    """Tables that meet the asked share of the pairs at the cosine; either side's visits count half as one would if they were independent."""
+    one = meeting(hashes, probes, cosine, width)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one))) if one < 1 else 1
+
+
 class Hasher:
     """The tables' random directions, offsets and keys, the same in every task."""
 
-    def __init__(self, dim: int, hashes: int, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, seed: int = 7):
+    def __init__(self, dim: int, hashes: int, tables: int, probes: int = PROBES, width: float = WIDTH, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.hashes, self.tables, self.width = hashes, tables, width
         self.a = rng.normal(size=(dim, tables * hashes)).astype(np.float32)
@@ -119,23 +145,30 @@ class MultiprobeIndex:
     """rows (key, vector) as hash tables in the shared folder.
 
     Unusable vectors (null, of another length, all zero, not finite) take no part. A key delivered twice counts once, with
-    its smallest vector. Of each group of equal vectors the k + 1 smallest keys are kept: equal vectors tie for
-    everyone, ties go to the smaller key, so a later copy is among nobody's k nearest. An empty table has no neighbours.
+    its smallest vector. Equal vectors are one class: the tables hold its smallest key, members has all its keys. The number of
+    tables follows from the rows, so that pairs at the cosine least_cosine are met with the expected RECALL at every size. An
+    empty table has no neighbours.
     """
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, dim: int = 64, k: int = 10, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, scratch: Scratch | None = None):
+    def __init__(self, rows: DataFrame, key: str, vector: str, dim: int = 64, k: int = 10, least_cosine: float = 0.9, tables: int | None = None, probes: int = PROBES, width: float = WIDTH, scratch: Scratch | None = None):
         self.spark, self.k, self.dim = rows.sparkSession, k, dim
         self.scratch = scratch or Scratch(self.spark, "vectors")
         fine = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector")).where(usable("vector", dim) & F.col("key").isNotNull())
         fine = fine.groupBy("key").agg(F.min("vector").alias("vector"))
-        fine = fine.withColumn("id", F.xxhash64(F.col("key").cast("string"))).withColumn("__same", F.xxhash64("vector"))
-        # the k + 1 smallest keys of each group of equal vectors, the hot group cut down part by part first
-        part = Window.partitionBy("__same", "vector", F.pmod("id", F.lit(64))).orderBy("key")
-        group = Window.partitionBy("__same", "vector").orderBy("key")
-        fine = fine.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k + 1)
-        fine = fine.withColumn("__r", F.row_number().over(group)).where(F.col("__r") <= k + 1)
-        self.vectors = self.scratch.write("vectors", fine.select("id", "key", "vector"))
-        self.hasher = Hasher(dim, hashes_for(self.vectors.count(), width), tables, probes, width)
+        # equal vectors go by 128 bits of hashes
+        fine = fine.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
+        classes = fine.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("vector").alias("vector"), F.count("*").alias("n"))
+        classes = self.scratch.write("classes", classes.withColumn("id", F.xxhash64(F.col("key").cast("string"))))
+        several = classes.where("n > 1").select("h1", "h2", "id")
+        self.members = self.scratch.write("members", fine.select("key", "h1", "h2").join(several, ["h1", "h2"]).select("id", "key"))
+        # the k + 1 smallest keys of each class of several, a hot class cut down part by part first
+        part = Window.partitionBy("id", F.pmod(F.xxhash64("key"), F.lit(64))).orderBy("key")
+        few = self.members.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k + 1)
+        few = few.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy("key"))).where(F.col("__r") <= k + 1)
+        heads = few.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("heads"))  # k + 1 of them
+        self.vectors = self.scratch.write("vectors", classes.join(heads, "id", "left").select("id", "vector", F.coalesce("heads", F.array("key")).alias("heads")))
+        hashes = hashes_for(self.vectors.count(), width)
+        self.hasher = Hasher(dim, hashes, tables or tables_for(hashes, probes, least_cosine, RECALL, width), probes, width)
 
     def _hashed(self) -> DataFrame:
         """(id, sketch, keys): the buckets of every vector."""
@@ -162,32 +195,43 @@ class MultiprobeIndex:
         return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
     def similar(self, least_cosine: float, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
-        """(key, neighbour, cosine), both ways: pairs of at least the cosine, exact for every candidate."""
+        """(id, neighbour, cosine, heads), both ways: pairs of classes of at least the cosine, exact for every candidate; heads of the neighbour."""
         v = self.vectors
         pairs = self.candidates(sketch_limit)
-        pairs = pairs.join(v.select(F.col("id").alias("a"), F.col("key").alias("key_a"), F.col("vector").alias("va")), "a")
-        pairs = pairs.join(v.select(F.col("id").alias("b"), F.col("key").alias("key_b"), F.col("vector").alias("vb")), "b").select("key_a", "key_b", "va", "vb")
-        dim, kind = self.dim, v.schema["key"].dataType.simpleString()
+        pairs = pairs.join(v.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("heads").alias("ha")), "a")
+        pairs = pairs.join(v.select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("heads").alias("hb")), "b").select("a", "b", "ha", "hb", "va", "vb")
+        dim, kind = self.dim, v.schema["heads"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    cosine = (_units(_matrix(b.column(2), dim)) * _units(_matrix(b.column(3), dim))).sum(axis=1)
-                    out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine)], names=["key_a", "key_b", "cosine"])
+                    cosine = (_units(_matrix(b.column(4), dim)) * _units(_matrix(b.column(5), dim))).sum(axis=1)
+                    out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cosine)], names=["a", "b", "ha", "hb", "cosine"])
                     yield out.filter(pa.array(cosine >= least_cosine))
 
-        exact = pairs.mapInArrow(run, f"key_a {kind}, key_b {kind}, cosine double")
-        both = F.explode(F.array(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("neighbour")), F.struct(F.col("key_b").alias("key"), F.col("key_a").alias("neighbour"))))
-        return exact.select(both.alias("p"), "cosine").select("p.key", "p.neighbour", "cosine")
+        exact = pairs.mapInArrow(run, f"a bigint, b bigint, ha {kind}, hb {kind}, cosine double")
+        side = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("neighbour"), F.col(f"h{y}").alias("heads"))
+        return exact.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p"), "cosine").select("p.id", "p.neighbour", "cosine", "p.heads")
 
-    def nearest(self, least_cosine: float, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
-        """(key, neighbour, cosine, rank): the k nearest of at least the cosine; ties go to the smaller key.
+    def nearest(self, least_cosine: float, sketch_limit: int = SKETCH_LIMIT, every_member: bool = True) -> DataFrame:
+        """(key, neighbour, cosine, rank): the k nearest of at least the cosine; cosines tie to 9 places, ties go to the smaller key.
 
         Which of a vector's k nearest have that cosine depends only on vectors that have it too, so the ranks are
-        those of the whole table, but for pairs that met in no bucket.
+        those of the whole table, but for pairs that met in no bucket. Every member of a class of equal vectors has its list;
+        with every_member off only the k + 1 smallest keys of a class do, which are all that can be in another's list.
         """
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "neighbour"))
-        return self.similar(least_cosine, sketch_limit).withColumn("rank", rank).where(F.col("rank") <= self.k)
+        others = self.similar(least_cosine, sketch_limit).select("id", F.round("cosine", 9).alias("cosine"), F.explode("heads").alias("neighbour"))
+        own = self.vectors.where(F.size("heads") > 1).select("id", F.lit(1.0).alias("cosine"), F.explode("heads").alias("neighbour")).where(F.col("cosine") >= least_cosine)
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
+        best = others.unionByName(own).withColumn("__r", place).where(F.col("__r") <= self.k + 1)
+        # k + 1 of them, as one may be the key itself
+        lists = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("__r", "neighbour", "cosine"))).alias("near"))
+        keys = self.vectors.select("id", F.explode("heads").alias("key"))
+        if every_member:
+            keys = self.vectors.where(F.size("heads") == 1).select("id", F.col("heads")[0].alias("key")).unionByName(self.members)
+        mine = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("key")), 1, self.k)
+        each = keys.join(lists, "id").select("key", F.posexplode(mine).alias("__p", "n"))
+        return each.select("key", "n.neighbour", "n.cosine", (F.col("__p") + 1).alias("rank"))
 
 
 def mutual(nearest: DataFrame) -> DataFrame:

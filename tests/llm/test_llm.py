@@ -129,6 +129,21 @@ def test_nearest_against_brute_force(spark):
     assert vectors.MultiprobeIndex(df.limit(0), "id", "v").nearest(0.9).count() == 0
 
 
+def test_every_equal_vector_has_its_list(spark):
+    rows = [(f"k{i:02d}", [1.0] + [0.0] * 63) for i in range(20)] + [("z", [2.0, 0.1] + [0.0] * 62), ("far", [0.0, 1.0] + [0.0] * 62)]
+    df = spark.createDataFrame(rows, "id string, v array<float>")
+    lists = {}
+    for r in vectors.MultiprobeIndex(df, "id", "v").nearest(0.9).orderBy("key", "rank").collect():
+        lists.setdefault(r["key"], []).append(r["neighbour"])
+    names = [f"k{i:02d}" for i in range(20)]
+    assert all(lists[n] == [x for x in names if x != n][:10] for n in names) and lists["z"] == names[:10] and "far" not in lists
+
+
+def test_tables_follow_from_the_recall():
+    small, large = (vectors.tables_for(vectors.hashes_for(n), vectors.PROBES, 0.9) for n in (10_000, 10_000_000))
+    assert 1 <= small < large
+
+
 def test_probes_come_in_order_of_expected_success():
     moves = vectors.probe_order(8, 12)
     assert moves[0] == [0] and len(moves) == 12 and len({tuple(m) for m in moves}) == 12
