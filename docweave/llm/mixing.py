@@ -21,8 +21,10 @@ from docweave.session import Scratch
 
 #: Hash ranges of a source; at most sources x RANGES partial sums are kept.
 RANGES = 4096
-#: Ranges of finish time; so many sums come to the driver.
+#: Ranges of finish time that a slice is cut into; so many sums come to the driver.
 SLICES = 1024
+#: Copies that one task orders where the budget runs out.
+ORDERED_HERE = 100_000
 #: Targets are settings, one row a source; only these many are brought to the driver.
 MOST_TARGETS = 10_000
 
@@ -91,21 +93,31 @@ class Mixture:
         if not self.held:
             return self.sized.select(F.col("key").alias(self.key), "source", F.lit(1).alias("copy"), "tokens", F.lit(0.0).alias("finish")).limit(0)
         queue = self.scratch.write("queue", self._queue())
-        step = max(self.end / SLICES, 1e-9)
-        sliced = queue.withColumn("slice", F.least(F.floor(F.col("finish") / F.lit(step)), F.lit(2 * SLICES)).cast("int"))
-        sums = sorted((r[0], r[1]) for r in sliced.groupBy("slice").agg(F.sum("tokens")).collect())  # at most 2 x SLICES + 1 rows
-        spent, last = 0, None
-        for number, tokens in sums:
-            if spent + tokens > self.budget:
-                last = number
+        # the slice of finish times in which the budget runs out is cut again, until what one task orders is small
+        low, width, spent, last = 0.0, max(self.end * 1.01 + 2, 1e-9), 0, False
+        while True:
+            step = width / SLICES
+            inside = queue.where(F.col("finish") >= low) if low else queue
+            number = F.least(F.greatest(F.floor((F.col("finish") - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(SLICES)).cast("int")
+            sums = sorted((r[0], r[1], r[2]) for r in inside.where(F.col("finish") < low + width).groupBy(number).agg(F.sum("tokens"), F.count("*")).collect())  # at most SLICES + 1 rows
+            hit = None
+            for at, tokens, rows in sums:
+                if spent + tokens > self.budget:
+                    hit = (at, rows)
+                    break
+                spent += tokens
+            if hit is None:
                 break
-            spent += tokens
-        whole = sliced if last is None else sliced.where(F.col("slice") < last)
-        if last is not None:
-            running = F.sum("tokens").over(Window.partitionBy("slice").orderBy("finish", "source", "key", "pass").rowsBetween(Window.unboundedPreceding, 0))
-            part = sliced.where(F.col("slice") == last).withColumn("__sum", running + F.lit(spent))
+            low, width, last = low + hit[0] * step, step, True
+            if hit[1] <= ORDERED_HERE or step <= 1e-9 * max(self.end, 1.0):
+                break
+        whole = queue.where(F.col("finish") < low) if last else queue
+        if last:
+            order = Window.partitionBy(F.lit(1)).orderBy("finish", "source", "key", "pass").rowsBetween(Window.unboundedPreceding, 0)
+            part = queue.where((F.col("finish") >= low) & (F.col("finish") < low + width)).withColumn("__sum", F.sum("tokens").over(order) + F.lit(spent))
             whole = whole.unionByName(part.where(F.col("__sum") <= self.budget).drop("__sum"))
-        return whole.select(F.col("key").alias(self.key), "source", (F.col("pass") + 1).alias("copy"), "tokens", "finish")
+        # in the order of their turn, by ranges
+        return whole.orderBy("finish", "source", "key", "pass").select(F.col("key").alias(self.key), "source", (F.col("pass") + 1).alias("copy"), "tokens", "finish")
 
     def shares(self) -> DataFrame:
         """One row a target: its share, what it holds, and what it contributes."""

@@ -75,13 +75,22 @@ def merge_segments(text: str, room: int) -> list[tuple[int, int, int]]:
     return [(starts[i], stops[i], strong[i]) for i in range(n) if not gone[i]]
 
 
+def word_start(text: str, at: int, least: int) -> int:
+    """The start of the word that at lies in, if that is not before least; else at."""
+    begin = at
+    while begin > least and not text[begin - 1].isspace():
+        begin -= 1
+    return begin if begin == 0 or text[begin - 1].isspace() else at
+
+
 def split_text(text: str | None, chunk_size: int | None, overlap: int | None, chars_per_token: int = 4) -> list[dict] | None:
     """The pieces of one text: none for null, one for a text within the limit.
 
     Sizes are in tokens of chars_per_token characters: a piece of n characters has n div chars_per_token tokens.
     Each piece is text[start:stop]; text[core:stop] is its own part, and the own parts joined are the text. The
-    characters from start to core are the overlap: the configured number, or all there are before the first cuts.
-    A null size means no limit; an overlap that is null, negative or leaves no room counts as nothing or half the size.
+    characters from start to core are the overlap: the configured number, or all there are before the first cuts, and the rest of the
+    word it would begin in, where the limit has room for that. A null size means no limit; an overlap that is null or negative counts
+    as nothing, one over half the limit as half of it.
     """
     if text is None:
         return None
@@ -92,7 +101,7 @@ def split_text(text: str | None, chunk_size: int | None, overlap: int | None, ch
     out = []
     segments = merge_segments(text, limit - shared)
     for k, (a, b, level) in enumerate(segments):
-        start = max(0, a - shared)
+        start = word_start(text, max(0, a - shared), max(0, b - limit)) if shared else a
         out.append({"piece": k, "start": start, "stop": b, "core": a, "content": text[start:b], "boundary": NAMES[level] if k + 1 < len(segments) else "end"})
     return out
 
@@ -135,6 +144,6 @@ def split_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     rows need chunk_size and overlap. Null, empty and small texts do not come out; rows repeated under a key are split once.
     """
     big = oversized(rows.select(key, F.col(text).alias("__text"), "chunk_size", "overlap"), "__text").dropDuplicates([key])
-    # long texts are few and dear: spread evenly before Python works on them
+    # the exchange that makes one row of each key also spreads the long texts, which are few and dear
     pieces = big.select(key, F.explode(split_column(F.col("__text"), F.col("chunk_size"), F.col("overlap"))).alias("__p"))
     return pieces.select(key, "__p.*")

@@ -37,11 +37,10 @@ def _byte_signs() -> dict[str, int]:
 class MergeReplay:
     """The merges of one vocabulary file, and the words already encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = json.loads(file)["model"]
         vocab = model["vocab"]
         signs = _byte_signs()
         self.first = [0] * 256
@@ -114,9 +113,9 @@ class MergeReplay:
 
 
 @lru_cache(maxsize=2)
-def replayer(path: str) -> MergeReplay:
+def replayer(file: bytes) -> MergeReplay:
     """One for each worker process."""
-    return MergeReplay(path)
+    return MergeReplay(file)
 
 
 def encode_corpus(df: DataFrame, text: str, ids: str = "ids", count: str | None = None, vocabulary: str = "byte_bpe_50k.json", folder: str | None = None, batch: int = 256) -> DataFrame:
@@ -133,11 +132,15 @@ def encode_corpus(df: DataFrame, text: str, ids: str = "ids", count: str | None
         raise ValueError(f"column {name} is there already")
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(name, T.IntegerType() if count else T.ArrayType(T.IntegerType()))])
 
+    with open(path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary, a few MB; executors need no copy of it
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = replayer(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                coded = replayer(path).encode(part.column(len(kept)).to_pylist())
+                coded = replay.encode(part.column(len(kept)).to_pylist())
                 values = pa.array([len(c) for c in coded], pa.int32()) if count else pa.array(coded, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], values], names=[*kept, name])
 
