@@ -1,7 +1,8 @@
 """Noise in text from scanned pages: running headers, page numbers, words hyphenated across lines, misread characters.
 
-Headers and footers are lines that recur, up to a few characters, at the edges of pages. Page numbers are lines of nothing
-else. Whether a word that ends a line with a mark is one word or a compound is read from the vocabulary of the whole corpus,
+Headers and footers are lines that recur, up to a few characters, at the edges of pages: form feeds part pages, and so do lines that
+carry nothing but a number and go on from page to page. Page numbers are such sequences of lines; a number that stands alone is none.
+Whether a word that ends a line with a mark is one word or a compound is read from the vocabulary of the whole corpus,
 and so are misread words: rare words that become common ones when a known confusion of shapes is undone.
 """
 
@@ -13,11 +14,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.operators.bits import BITS, BitFilter
 from docweave.operators.skew import salted_join
 from docweave.session import Scratch
 
@@ -45,9 +44,55 @@ _FIRST = re.compile(r"\s*([^\W_]+)")
 
 
 def is_page_number(line: str) -> bool:
-    """Whether a line carries nothing but a page number."""
+    """Whether a line carries nothing but what may be a page number."""
     s = line.strip()
-    return bool(s) and len(s) <= 40 and bool(_HAS_NUMBER.search(s)) and bool(_PAGE_LINE.fullmatch(s))
+    return bool(s) and bool(_HAS_NUMBER.search(s)) and bool(_PAGE_LINE.fullmatch(s))
+
+
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50}
+
+
+def page_value(line: str) -> int | None:
+    """The number of a line that is_page_number(), in digits or Roman."""
+    if m := re.search(r"\d+", line):
+        return int(m[0])
+    m = re.search(r"\b[ivxl]+\b", line.lower())
+    if not m:
+        return None
+    v = [_ROMAN[c] for c in m[0]]
+    return sum(-x if y > x else x for x, y in zip(v, [*v[1:], 0]))
+
+
+def _form(line: str) -> str:
+    """How a page number is written: digits and Roman numerals aside."""
+    return re.sub(r"\d+|\b[ivxl]+\b", "n", " ".join(line.lower().split()), count=1).split(" of ")[0].split("/")[0].strip()
+
+
+def number_sequences(lines: list[str], pages: list[int]) -> set[int]:
+    """The numbers of the lines that are page numbers: of one form, and each one more than the last for every page between, two at least.
+
+    pages has the page of each line; where form feeds part pages, a number goes up with them, else from line to line.
+    """
+    runs: dict[str, list[list[tuple[int, int]]]] = defaultdict(list)
+    fed = len(set(pages)) > 1
+    for k, line in enumerate(lines):
+        if is_page_number(line) and (v := page_value(line)) is not None:
+            of = runs[_form(line)]
+            for run in of:
+                at, last = run[-1]
+                step = pages[k] - pages[at] if fed else 1
+                if v - last == max(step, 1) or (not fed and v - last == 2):
+                    run.append((k, v))
+                    break
+            else:
+                of.append([(k, v)])
+    out = {k for of in runs.values() for run in of if len(run) > 1 for k, _ in run}
+    # Roman numbers of one form that differ need not go up: front matter is bound in any order, and words are no such lines
+    for of in runs.values():
+        roman = [(k, v) for run in of for k, v in run if not re.search(r"\d", lines[k])]
+        if len({v for _, v in roman}) > 1:
+            out |= {k for k, _ in roman}
+    return out
 
 
 def _heading_key(line: str) -> str:
@@ -63,27 +108,45 @@ def _alike(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)):
         return False
     m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    return m.quick_ratio() >= 0.88 and m.ratio() >= 0.88
+    if m.quick_ratio() < 0.88 or m.ratio() < 0.88:
+        return False
+    # another name in the same sentence is no misreading: words that differ must be alike themselves
+    x, y = a.split(), b.split()
+    return len(x) != len(y) or all(p == q or difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() >= 0.6 for p, q in zip(x, y))
+
 
+def page_marks(lines: list[str], pages: list[int] | None = None) -> tuple[set[int], set[int]]:
+    """The numbers of the lines that are page numbers, and of those that are running headers or footers.
 
-def page_marks(lines: list[str]) -> tuple[set[int], set[int]]:
-    """The numbers of the lines that are page numbers, and of those that are running headers or footers."""
+    A running line recurs, and stands at an edge of a page at least once: of one that form feeds part, beside a page number, at the
+    ends of the text, or on one line with a page number.
+    """
+    pages = pages or [0] * len(lines)
     there = [k for k, x in enumerate(lines) if x.strip()]
-    numbers = {k for k in there if is_page_number(lines[k])}
-    edge = {0, len(there) - 1}
+    numbers = number_sequences(lines, pages)
+    body = [k for k in there if k not in numbers]
+    fed = len(set(pages)) > 1
+    # the first and last line of each page that is no page number
+    edges = {k for i, k in enumerate(body) if i in (0, len(body) - 1) or (fed and (pages[body[i - 1]] != pages[k] or pages[body[i + 1]] != pages[k]))}
+    # how many pages have a line of one wording at an edge
+    recurs = Counter(key for key, _ in {(_heading_key(lines[k]), pages[k]) for k in edges}) if fed else Counter()
     groups: dict[str, list[tuple[int, bool]]] = defaultdict(list)
-    for q, k in enumerate(there):
+    for k in body:
         line = lines[k]
         bare = line.strip().strip("0123456789 \t|–—-[]()/")
         key = _heading_key(line)
-        if k in numbers or len(key) < 4 or _ITEM.match(line) or _SENTENCE_END.search(bare):
-            continue
-        nxt = lines[k + 1] if k + 1 < len(lines) else ""
-        if nxt.strip() and k + 1 not in numbers and not _NEW_START.match(nxt):
+        if not key or _ITEM.match(line):
             continue
+        known = k in edges and recurs[key] > (2 if _SENTENCE_END.search(bare) else 1)
+        if not known:  # what goes on in the next line, or ends a sentence, is text
+            nxt = lines[k + 1] if k + 1 < len(lines) else ""
+            if len(key) < 4 or _SENTENCE_END.search(bare) or (nxt.strip() and k + 1 not in numbers and not _NEW_START.match(nxt)):
+                continue
         beside = bool(re.search(r"^\s*\W*\d+\W*\s{2,}\S|\S\s{2,}\W*\d+\W*$|\bpage\s+\d+|\b[ps]\.\s*\d+", line.rstrip(), re.I))
-        groups[key].append((k, q in edge or k - 1 in numbers or k + 1 in numbers or beside))
-    # near-equal headings, misread in places, join the group of the most frequent form; compared among lines with a common end
+        groups[key].append((k, k in edges or k - 1 in numbers or k + 1 in numbers or beside))
+    # near-equal headings, misread in places, join the group of the most frequent form; only with one that stands at an edge, and
+    # compared among lines with a common end
+    anchored = {key for key, at in groups.items() if any(anchor for _, anchor in at)}
     keys = sorted(groups, key=lambda x: (-len(groups[x]), x))
     ends: dict[str, list[str]] = defaultdict(list)
     for key in keys:
@@ -91,7 +154,7 @@ def page_marks(lines: list[str]) -> tuple[set[int], set[int]]:
             ends[e].append(key)
     joined: dict[str, str] = {}
     for key in keys:
-        if key in joined:
+        if key in joined or key not in anchored:
             continue
         for e in {key[:4], "~" + key[-4:]}:
             for other in ends[e]:
@@ -103,7 +166,8 @@ def page_marks(lines: list[str]) -> tuple[set[int], set[int]]:
         groups[key] += groups[other]
     headers: set[int] = set()
     for key, at in groups.items():
-        if key not in joined and len(at) > 1 and any(anchor for _, anchor in at):
+        # with form feeds it must be on several pages, else at several places
+        if key not in joined and len({pages[k] if fed else k for k, _ in at}) > 1 and any(anchor for _, anchor in at):
             headers |= {k for k, _ in at}
     return numbers, headers
 
@@ -125,18 +189,26 @@ class Page:
     """A text taken apart; texts on one line have no pages and no noise."""
 
     def __init__(self, text: str | None):
-        self.lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").replace("\f", "\n").split("\n")
+        parts = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\f")
+        self.lines, self.pages = [], []
+        for number, part in enumerate(parts):
+            here = part.split("\n")
+            self.lines += here
+            self.pages += [number] * len(here)
         self.scanned = len(self.lines) > 1
-        self.numbers, self.headers = page_marks(self.lines) if self.scanned else (set(), set())
+        self.numbers, self.headers = page_marks(self.lines, self.pages) if self.scanned else (set(), set())
         self.breaks = broken_words(self.lines, self.numbers | self.headers) if self.scanned else []
 
-    def words(self) -> Iterator[str]:
-        """Words in lower case, compounds whole; the parts of broken words are left out."""
+    def words(self) -> Counter[str]:
+        """Words in lower case, compounds whole, and how often; the parts of broken words are left out."""
         last = {k for k, *_ in self.breaks}
         first = {n for _, n, *_ in self.breaks}
-        for k, line in enumerate(self.lines):
-            found = _WORD.findall(line)
-            yield from (w.lower() for w in found[k in first : len(found) - (k in last)])
+        whole = "\n".join(x for k, x in enumerate(self.lines) if k not in first and k not in last)
+        out = Counter(_WORD.findall(whole.lower()))
+        for k in first | last:
+            found = _WORD.findall(self.lines[k].lower())
+            out.update(found[k in first : len(found) - (k in last)])
+        return out
 
 
 def corrections_of(word: str) -> set[str]:
@@ -161,42 +233,51 @@ def mixes_digits(word: str) -> bool:
     return 0 < len(inside) <= 2 and all(c in DIGITS for c in inside) and sum(c.isalpha() for c in word) >= 4 and word[0].isalpha() | word[1].isalpha() and not re.search(r"\d\d|[a-z]\d$", word.replace("5", "") if word.endswith("5") else word)
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (BITS - 1)
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in b.column(0).to_pylist()], pa.int64())], names=["p"])
+TAKEN = "scanned boolean, page_number boolean, header boolean, breaks array<struct<first:string,mark:string,second:string>>, words array<string>, counts array<int>, parts array<string>"
 
 
 class ScanNoise:
     """rows (key, text): the noise in every text, and the repaired texts.
 
     Null, blank and one-line texts have no noise; rows of one key count as one, with the noise of them all, and are repaired as
-    the smallest of their texts. The vocabulary is counted over all rows. An empty table gives no rows.
+    the smallest of their texts. The vocabulary is counted over all rows. An empty table gives no rows. Every text is taken
+    apart once; what it shows and its words are written, and all else is made from that.
     """
 
     def __init__(self, rows: DataFrame, key: str, text: str, scratch: Scratch | None = None):
         self.spark, self.key = rows.sparkSession, key
         self.scratch = scratch or Scratch(self.spark, "scans")
         self.rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        self.marks = self.scratch.write("taken", self._taken())
         self.vocabulary = self.scratch.write("vocabulary", self._vocabulary())
         self.misread = self.scratch.write("misread", self._misread())
-        self.marks = self.scratch.write("marks", self._marks())
         self.wrong, self.joined = self._verdicts()
 
-    def _vocabulary(self) -> DataFrame:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _taken(self) -> DataFrame:
+        """(key, ...) what every text shows by itself: noise at its pages' edges, words broken at line ends, its words, and the parts of compounds."""
+        kind = self.rows.schema["key"].dataType.simpleString()
+        part = pa.struct([("first", pa.string()), ("mark", pa.string()), ("second", pa.string())])
+        types = [pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(part), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        names = ["key", "scanned", "page_number", "header", "breaks", "words", "counts", "parts"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                c: Counter[str] = Counter()
-                for t in b.column(0).to_pylist():
-                    c.update(Page(t).words())
-                    c.update(w for x in _WORD.findall(t or "") if "-" in x for w in x.lower().split("-"))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+                out = []
+                for t in b.column(1).to_pylist():
+                    p = Page(t)
+                    c = p.words()
+                    parts = [w for x in _WORD.findall((t or "").lower()) if "-" in x for w in x.split("-")]
+                    broken = [{"first": x.lower(), "mark": m, "second": y.lower()} for _, _, x, m, y in p.breaks]
+                    out.append((p.scanned, bool(p.numbers), bool(p.headers), broken, list(c), list(c.values()), parts))
+                columns = list(zip(*out)) if out else [()] * 7
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, types))], names=names)
+
+        return self.rows.where("text IS NOT NULL").mapInArrow(run, f"key {kind}, {TAKEN}")
 
-        counts = self.rows.select("text").mapInArrow(count, "word string, n bigint")
-        return counts.groupBy("word").agg(F.sum("n").alias("n"))
+    def _vocabulary(self) -> DataFrame:
+        counted = self.marks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").cast("bigint").alias("n"))
+        parts = self.marks.select(F.explode("parts").alias("word"), F.lit(1).cast("bigint").alias("n"))
+        return counted.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
 
     def _misread(self) -> DataFrame:
         """(word, stands_for): the misread words of the vocabulary."""
@@ -221,36 +302,13 @@ class ScanNoise:
         best = F.max_by("guess", F.struct(F.coalesce("common", F.lit(0)), "guess"))
         return seen.groupBy("word").agg(best.alias("stands_for"))
 
-    def _marks(self) -> DataFrame:
-        """(key, page_number, header, breaks, suspects): what every text shows by itself."""
-        shared = BitFilter(self.misread.select("word").mapInArrow(_places, "p bigint"), place="p").shared
-        kind = self.rows.schema["key"].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = shared.value
-            for b in batches:
-                keys, out = b.column(0), []
-                for t in b.column(1).to_pylist():
-                    p = Page(t)
-                    words = set(p.words()) | {(first + second).lower() for _, _, first, _, second in p.breaks} if p.scanned else set()
-                    hits = [w for w in words if bits[(h := _hash(w)) >> 3] >> (h & 7) & 1]
-                    broken = [{"first": x.lower(), "mark": m, "second": y.lower()} for _, _, x, m, y in p.breaks]
-                    out.append((bool(p.numbers), bool(p.headers), broken, hits))
-                numbers, headers, breaks, suspects = zip(*out) if out else ((), (), (), ())
-                part = pa.struct([("first", pa.string()), ("mark", pa.string()), ("second", pa.string())])
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(numbers, pa.bool_()), pa.array(headers, pa.bool_()), pa.array(breaks, pa.list_(part)), pa.array(suspects, pa.list_(pa.string()))],
-                    names=["key", "page_number", "header", "breaks", "suspects"],
-                )
-
-        lined = self.rows.where(F.col("text").rlike("[\\n\\r\\f]"))
-        shape = f"key {kind}, page_number boolean, header boolean, breaks array<struct<first:string,mark:string,second:string>>, suspects array<string>"
-        return lined.mapInArrow(run, shape)
-
     def _verdicts(self) -> tuple[DataFrame, DataFrame]:
         """(key, word, stands_for) of misread words, and (key, first, mark, second, whole) of broken words to join."""
-        suspects = self.marks.select("key", F.explode("suspects").alias("word"))
-        wrong = salted_join(suspects, self.misread, "word", "inner", F.col("key"))
+        lined = self.marks.where("scanned")
+        whole = F.transform("breaks", lambda x: F.concat(x["first"], x["second"]))
+        suspects = lined.select("key", F.explode(F.array_union("words", whole)).alias("word"))
+        # misread words are rare ones, so no word is hot on this side of the join
+        wrong = suspects.join(self.misread, "word")
         breaks = self.marks.select("key", F.explode("breaks").alias("b")).select("key", "b.*")
         cases = breaks.select("first", "mark", "second").distinct()
         for name, word in (("n_whole", F.concat("first", "second")), ("n_compound", F.concat("first", F.lit("-"), "second"))):

@@ -245,6 +245,19 @@ def test_page_number_lines(line, is_number):
     assert scans.is_page_number(line) == is_number
 
 
+def test_pages_that_form_feeds_part():
+    footer = "\f".join(["One text begins", "Another follows it", "Nothing is left", "Here we stop"][n] + "\non and on.\n" + ("Quarterly archive report" if n != 2 else "the end of it") for n in range(4))
+    assert len(scans.Page(footer).headers) == 3
+    title = "The storage handbook\nand it goes on in lower case\nmore here\f" * 2
+    p = scans.Page(title[:-1])
+    assert {p.lines[k] for k in p.headers} >= {"The storage handbook"}
+
+
+@pytest.mark.parametrize("text,found", [("a\n1998\nb", 0), ("x\nI\ny", 0), ("a\n12\nb\n13\nc", 2), ("a\n1998\nb\n2004", 0), ("a\n12\fb\nc\f d\n14", 2), ("Seite 3\na\nSeite 4", 2), ("vi\na\nxii", 2), ("1998\na\n1999\nb\n" + "x" * 50, 2)])
+def test_page_numbers_come_in_sequences(text, found):
+    assert len(scans.Page(text).numbers) == found
+
+
 def test_scans_of_an_empty_table(spark):
     assert scans.ScanNoise(spark.createDataFrame([], "id long, text string"), "id", "text").found().count() == 0
 
