@@ -87,9 +87,10 @@ def number_sequences(lines: list[str], pages: list[int]) -> set[int]:
             else:
                 of.append([(k, v)])
     out = {k for of in runs.values() for run in of if len(run) > 1 for k, _ in run}
-    # Roman numbers of one form that differ need not go up: front matter is bound in any order, and words are no such lines
+    # Roman numbers of one form that differ need not go up: front matter is bound in any order, and words are no such lines; single
+    # letters are left out
     for of in runs.values():
-        roman = [(k, v) for run in of for k, v in run if not re.search(r"\d", lines[k])]
+        roman = [(k, v) for run in of for k, v in run if re.search(r"(?i)\b[ivxl]{2,}\b", lines[k]) and not re.search(r"\d", lines[k])]
         if len({v for _, v in roman}) > 1:
             out |= {k for k, _ in roman}
     return out

@@ -2,8 +2,9 @@
 
 Two kinds of evidence meet. Lengths: the lengths of each source are fitted by a log-normal distribution, by maximum likelihood
 with those at a candidate limit counted as right-censored; where many more texts than the fit expects have exactly one length,
-most of them were cut there, which gives every text at that length a posterior of being censored. Endings: how the last line ends,
-and whether words of the corpus end lines, titles and sentences or only stand inside them.
+most of them were cut there, which gives every text at that length a posterior of being censored. Endings: what the form of the
+last line leaves open is settled by likelihoods from the corpus, of its opening among titles against sentences, and of its last word
+among the ends of whole lines against words anywhere, where a cut falls. The odds of both kinds are multiplied.
 """
 
 from __future__ import annotations
@@ -46,8 +47,15 @@ _GOES_ON = re.compile(r"(?:^|\s)(" + "|".join(re.escape(x) for x in NUMBER_GOES_
 
 #: What each kind of ending says by itself: complete, cut, or open (to be read from the corpus' words).
 COMPLETE, CUT, OPEN = "complete", "cut", "open"
-#: Cuts for each complete text among texts whose last line looks whole without being a sentence.
-WHOLE_LINE_ODDS = 1 / 30
+#: Cuts for each complete text, before words and lengths are looked at: of texts that end in a whole code line, row, reference or path; in a
+#: list item, label or short line; in a line of its own.
+WHOLE_LINE_ODDS, LINE_ODDS, LONE_ODDS = 1 / 30, 1 / 5, 1.0
+#: Ends a word is granted over those seen and expected, so that rare words say little.
+GRANTED = 1.0
+#: The share of cuts that leave a piece of a word which stands nowhere else than at ends of texts.
+PIECES = 0.5
+#: The share of whole lines whose last word, written large, stands nowhere else and begins a longer word of the corpus.
+PIECE_BY_CHANCE = 1 / 50
 #: A length is examined as a limit if its texts number so many deviations (Poisson) above what is expected, by the fit and by the lengths at most NEAR away.
 DEVIATIONS, NEAR = 6, 25
 LONE, LINE = "lone", "line"
@@ -130,26 +138,33 @@ def ending(text: str) -> tuple[str, str, str]:
     return (OPEN, LINE, line) if short else (CUT, "prose", "")
 
 
+def last_class(word: str) -> str:
+    """The last word of a line as it is counted: a number, a name, or the word."""
+    return _token(word) if word else ""
+
+
 def _observe(text: str) -> Iterator[tuple[str, str]]:
-    """What a text tells of titles, sentences and last words; its own end is left out."""
+    """What a text tells of titles, sentences and the ends of whole lines; its own end is left out.
+
+    A line is whole if a blank line, an item or a row follows; lines that are merely wrapped are not. Ends of sentences do not count,
+    as a line that ends so is complete anyway.
+    """
     body = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = body.split("\n")
     for i, line in enumerate(lines[:-1]):
         s = line.strip()
-        if not s:
+        if not s or _SENTENCE.search(s):
             continue
-        w = _last_word(s)
-        if w:
-            yield "end", w.lower()
-        if i == 0 and not lines[1].strip() and not _SENTENCE.search(s) and not _ITEM.match(s):
+        after = lines[i + 1]
+        if not after.strip() or _ITEM.match(after) or _TABLE.match(after):
+            yield "end", last_class(_last_word(s))
+        if i == 0 and not after.strip() and not _ITEM.match(s):
             for k in opening(s):
                 yield "title", k
     starts = re.split(r"(?<=[.!?])\s+", body)
     for i, s in enumerate(starts[:-1]):
-        last = s.rsplit("\n", 1)[-1]
-        if w := _last_word(last):
-            yield "end", w.lower()
         if i or "\n" not in s.strip():
+            last = s.rsplit("\n", 1)[-1]
             for k in opening(last if "\n" in s else s):
                 yield "sentence", k
 
@@ -185,43 +200,59 @@ class Truncation:
         self.key = key
         self.scratch = scratch or Scratch(documents.sparkSession, "truncation")
         self.rows = documents.select(F.col(key).alias("key"), F.coalesce(norm_key(source), F.lit("")).alias("source"), F.col(text).alias("text"))
+        self.taken = self.scratch.write("taken", self._taken(), ["tag"])
         self.ends = self.scratch.write("ends", self._ends())
         self.limits = self.scratch.write("limits", self._limits())
 
-    def _ends(self) -> DataFrame:
+    def _taken(self) -> DataFrame:
+        """One pass over the texts: rows of tag end say how each of them ends, rows of tag word how often words open, end and stand in lines."""
         kind = self.rows.schema["key"].dataType.simpleString()
+        ends = ["verdict", "kind", "last", "first", "two", "any_two"]
+        names = ["key", "source", *ends, "alone", "size", "what", "word", "n", "tag"]
+        types = [*[pa.string()] * 6, pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
+                counts: Counter[tuple[str, str]] = Counter()
+                words: Counter[str] = Counter()
                 for t in b.column(2).to_pylist():
                     verdict, what, line = ending(t) if t else (COMPLETE, "blank", "")
                     first, two, any_two = opening(line)
                     alone = what == LONE and "\n" not in (t or "").strip()
-                    out.append((verdict, what, _last_word(line), first, two, any_two, alone, len(t) if t else 0))
-                cols = list(zip(*out)) if out else [()] * 8
-                types = [pa.string()] * 6 + [pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, types))], names=["key", "source", "verdict", "kind", "last", "first", "two", "any_two", "alone", "size"])
+                    last = _last_word(line or stripped(t or "")[0].rpartition("\n")[2][-200:])
+                    out.append((verdict, what, last, first, two, any_two, alone, len(t) if t else 0, None, None, None, "end"))
+                    if t:
+                        counts.update(_observe(t))
+                        words.update(_TOKEN.findall(t))
+                classes: Counter[str] = Counter()
+                large: Counter[str] = Counter()
+                for w, n in words.items():
+                    c = _token(w)
+                    classes[c] += n
+                    if c == "X":
+                        large[w] = n
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 12, types))], names=names)
+                rows = [(what, w, n) for (what, w), n in counts.items()] + [("word", w, n) for w, n in classes.items()] + [("name", w, n) for w, n in large.items()]
+                if rows:
+                    none = [pa.nulls(len(rows), c.type) for c in (b.column(0), b.column(1))] + [pa.nulls(len(rows), k) for k in types[:8]]
+                    yield pa.RecordBatch.from_arrays([*none, *(pa.array(c, k) for c, k in zip(zip(*rows), types[8:11])), pa.array(["word"] * len(rows))], names=names)
+
+        return self.rows.mapInArrow(run, f"key {kind}, source string, verdict string, kind string, last string, first string, two string, any_two string, alone boolean, size bigint, what string, word string, n bigint, tag string")
 
-        made = self.rows.mapInArrow(run, f"key {kind}, source string, verdict string, kind string, last string, first string, two string, any_two string, alone boolean, size bigint")
+    def _ends(self) -> DataFrame:
         columns = ["source", "verdict", "kind", "last", "first", "two", "any_two", "alone", "size"]
         longest = F.max_by(F.struct(*columns), F.struct("size", "source", "verdict", "last", "two"))
-        return made.groupBy("key").agg(longest.alias("r")).select("key", "r.*")
+        return self.taken.where("tag = 'end'").groupBy("key").agg(longest.alias("r")).select("key", "r.*")
 
     def _words(self) -> DataFrame:
-        """(word, titles, sentences, ends): how often lines open with and end in each word, over all documents."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                c: Counter[tuple[str, str]] = Counter()
-                for t in b.column(0).to_pylist():
-                    if t:
-                        c.update(_observe(t))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.string()), pa.array([w for _, w in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["what", "word", "n"])
+        """(word, titles, sentences, ends, uses, names): how often lines open with and end in each word, and it stands anywhere, over all documents.
 
-        seen = self.rows.select("text").mapInArrow(run, "what string, word string, n bigint")
+        Words written large count as one under uses, and each for itself under names.
+        """
+        seen = self.taken.where("tag = 'word'")
         count = lambda what: F.sum(F.when(F.col("what") == what, F.col("n")).otherwise(F.lit(0)))
-        return seen.groupBy("word").agg(count("title").alias("titles"), count("sentence").alias("sentences"), count("end").alias("ends"))
+        return seen.groupBy("word").agg(count("title").alias("titles"), count("sentence").alias("sentences"), count("end").alias("ends"), count("word").alias("uses"), count("name").alias("names"))
 
     def _limits(self) -> DataFrame:
         """(source, size, censored): lengths at which texts of a source were cut, with the posterior that one of them was."""
@@ -257,25 +288,59 @@ class Truncation:
         """(key, source, cut, kind, censored): the verdict on every document."""
         known = self.scratch.write("words", self._words())
         rows = self.ends
+        lower = F.col("last").rlike("^\\p{Ll}")
+        last = F.when(F.col("last").rlike("\\d"), F.lit("9")).when(lower, F.lower("last")).otherwise(F.when(F.col("last") == "", F.lit("")).otherwise(F.lit("X")))
+        rows = rows.withColumn("last_class", last)
+        line = (F.col("verdict") == OPEN) & F.col("kind").isin(LINE, LONE)
+        # how often texts end in a word: with an open line, and at all
+        finals = rows.groupBy(F.col("last_class").alias("word")).agg(F.count_if(line).alias("line_finals"), F.count("*").alias("finals"))
+        known = known.join(finals, "word", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("line_finals", "finals")})
+        known = known.withColumn("inner", F.greatest(F.col("uses") - F.col("finals"), F.lit(0)))
         sure = rows.where(F.col("verdict") != OPEN)
-        unsure = rows.where(F.col("verdict") == OPEN).withColumn("last_low", F.lower("last"))
-        for name, column in (("f", "first"), ("t", "two"), ("a", "any_two"), ("e", "last_low")):
-            own = known.select(F.col("word").alias(column), F.col("titles").alias(f"{name}_titles"), F.col("sentences").alias(f"{name}_sentences"), F.col("ends").alias(f"{name}_ends"))
+        unsure = rows.where(F.col("verdict") == OPEN)
+        totals = known.agg(
+            F.coalesce(F.sum(F.col("ends") + F.col("line_finals")), F.lit(0)).alias("all_ends"),
+            F.coalesce(F.sum("uses"), F.lit(0)).alias("all_uses"),
+            F.coalesce(F.sum(F.when(F.col("inner") == 1, F.col("ends"))), F.lit(0)).alias("single_ends"),
+            F.coalesce(F.sum("ends"), F.lit(0)).alias("inner_ends"),
+        )
+        # the words of the open endings are few; they are looked up in a table of just these
+        asked = unsure.select(F.explode(F.array("first", "two", "any_two", "last_class")).alias("word")).distinct()
+        wanted = known.join(asked, "word", "left_semi")
+        for name, column in (("f", "first"), ("t", "two"), ("a", "any_two"), ("e", "last_class")):
+            own = wanted.select(F.col("word").alias(column), *[F.col(c).alias(f"{name}_{c}") for c in ("titles", "sentences", "ends", "uses", "inner", "line_finals")])
             unsure = unsure.join(own, column, "left")
+        unsure = unsure.join(F.broadcast(totals))  # one row
+        unsure = unsure.join(self._pieces(known, rows, unsure.where(line)), "last", "left").withColumn("piece", F.coalesce("piece", F.lit(False)))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         lean = lambda name: F.log((zero(f"{name}_titles") + 0.5) / (zero(f"{name}_sentences") + 0.5))
         # two words together say more than each, where they were seen at all; a name opens a line but once
         seen = zero("t_titles") + zero("t_sentences") > 0
         title = F.when(seen, lean("t")).otherwise(lean("f") + lean("a")) + F.when(F.col("alone"), 1.0).otherwise(-1.0)
-        lower = F.col("last").rlike("^\\p{Ll}[\\p{L}'’-]*$")
-        ends_well = ~lower | (zero("e_ends") >= 1)
-        whole = F.when(F.col("kind") == LONE, (title > 0) & ends_well).when(F.col("kind") == LINE, ends_well).otherwise(F.lit(True))
-        sure = sure.select("key", "source", "size", "kind", F.when(F.col("verdict") == CUT, F.lit(1.0)).otherwise(F.lit(0.0)).alias("odds"))
-        unsure = unsure.select("key", "source", "size", "kind", F.when(whole, F.lit(WHOLE_LINE_ODDS)).otherwise(F.lit(1.0)).alias("odds"))
-        both = sure.unionByName(unsure).join(self.limits, ["source", "size"], "left").withColumn("censored", F.coalesce("censored", F.lit(0.0)))
-        # an ending that stops inside a word or sentence is cut anyway, a sentence's end never; a whole line is, if length says so
-        cut = (F.col("odds") >= 1) | ((F.col("odds") > 0) & (F.col("odds") * F.col("censored") / (1 - F.col("censored")) > 1))
-        return both.select("key", "source", cut.alias("cut"), "kind", "censored")
+        # a cut falls on words as they stand anywhere, a whole line ends as lines end, other texts' last lines among them
+        expected = zero("e_uses") * F.col("all_ends") / F.greatest(F.col("all_uses"), F.lit(1))
+        word = F.log((expected + GRANTED) / (zero("e_ends") + F.greatest(zero("e_line_finals") - 1, F.lit(0)) + GRANTED))
+        # a word that stands at ends of texts only is a piece of one, unless many whole lines end in words seen once
+        single = (F.col("single_ends") + GRANTED) / (F.col("inner_ends") + 2 * GRANTED)
+        word = F.when(lower & (zero("e_inner") == 0), F.log(F.lit(PIECES) / single)).otherwise(word)
+        word = F.when(F.col("piece"), math.log(PIECES / PIECE_BY_CHANCE)).otherwise(word)
+        odds = F.when(F.col("kind") == LONE, math.log(LONE_ODDS) + word - title).when(F.col("kind") == LINE, math.log(LINE_ODDS) + word).otherwise(F.lit(math.log(WHOLE_LINE_ODDS)))
+        # an ending that stops inside a word or sentence is cut, a sentence's end never, whatever the length
+        certain = F.when(F.col("verdict") == CUT, F.lit(1000.0)).otherwise(F.lit(-1000.0))
+        both = sure.select("key", "source", "size", "kind", certain.alias("odds")).unionByName(unsure.select("key", "source", "size", "kind", odds.alias("odds")))
+        both = both.join(self.limits, ["source", "size"], "left").withColumn("censored", F.coalesce("censored", F.lit(0.0)))
+        length = F.when(F.col("censored") > 0, F.log(F.col("censored") / (1 - F.col("censored")))).otherwise(F.lit(0.0))
+        return both.select("key", "source", (F.col("odds") + length > 0).alias("cut"), "kind", "censored")
+
+    @staticmethod
+    def _pieces(known: DataFrame, rows: DataFrame, lines: DataFrame) -> DataFrame:
+        """(last, piece): the words written large that end open lines, stand nowhere but at ends of texts, and begin a longer word of the corpus."""
+        asked = lines.where(F.col("last").rlike("^\\p{Lu}\\p{L}+$")).select("last").distinct()
+        ends = rows.groupBy("last").agg(F.count("*").alias("finals"))
+        names = known.where("names > 0").select(F.col("word").alias("last"), "names")
+        only = asked.join(ends, "last").join(names, "last", "left").where("coalesce(names, 0) <= finals").select("last")
+        begins = known.where("names > 0 AND length(word) > 2").select(F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("last"))
+        return only.join(begins, "last", "left_semi").select("last", F.lit(True).alias("piece"))
 
     def found(self) -> DataFrame:
         """The keys of the texts that were cut off."""
