@@ -16,8 +16,9 @@ def test_pieces_and_small_words_at_line_ends(spark):
     """Whole items stay, items that stop inside a word or at a word that ends no line are cut."""
     items = ["restore the snapshot", "publish the guide", "document the exception", "name the Reviewers"]
     prose = "The snapshot of the archive was restored by the Reviewers and the guide had an exception."
-    rows = [(i, "s", f"{prose}\n\n- {items[i % 4]}\n- {items[(i + 1) % 4]}") for i in range(400)]
+    rnd = random.Random(1)  # lengths of all kinds, as equal ones would be limits
+    rows = [(i, "s", f"{'The index was full. ' * rnd.randrange(60)}{'x' * rnd.randrange(1, 40)} was here. {prose}\n\n- {items[i % 4]}\n- {items[(i + 1) % 4]}") for i in range(400)]
     cut = {1000: "- restore the", 1001: "- restore the snaps", 1002: "- name the Revie"}
-    rows += [(k, "s", f"{prose}\n\n- publish the guide\n{v}") for k, v in cut.items()]
+    rows += [(k, "s", f"{prose * (k - 998)}\n\n- publish the guide\n{v}") for k, v in cut.items()]
     df = spark.createDataFrame(rows, "id long, source string, text string")
     assert {r["id"] for r in truncation.Truncation(df, key="id").found().collect()} == set(cut)
