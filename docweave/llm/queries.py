@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweave.llm import history, mixing, scans, splitting, tokenize, truncation, unify, vectors
 from docweave.operators import search
@@ -22,6 +23,11 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("result_id", unify.unify_column("text").alias("text"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms that several spellings share: how many rows and spellings have them."""
+    return unify.look_alike_classes(table(spark, sf_dir, "normalisation_results"), "result_id", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k; [] for empty and null texts."""
     return tokenize.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
@@ -43,6 +49,26 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_rows(splitting.with_limits(rows, table(spark, sf_dir, "chunking_config")), "vector_id", "content")
 
 
+def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each oversized chunk come to: the characters of their own parts, and whether every piece is within its limit."""
+    limits = splitting.with_limits(table(spark, sf_dir, "vector_metadata").select("vector_id", "metadata"), table(spark, sf_dir, "chunking_config"))
+    own = F.substring(F.col("content"), F.col("core") - F.col("start") + 1, F.col("stop") - F.col("core"))
+    each = p4_pieces(spark, sf_dir).groupBy("vector_id").agg(F.sum(F.length(own)).cast("bigint").alias("characters"), F.max(F.floor(F.length("content") / 4)).alias("largest"))
+    size = limits.groupBy("vector_id").agg(F.max("chunk_size").alias("chunk_size"))
+    return each.join(size, "vector_id").select("vector_id", "characters", (F.col("largest") <= F.col("chunk_size")).alias("within"))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each listed source that has documents keeps its repetitions, and its share up to the tokens of two documents."""
+    m = mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+    most = m.sized.groupBy("source").agg(F.max("tokens").alias("most"))
+    s = m.shares().join(most, "source")
+    share = sum(m.targets[x][0] for x in m.held) or 1.0
+    total = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))  # over the targets
+    off = F.abs(F.col("used_tokens") - F.col("target_share") / F.lit(share) * total)
+    return s.withColumn("off", off).select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("off") <= 2 * F.col("most")).alias("share_kept"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that had to be split: those with more than one piece."""
     return p4_pieces(spark, sf_dir).where("piece = 1").select("vector_id")
@@ -120,4 +146,4 @@ def p3_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_batch(named.where("vector_id % 20 = 0"), named, "vector_id", "embedding", 10, 64).select("query_id", "id", "score", "rank")
 
 
-QUERIES = {"p3_ten": p3_ten, "p3_near": p3_near, "p3_recall": p3_recall, "p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p9_mix": p9_mix, "p9_shares": p9_shares, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified}
+QUERIES = {"p3_ten": p3_ten, "p3_near": p3_near, "p3_recall": p3_recall, "p10_found": p10_found, "p10_rates": p10_rates, "p7_found": p7_found, "p7_repaired": p7_repaired, "p2_found": p2_found, "p2_batches": p2_batches, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_whole": p4_whole, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_kept": p9_kept, "p8_ids": p8_ids, "p6_found": p6_found, "p6_unified": p6_unified, "p6_classes": p6_classes}

@@ -20,6 +20,14 @@ o AS (SELECT h, arg_min(doc, (b, k)) AS owner FROM h WHERE h <> '' GROUP BY h)
 SELECT 'vector_metadata' AS table_name, kept_id, dup_id FROM near
 UNION ALL SELECT 'document_records', min(a.k), r.k FROM h r JOIN o USING (h) JOIN h a ON a.h = r.h AND a.doc = o.owner AND (a.b < r.b OR (a.b = r.b AND a.k < r.k)) WHERE r.doc <> o.owner GROUP BY r.k""",
     "p2_batches": f"WITH RECURSIVE {_NEAR} SELECT kept_id, dup_id FROM near",
+    "p4_whole": """
+SELECT DISTINCT v.vector_id, CAST(v.characters AS BIGINT) AS characters, true AS within FROM (
+  SELECT vector_id, length(content) AS characters, length(content) // 4 AS size,
+         CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.strategy') END AS strategy FROM vector_metadata) v
+LEFT JOIN chunking_config c ON c.strategy = v.strategy
+WHERE v.size > coalesce(c.chunk_size, (SELECT chunk_size FROM chunking_config WHERE strategy = 'sentence'))""",
+    "p9_kept": f"""SELECT DISTINCT t.source, true AS repeats_kept, true AS share_kept FROM (SELECT {_N.format("source")} AS source FROM mixture_targets WHERE target_share > 0 AND max_repeats > 0) t
+JOIN (SELECT DISTINCT {_N.format("source")} AS source FROM documents WHERE length(text) > 0) d USING (source)""",
     "p4_found": """
 SELECT DISTINCT v.vector_id FROM (
   SELECT vector_id, length(content) // 4 AS size,

@@ -125,3 +125,17 @@ def look_alike_pairs(rows: DataFrame, key: str, text: str, rows_per_part: int =
     b = left.select("h", "f", F.col("k").alias("key_b"), F.col("own").alias("own_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     pairs = a.join(b, ["h", "f", "salt"]).where((F.col("key_a") < F.col("key_b")) & (F.col("own_a") != F.col("own_b")))
     return pairs.select("key_a", "key_b")
+
+
+def look_alike_classes(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(form, rows, spellings, first): one row a consistent form that several texts share, with how many rows and different texts have it, and its smallest key.
+
+    Null and blank texts take no part; a row that was delivered twice counts once. Nothing grows with the pairs of a class.
+    """
+    base = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length(F.btrim("t")) > 0)
+    forms = base.select("k", F.xxhash64("t").alias("own"), unify_column("t").alias("form")).where(F.col("form") != "")
+    # of each row the hash of its form moves, and of each form one copy of its text
+    named = forms.select("k", "own", F.xxhash64("form").alias("h"), F.md5("form").alias("f"), "form")
+    each = named.groupBy("h", "f", "own").agg(F.count_distinct("k").alias("n"), F.min("k").alias("first"), F.first("form").alias("form"))
+    whole = each.groupBy("h", "f").agg(F.first("form").alias("form"), F.sum("n").alias("rows"), F.count("*").alias("spellings"), F.min("first").alias("first"))
+    return whole.where("spellings > 1").select("form", "rows", "spellings", "first")

@@ -209,6 +209,7 @@ def test_form_is_stable_and_pairs_are_found(spark):
     same = {0: "Abc", 1: "Ａbc", 2: "Аbc", 7: "Abc ", 8: "Abc"}
     assert got == {(a, b) for a in same for b in same if a < b and same[a] != same[b]}
     assert unify.look_alike_pairs(df.limit(0), "id", "t").count() == 0
+    assert [tuple(r) for r in unify.look_alike_classes(df, "id", "t").collect()] == [("Abc", 5, 4, 0)]
 
 
 # ---- scanned pages
