@@ -1,4 +1,4 @@
-"""Chunkers: pieces of a text with their place, by sentences, fixed windows, separators or structure."""
+"""Chunkers: pieces of a text with their place, by sentences, fixed windows, separators, structure or elements."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 SHAPE = "array<struct<index:int,start:int,stop:int,content:string,tokens:int>>"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Þ¿¡])|\n\s*\n|(?<=:)\n")
-SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ", "")
+# Where the recursive chunker cuts, strongest first.
+SEPARATORS = ("\n## ", "\n# ", "\n\n\n", "\n\n", "\n", ". ", " ")
 
 
 def _size(n: int) -> int:
@@ -43,7 +44,7 @@ def by_sentence(text: str, size: int, overlap: int, least: int) -> list[tuple[in
         if j == len(spans):
             break
         back = j
-        while back - 1 > i and _size(spans[j - 1][1] - spans[back - 1][0]) <= overlap:
+        while overlap > 0 and back - 1 > i and _size(spans[j - 1][1] - spans[back - 1][0]) <= overlap:
             back -= 1
         i = back
     if len(out) > 1 and _size(out[-1][1] - out[-1][0]) < least:
@@ -67,49 +68,137 @@ def by_window(text: str, size: int, overlap: int, least: int) -> list[tuple[int,
 
 
 def by_separators(text: str, size: int, overlap: int, least: int, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
-    """The text cut at the first separator; parts over size are cut at the next one, small neighbours are merged up to size."""
+    """Parts between the first separator the text has, packed up to size tokens; a part over size is cut at the next separators.
+
+    A packed part under least tokens joins the chunk before it; the first of a text stays, so that nothing is lost. What no
+    separator cuts stays whole. A separator belongs to the part before it, the mark of a heading to the heading, and does not count to its size.
+    """
 
     def split(a: int, b: int, seps: tuple[str, ...]) -> list[tuple[int, int]]:
-        if _size(b - a) <= size:
+        while seps and text.find(seps[0], a, b) < 0:
+            seps = seps[1:]
+        if not seps:
             return [(a, b)]
         sep = seps[0]
-        if not sep:
-            return [(x, min(b, x + size * 4)) for x in range(a, b, size * 4)]
-        parts, at = [], a
-        while (hit := text.find(sep, at, b)) >= 0:
-            parts.append((at, hit + len(sep)))
-            at = hit + len(sep)
-        if at < b:
-            parts.append((at, b))
-        return [p for x, y in parts for p in (split(x, y, seps[1:]) if _size(y - x) > size else [(x, y)])]
-
-    out: list[tuple[int, int]] = []
-    for a, b in split(0, len(text), separators):
-        if out and _size(b - out[-1][0]) <= size:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
+        parts, at, seek = [], a, a
+        while (hit := text.find(sep, seek, b)) >= 0:
+            cut = hit + (1 if sep.endswith("# ") else len(sep))  # the mark of a heading stays with the heading
+            parts.append((at, hit, cut))
+            at, seek = cut, hit + len(sep)
+        parts.append((at, b, b))
+        out: list[tuple[int, int]] = []
+        run: tuple[int, int, int] | None = None
+
+        def close() -> None:
+            if run and out and _size(run[1] - run[0]) < least:
+                out[-1] = (out[-1][0], run[2])
+            elif run:
+                out.append((run[0], run[2]))
+
+        for begin, end, stop in parts:
+            if not text[begin:stop].strip():
+                continue
+            if run and _size(end - run[0]) <= size:
+                run = (run[0], end, stop)
+                continue
+            close()
+            run = None
+            if _size(end - begin) > size and len(seps) > 1:
+                inner = split(begin, end, seps[1:])
+                inner[-1] = (inner[-1][0], stop)
+                out += inner
+            else:
+                run = (begin, end, stop)
+        close()
+        return out or [(a, b)]
+
+    return split(0, len(text), separators)
+
+
+_FENCE = re.compile(r"(?ms)^```.*?^```[^\n]*$|^\|.+\|[ \t]*\n\|[-:\s|]+\|[ \t]*\n(?:\|.+\|[ \t]*\n?)+")
+_HEADING = re.compile(r"(?m)^#{1,6}\s+\S")
+
+
+def paragraphs(text: str, a: int, b: int, whole: int) -> list[tuple[int, int]]:
+    """The spans between blank lines; code blocks and tables of at most whole tokens are not cut inside."""
+    kept = [(m.start(), m.end()) for m in _FENCE.finditer(text, a, b) if _size(m.end() - m.start()) <= whole]
+    cuts = [m.end() for m in re.compile(r"\n\s*\n").finditer(text, a, b) if not any(x < m.end() < y for x, y in kept)]
+    ends = sorted({*cuts, *(y for _, y in kept), *(x for x, _ in kept if x > a), b})
+    out, at = [], a
+    for e in ends:
+        if text[at:e].strip():
+            out.append((at, e))
+        at = max(at, e)
     return out
 
 
 def by_structure(text: str, size: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """Headings begin chunks, paragraphs fill them, long paragraphs are cut by sentences; a chunk under least tokens joins its neighbour up to 1.2 x size."""
-    starts = [0, *(m.start() for m in re.finditer(r"(?m)^#{1,6} ", text) if m.start())]
+    """Sections under headings; one over size tokens is cut into packed paragraphs, a paragraph over size into packed sentences.
+
+    Code blocks and tables that fit are not cut. A chunk under least tokens joins its neighbour up to 1.2 x size.
+    """
+    starts = [0, *(m.start() for m in _HEADING.finditer(text) if m.start())]
     out: list[tuple[int, int]] = []
     for a, b in zip(starts, [*starts[1:], len(text)]):
-        for x, y in _spans(text[a:b], re.compile(r"\n\s*\n")):
-            parts = [(a + x, a + y)] if _size(y - x) <= size else [(a + x + p, a + x + q) for p, q in by_sentence(text[a + x : a + y], size, 0, 0)]
-            out += parts
+        if not text[a:b].strip():
+            continue
+        if _size(b - a) <= size:
+            out.append((a, b))
+            continue
+        run: tuple[int, int] | None = None
+        for x, y in paragraphs(text, a, b, size):
+            if run and _size(y - run[0]) <= size:
+                run = (run[0], y)
+                continue
+            if run:
+                out.append(run)
+            run = None
+            if _size(y - x) > size:
+                out += [(x + p, x + q) for p, q in by_sentence(text[x:y], size, 0, 0)]
+            else:
+                run = (x, y)
+        if run:
+            out.append(run)
     merged: list[tuple[int, int]] = []
     for a, b in out:
-        if merged and _size(merged[-1][1] - merged[-1][0]) < least and _size(b - merged[-1][0]) <= 1.2 * size:
+        small = merged and min(_size(merged[-1][1] - merged[-1][0]), _size(b - a)) < least
+        if small and _size(b - merged[-1][0]) <= 1.2 * size:
             merged[-1] = (merged[-1][0], b)
         else:
             merged.append((a, b))
     return merged
 
 
-STRATEGIES = {"sentence": by_sentence, "fixed": by_window, "recursive": by_separators, "structure": by_structure}
+def by_elements(text: str, size: int, overlap: int, least: int) -> list[tuple[int, int]]:
+    """Code blocks, tables, lists, headings and paragraphs as elements, a heading with the element after it, packed up to size.
+
+    The size of an element is 1.3 tokens a word. An element over size is cut by sentences.
+    """
+    tokens = lambda x, y: int(len(text[x:y].split()) * 1.3)
+    elements: list[tuple[int, int]] = []
+    heading: int | None = None
+    for a, b in paragraphs(text, 0, len(text), len(text)):
+        begin = a if heading is None else heading
+        heading = begin if _HEADING.match(text[a:b].lstrip()) and "\n" not in text[a:b].strip() else None
+        if heading is None:
+            elements.append((begin, b))
+    if heading is not None:
+        elements.append((heading, len(text)))
+    out: list[tuple[int, int]] = []
+    open_run = False
+    for a, b in elements:
+        if tokens(a, b) > size:
+            out += [(a + p, a + q) for p, q in by_sentence(text[a:b], size, 0, 0)]
+            open_run = False
+        elif open_run and tokens(out[-1][0], b) <= size:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+            open_run = True
+    return out
+
+
+STRATEGIES = {"sentence": by_sentence, "fixed": by_window, "recursive": by_separators, "structure": by_structure, "elements": by_elements}
 
 
 def chunk(text: str | None, strategy: str = "sentence", size: int = 512, overlap: int = 50, least: int = 100) -> list[dict] | None:

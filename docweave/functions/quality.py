@@ -78,7 +78,7 @@ def format_citation(style: str, title: Column, author: Column, year: Column, nam
     raise ValueError(f"unknown style {style}")
 
 
-# Quality of an extraction: the scores of the reference, over the whole text. file_type is a column or None (unknown).
+# Quality of an extraction, over the whole text. file_type is a column or None (unknown).
 
 #: Characters of broken encodings; each match counts with its length.
 BROKEN = (r"�+", r"â€[™œ]", r"Ã[\x80-\xbf]", "ï»¿", r"[\x00-\x08\x0b\x0c\x0e-\x1f]")

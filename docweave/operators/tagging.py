@@ -47,17 +47,23 @@ def collection_members(rows: DataFrame, collections: DataFrame) -> DataFrame:
     the excluded ones; these have a form of their own, see all_but and exclusions.
     """
     ids = F.col("id").alias("collection")
-    need = collections.select(ids, F.size(F.array_distinct(F.coalesce("include_all", F.array()))).alias("n_all"), F.size(F.coalesce("include_any", F.array())).alias("n_any"))
-    terms = None
-    for kind in ("include_all", "include_any", "exclude"):
-        one = collections.select(ids, F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.coalesce(kind, F.array()))).alias("pattern"))
-        terms = one if terms is None else terms.unionByName(one)
-    fits = pattern_matches(rows, terms)
+    need = collections.select(ids, F.size(F.array_distinct(F.coalesce("include_all", F.array()))).alias("n_all"), F.size(F.coalesce("include_any", F.array())).alias("n_any")).where("n_all + n_any > 0")
+
+    def patterns(kind: str) -> DataFrame:
+        return collections.select(ids, F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.coalesce(kind, F.array()))).alias("pattern"))
+
+    terms = patterns("include_all").unionByName(patterns("include_any"))
+    out = patterns("exclude").join(need.select("collection"), "collection", "left_semi")
+    fits = pattern_matches(rows, terms.unionByName(out))
+    # what a collection includes comes first; only of the documents that are in are the tags held against what it excludes
     met = terms.join(fits, "pattern").join(rows, "tag").groupBy("collection", "doc")
     count = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("pattern")))
-    met = met.agg(count("include_all").alias("all"), count("include_any").alias("any"), count("exclude").alias("out"))
-    ok = (F.col("all") == F.col("n_all")) & ((F.col("n_any") == 0) | (F.col("any") > 0)) & (F.col("out") == 0) & (F.col("n_all") + F.col("n_any") > 0)
-    return met.join(need, "collection").where(ok).select("collection", "doc")
+    met = met.agg(count("include_all").alias("all"), F.count_if(F.col("kind") == "include_any").alias("any"))
+    inside = met.join(need, "collection").where((F.col("all") == F.col("n_all")) & ((F.col("n_any") == 0) | (F.col("any") > 0))).select("collection", "doc")
+    barred = out.join(fits, "pattern").select("collection", "tag").distinct()
+    checked = inside.join(barred.select("collection").distinct(), "collection", "left_semi")
+    gone = checked.join(rows, "doc").join(barred, ["collection", "tag"], "left_semi").select("collection", "doc").distinct()
+    return inside.join(gone, ["collection", "doc"], "left_anti")
 
 
 def all_but(collections: DataFrame) -> DataFrame:

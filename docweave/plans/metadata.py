@@ -235,7 +235,11 @@ fits AS (SELECT DISTINCT p, tag FROM (SELECT DISTINCT p FROM pats) x, (SELECT DI
 met AS (SELECT id, doc, count(DISTINCT p) FILTER (kind = 'all') AS n1, count(DISTINCT p) FILTER (kind = 'any') AS n2, count(DISTINCT p) FILTER (kind = 'out') AS n3
   FROM pats JOIN fits USING (p) JOIN t USING (tag) GROUP BY id, doc),
 m AS (SELECT met.id AS collection, doc FROM met JOIN c USING (id) WHERE n1 = coalesce(len(list_distinct(include_all)), 0) AND (coalesce(len(include_any), 0) = 0 OR n2 > 0) AND n3 = 0
-  AND coalesce(len(include_all), 0) + coalesce(len(include_any), 0) > 0)
+  AND coalesce(len(include_all), 0) + coalesce(len(include_any), 0) > 0),
+docs AS (SELECT doc FROM t UNION SELECT {_N.format("document_id")} FROM document_records WHERE {_N.format("document_id")} IS NOT NULL),
+rest AS (SELECT id FROM c WHERE coalesce(len(include_all), 0) + coalesce(len(include_any), 0) = 0),
+gone AS (SELECT id, doc FROM met WHERE n3 > 0 AND id IN (SELECT id FROM rest)),
+other AS (SELECT rest.id, docs.doc FROM rest, docs WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.id = rest.id AND gone.doc = docs.doc))
 """
 _AUD = "(SELECT DISTINCT ON (id) * FROM audit_log)"
 _TIER = """tiers AS (SELECT doc_id, CASE WHEN doc_type = 'legal' THEN 3 WHEN doc_type = 'financial' THEN 2 WHEN doc_type IN ('article', 'documentation') THEN 0 ELSE 1 END AS level FROM documents)"""
@@ -295,9 +299,10 @@ UNION ALL SELECT 'result', result, count(*) FROM {_AUD} WHERE result IN ('succes
  WHERE {_N.format("source")} = 'llm' AND {_N.format("status")} = 'confirmed') WHERE doc IS NOT NULL AND tag IS NOT NULL GROUP BY doc""",
     "tag_rename": f"""WITH {_ARR}, n AS (SELECT doc, list_sort(list_distinct(list_transform(tags, lambda x: regexp_replace(x, '^topic/', 'subject/')))) AS tags FROM a WHERE {_some("starts_with(x, 'topic/')")})
 SELECT doc, array_to_string(tags, ',') AS tags FROM n""",
-    "collection_members": _MEMBERS + "SELECT collection, doc FROM m",
-    "collection_sizes": _MEMBERS + "SELECT id AS collection, count(doc) AS members FROM c LEFT JOIN m ON m.collection = c.id WHERE coalesce(len(include_all), 0) + coalesce(len(include_any), 0) > 0 GROUP BY id",
-    "collections_for_doc": _MEMBERS + "SELECT doc, count(*) AS collections, min(collection) AS first_collection FROM m GROUP BY doc",
+    "collection_members": _MEMBERS + "SELECT collection, doc FROM m UNION ALL SELECT id, NULL FROM rest",
+    "collection_exclusions": _MEMBERS + "SELECT id AS collection, doc FROM gone",
+    "collection_sizes": _MEMBERS + ", every AS (SELECT collection, doc FROM m UNION ALL SELECT id, doc FROM other) SELECT id AS collection, count(doc) AS members FROM c LEFT JOIN every ON every.collection = c.id GROUP BY id",
+    "collections_for_doc": _MEMBERS + ", every AS (SELECT collection, doc FROM m UNION ALL SELECT id, doc FROM other) SELECT doc, count(*) AS collections, min(collection) AS first_collection FROM every GROUP BY doc",
     "collection_children": f"""WITH tr AS (SELECT {_N.format("id")} AS key, {_N.format("parent_id")} AS parent, created_at, name, id FROM collections),
 l AS (SELECT key, parent FROM tr QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at DESC, parent DESC NULLS LAST, name DESC NULLS LAST, id DESC) = 1)
 SELECT l.parent, count(*) AS children FROM l JOIN l p ON p.key = l.parent GROUP BY 1""",

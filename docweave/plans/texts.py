@@ -168,6 +168,22 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", page.alias("html"))
 
 
+def chunk_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The letters and digits of each document that the chunks of each strategy hold, overlaps once: all of them, if nothing is lost."""
+    rows = docs(spark, d).where("text IS NOT NULL")
+    out = None
+    for strategy in chunks.STRATEGIES:
+        c = rows.select("doc_id", "text", chunks.chunk_column("text", strategy, 128, 16, 32).alias("c"))
+        step = lambda acc, x: F.struct(
+            F.greatest(acc["at"], x["stop"]).alias("at"),
+            (acc["n"] + F.length(F.regexp_replace(F.substring(F.col("text"), F.greatest(acc["at"], x["start"]) + 1, F.greatest(x["stop"] - F.greatest(acc["at"], x["start"]), F.lit(0))), r"[^\p{L}\p{N}]", ""))).alias("n"),
+        )
+        held = F.aggregate("c", F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step)
+        one = c.select("doc_id", F.lit(strategy).alias("strategy"), held["n"].alias("characters"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def html_meta(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("doc_id", html.title("html").alias("title"), html.meta("html", "author").alias("author"), html.best_title("html").alias("best_title"), html.complexity("html").alias("complexity"), html.needs_script("html").alias("needs_script"))
 
@@ -236,6 +252,7 @@ QUERIES = {
     "url_domain": domains,
     "chunk_fixed_windows": chunk_windows,
     **{f"chunk_{s}": partial(chunked, s) for s in chunks.STRATEGIES},
+    "chunk_coverage": chunk_coverage,
     "html_meta": html_meta,
     "html_text": html_text,
 }
@@ -259,6 +276,7 @@ SELECT record_id, filename || ' (' || y || '). ' || t || '.' AS apa, filename ||
  '@misc{{' || regexp_replace(lower(filename), '[^a-z0-9]+', '_', 'g') || ', title={{' || t || '}}, year={{' || y || '}}}}' AS bibtex, '[' || t || '](' || filename || ')' AS markdown, '(' || filename || ', ' || y || ')' AS inline FROM r""",
     "url_domain": "SELECT doc_id, lower(translate(source, ' ' || chr(9) || chr(10), '')) || '.example.org' AS domain FROM documents WHERE trim(source, ' ' || chr(9) || chr(10) || chr(13)) <> ''",
     "chunk_fixed_windows": "SELECT doc_id, CAST(start AS INTEGER) AS start, md5(text[start + 1:start + 256]) AS digest FROM (SELECT doc_id, text, unnest(range(0, length(text), 224)) AS start FROM documents WHERE length(text) > 0)",
+    "chunk_coverage": f"SELECT doc_id, strategy, CAST(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS INTEGER) AS characters FROM documents, (SELECT unnest({list(chunks.STRATEGIES)}) AS strategy) WHERE text IS NOT NULL",
     "html_meta": """SELECT doc_id, 'Document ' || doc_id AS title, coalesce(doc_type, '') AS author, coalesce(nullif(lower(trim(source, ' ' || chr(9) || chr(10) || chr(13))), ''), 'Document ' || doc_id) AS best_title,
  CASE WHEN doc_id % 3 = 0 THEN 'moderate' ELSE 'simple' END AS complexity, false AS needs_script FROM documents""",
 }

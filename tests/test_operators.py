@@ -115,11 +115,28 @@ def test_chunks_cover_the_text_in_order(strategy):
         for x in c:
             covered.update(range(x["start"], x["stop"]))
         assert all(i in covered or t[i].isspace() for i in range(len(t)))
-        if strategy in ("fixed", "recursive"):
+        if strategy == "fixed":
             assert all(x["tokens"] <= 32 for x in c)
     assert chunks.chunk(None) is None
 
 
+# (strategy, text, size, least, expected pieces), written by hand from the rules
+CHUNKS = [
+    ("recursive", "aaaa bbbb\n\ncccc dddd\n\neeee", 3, 1, ["aaaa bbbb\n\n", "cccc dddd\n\neeee"]),
+    ("recursive", "aaaa bbbb\n\ncc", 3, 2, ["aaaa bbbb\n\ncc"]),
+    ("recursive", "aaaaaaaaaaaaaaaaaaaa", 2, 1, ["aaaaaaaaaaaaaaaaaaaa"]),
+    ("recursive", "One here.\n## Two\nmore", 3, 1, ["One here.\n", "## Two\nmore"]),
+    ("structure", "# A\nshort one\n\n# B\nother text here", 8, 1, ["# A\nshort one\n\n", "# B\nother text here"]),
+    ("structure", "# A\n\n```\nx\n\ny\n```\n\ntail tail tail tail", 5, 0, ["# A\n\n```\nx\n\ny\n```", "tail tail tail tail"]),
+    ("elements", "# A\n\none two three\n\nfour five six", 6, 0, ["# A\n\none two three\n\n", "four five six"]),
+]
+
+
+@pytest.mark.parametrize("strategy,text_,size,least,pieces", CHUNKS)
+def test_pieces_by_rule(strategy, text_, size, least, pieces):
+    assert [x["content"] for x in chunks.chunk(text_, strategy, size, 0, least)] == pieces
+
+
 def test_pages(spark):
     page = "<html><head><title> T </title><script>var x='no';</script></head><body><nav>menu</nav><main><h2>Head &amp; more</h2><p>Some body text here.</p><table><tr><td>a</td><td>b</td></tr></table></main></body></html>"
     r = html.read_page(page)
