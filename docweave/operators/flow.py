@@ -160,17 +160,21 @@ def write_json_lines(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "false").json(folder)
 
 
+def _json_lines(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The lines of a folder that are JSON, in a column r, with the time their file was changed in changed."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_modification_time").alias("changed"))
+    return lines.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("r"), "changed")
+
+
 def read_sessions(spark: SparkSession, folder: str, schema: str, order: str = "created_at") -> DataFrame:
     """What write_json_lines() wrote, the newest first; lines that cannot be read are left out."""
-    rows = spark.read.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").json(folder)
-    return rows.where("__bad IS NULL").drop("__bad").orderBy(F.desc_nulls_last(order))
+    return _json_lines(spark, folder, schema).select("r.*").orderBy(F.desc_nulls_last(order))
 
 
 def read_recent(spark: SparkSession, folder: str, schema: str, days: int) -> DataFrame:
-    """The rows of JSON files that were changed in the last days."""
-    rows = spark.read.schema(f"{schema}, __bad string").option("columnNameOfCorruptRecord", "__bad").json(folder)
-    recent = F.col("_metadata.file_modification_time") >= F.current_timestamp() - F.make_dt_interval(F.lit(days))
-    return rows.where(recent).where("__bad IS NULL").drop("__bad")
+    """The rows of JSON files that were changed in the last days; lines that cannot be read are left out."""
+    rows = _json_lines(spark, folder, schema)
+    return rows.where(F.col("changed") >= F.current_timestamp() - F.make_dt_interval(F.lit(days))).select("r.*")
 
 
 def reader_view(title: Column, author: Column, source: Column, text: Column) -> Column:
