@@ -295,6 +295,9 @@ def postings(classes: DataFrame, s: float, order: np.ndarray, wanted: np.ndarray
                 seg, of, pos = segments(h, sizes, s, ranks.value)
                 if shared is not None:
                     keep = _noted(shared.value, _cell(seg, bits))
+                    # a string with fewer noted segments than it must share with any partner has none
+                    left = np.bincount(of[keep], minlength=len(sizes))
+                    keep &= (left >= np.minimum(SHARED, np.ceil(s * sizes - 1e-9)))[of]
                     seg, of, pos = seg[keep], of[keep], pos[keep]
                 arrays = [pa.array(seg.view(np.int64)), pa.array(ids[of]), pa.array(sizes[of].astype(np.int32)), pa.array(pos.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["segment", "class", "n", "pos"])

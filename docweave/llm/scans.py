@@ -234,7 +234,7 @@ def mixes_digits(word: str) -> bool:
     return 0 < len(inside) <= 2 and all(c in DIGITS for c in inside) and sum(c.isalpha() for c in word) >= 4 and word[0].isalpha() | word[1].isalpha() and not re.search(r"\d\d|[a-z]\d$", word.replace("5", "") if word.endswith("5") else word)
 
 
-TAKEN = "scanned boolean, page_number boolean, header boolean, breaks array<struct<first:string,mark:string,second:string>>, words array<string>, counts array<int>, parts array<string>"
+TAKEN = "scanned boolean, page_number boolean, header boolean, breaks array<struct<first:string,mark:string,second:string>>, words array<string>, word string, n bigint, tag string"
 
 
 class ScanNoise:
@@ -249,37 +249,44 @@ class ScanNoise:
         self.spark, self.key = rows.sparkSession, key
         self.scratch = scratch or Scratch(self.spark, "scans")
         self.rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        self.marks = self.scratch.write("taken", self._taken())
-        self.vocabulary = self.scratch.write("vocabulary", self._vocabulary())
+        taken = self.scratch.write("taken", self._taken(), ["tag"])
+        self.marks = taken.where("tag = 'text'")
+        counted = taken.where("tag = 'word'").groupBy("word").agg(F.sum("n").alias("n"))
+        self.vocabulary = self.scratch.write("vocabulary", counted)
         self.misread = self.scratch.write("misread", self._misread())
         self.wrong, self.joined = self._verdicts()
 
     def _taken(self) -> DataFrame:
-        """(key, ...) what every text shows by itself: noise at its pages' edges, words broken at line ends, its words, and the parts of compounds."""
+        """One pass over the texts: rows of tag text say what each text of several lines shows by itself (noise at its pages' edges, words broken
+        at line ends, its words), rows of tag word how often words stand in all texts, compounds whole and in parts."""
         kind = self.rows.schema["key"].dataType.simpleString()
         part = pa.struct([("first", pa.string()), ("mark", pa.string()), ("second", pa.string())])
-        types = [pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(part), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        names = ["key", "scanned", "page_number", "header", "breaks", "words", "counts", "parts"]
+        types = [pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(part), pa.list_(pa.string()), pa.string(), pa.int64(), pa.string()]
+        names = ["key", "scanned", "page_number", "header", "breaks", "words", "word", "n", "tag"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for t in b.column(1).to_pylist():
+                at, out = [], []
+                counts: Counter[str] = Counter()
+                for i, t in enumerate(b.column(1).to_pylist()):
                     p = Page(t)
                     c = p.words()
-                    parts = [w for x in _WORD.findall((t or "").lower()) if "-" in x for w in x.split("-")]
-                    broken = [{"first": x.lower(), "mark": m, "second": y.lower()} for _, _, x, m, y in p.breaks]
-                    out.append((p.scanned, bool(p.numbers), bool(p.headers), broken, list(c), list(c.values()), parts))
-                columns = list(zip(*out)) if out else [()] * 7
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, types))], names=names)
+                    counts.update(c)
+                    if "-" in t:
+                        counts.update(w for x in _WORD.findall(t.lower()) if "-" in x for w in x.split("-"))
+                    if p.scanned:
+                        broken = [{"first": x.lower(), "mark": m, "second": y.lower()} for _, _, x, m, y in p.breaks]
+                        at.append(i)
+                        out.append((True, bool(p.numbers), bool(p.headers), broken, list(c), None, None, "text"))
+                columns = list(zip(*out)) if out else [()] * 8
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, types))], names=names)
+                if counts:
+                    size = len(counts)
+                    none = [pa.nulls(size, k) for k in (b.column(0).type, *types[:5])]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array(["word"] * size)], names=names)
 
         return self.rows.where("text IS NOT NULL").mapInArrow(run, f"key {kind}, {TAKEN}")
 
-    def _vocabulary(self) -> DataFrame:
-        counted = self.marks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").cast("bigint").alias("n"))
-        parts = self.marks.select(F.explode("parts").alias("word"), F.lit(1).cast("bigint").alias("n"))
-        return counted.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
-
     def _misread(self) -> DataFrame:
         """(word, stands_for): the misread words of the vocabulary."""
 
@@ -305,7 +312,7 @@ class ScanNoise:
 
     def _verdicts(self) -> tuple[DataFrame, DataFrame]:
         """(key, word, stands_for) of misread words, and (key, first, mark, second, whole) of broken words to join."""
-        lined = self.marks.where("scanned")
+        lined = self.marks
         whole = F.transform("breaks", lambda x: F.concat(x["first"], x["second"]))
         suspects = lined.select("key", F.explode(F.array_union("words", whole)).alias("word"))
         # misread words are rare ones, so no word is hot on this side of the join
