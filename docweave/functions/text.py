@@ -20,13 +20,17 @@ def _accents() -> tuple[str, str]:
 
 
 _ACCENTED, _PLAIN = _accents()
+#: Combining marks have no counterpart in _PLAIN, so translate leaves them out.
+_ACCENTED += "".join(chr(c) for c in range(0x300, 0x370))
 #: What parts words.
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
 def folded(text: str | Column) -> Column:
     """Lower case without accents and combining marks."""
-    return F.regexp_replace(F.translate(F.lower(as_column(text)), _ACCENTED, _PLAIN), r"\p{M}+", "")
+    t = as_column(text)
+    # texts without a letter of several bytes have no accent
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(F.lower(t), _ACCENTED, _PLAIN))
 
 
 def tokens(text: str | Column) -> Column:
