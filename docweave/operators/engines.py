@@ -269,9 +269,3 @@ class Templates:
         """KeyError for one that nothing has."""
         return (files or {}).get(f"{category}/{name}") or inline or self._known[(category, name)]
 
-
-def explained(question: str, modes: dict[str, Callable[[], DataFrame]], mode: str) -> DataFrame | None:
-    """The results of one mode of search; None for a blank question, ValueError for an unknown mode."""
-    if mode not in modes:
-        raise ValueError(f"unknown mode {mode}")
-    return modes[mode]() if question.strip() else None
