@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 _SPACED = re.compile(r"\b(?:[^\W\d_] ){2,}[^\W\d_]\b")
 # Signs of joined letters and what they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae"}
-# Small words that run together with their neighbours.
-SMALL_WORDS = "the of and in to for with is on by from that are was as an at or be".split()
+# Small words that run together with the word after them, and with the word before them.
+BEFORE = "a an the is it to in on of or as at by we be if so no do my up he me".split()
+AFTER = "the and for are but not you all can had her was one our out has his how man new now old see way who its say she two may day".split()
+#: More words that run together with the word before them.
+AFTER_TOO = "of in to with by from".split()
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
@@ -34,16 +37,17 @@ def join_spaced_letters(text: str, words: set[str]) -> str:
 
 def split_joined_words(text: str, words: set[str]) -> str:
     """An unknown word that is a small word and a known one run together is parted; the longest small word wins."""
-    small = sorted(SMALL_WORDS, key=lambda w: (-len(w), w))
+    first, last = (sorted(x, key=lambda w: (-len(w), w)) for x in (BEFORE, AFTER + AFTER_TOO))
 
     def fix(m: re.Match) -> str:
         w = m[0]
         low = w.lower()
         if low in words:
             return w
-        for s in small:
+        for s in first:
             if low.startswith(s) and len(low) > len(s) + 2 and low[len(s) :] in words:
                 return f"{w[: len(s)]} {w[len(s) :]}"
+        for s in last:
             if low.endswith(s) and len(low) > len(s) + 2 and low[: -len(s)] in words:
                 return f"{w[: -len(s)]} {w[-len(s) :]}"
         return w
