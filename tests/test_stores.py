@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions.stem import index_words, stem
 from docweave.operators.documents import DocumentStore, unsafe_member
 from docweave.operators.keyindex import KeywordIndex
+from docweave.plans import stores
 from docweave.streaming import events
 
 # what the published algorithm makes of these words
@@ -79,3 +81,25 @@ def test_ingest_step_writes_changes(spark, tmp_path):
     for _ in range(2):
         step(batch([("b", 3, "delete"), ("c", 3, "new")]), 1)
     assert {(r["k"], r["ts"]) for r in events.live_rows(spark, f"file://{tmp_path}/t", "k").collect()} == {("a", 2), ("c", 3)}
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """The tables of sf0.001 with keys beyond 32 bits, for Spark and for SQL."""
+    folder, sql = tmp_path_factory.mktemp("far"), duckdb.connect()
+    keys = {"vector_metadata": "vector_id", "document_records": "record_id", "tag_suggestions": "id"}
+    for name in [*keys, "chunk_embeddings"]:
+        moved = f"REPLACE ({k} + 7000000000 AS {k})" if (k := keys.get(name)) else ""
+        sql.sql(f"COPY (SELECT * {moved} FROM '/root/testdata/sf0.001/{name}.parquet') TO '{folder}/{name}.parquet'")
+        sql.sql(f"CREATE VIEW {name} AS FROM '{folder}/{name}.parquet'")
+    return str(folder), sql
+
+
+def _as_sql(spark, far, name):
+    folder, sql = far
+    got = [tuple(r) for r in stores.QUERIES[name](spark, folder).collect()]
+    assert got and sorted(got, key=str) == sorted(sql.sql(stores.SQL[name]).fetchall(), key=str)
+
+
+def test_store_export_of_large_keys(spark, far):
+    _as_sql(spark, far, "store_export")
