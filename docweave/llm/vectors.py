@@ -5,11 +5,15 @@ tables of floor((a.x + b) / width) with normal a. Every vector is stored under i
 visits, besides it, the buckets reached by moving single hashes by one, in the order of estimated success: the
 sum of the squared distances of x to the boundaries crossed. Candidates of all tables are merged and ranked by exact
 cosine. Equal vectors are one class with one entry in the tables; every member of a class has its neighbours.
+
+The tables are met in rounds, a table or a part of its visits at a time, and what a round shuffled is freed before the
+next, so that the disk holds the vectors once and one round, however many tables there are.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -19,14 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docweave.session import Scratch
+from docweave.session import Scratch, freeing
 
 WIDTH = 3.0
 PROBES = 20
 #: The share of the pairs at the asked cosine that tables and probes together are to meet, as expected; it gives the number of tables.
 RECALL = 0.98
-#: Of 64 sign bits so many may differ before exact ranking: a pair of cosine 0.9 differs in 9.2 of them on average (deviation 2.8).
-SKETCH_LIMIT = 20
+#: Of 128 sign bits so many may differ before exact ranking: a pair of cosine 0.9 differs in 18.4 of them on average (deviation 4.0).
+SKETCH_LIMIT = 36
+#: A round has at most so many visits, or so many a vector.
+ROUND, ROUND_EACH = 4_000_000, 11
 
 
 def probe_order(hashes: int, probes: int) -> list[list[int]]:
@@ -97,28 +103,32 @@ class Hasher:
         self.b = rng.uniform(0, width, tables * hashes).astype(np.float32)
         self.key = rng.integers(1, 2**63, (tables, hashes), dtype=np.uint64) | np.uint64(1)
         self.table_key = rng.integers(1, 2**63, tables, dtype=np.uint64)
-        self.signs = rng.normal(size=(dim, 64)).astype(np.float32)
+        self.signs = rng.normal(size=(dim, 128)).astype(np.float32)
         self.moves = probe_order(hashes, probes)
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
+        """(rows, 2): the sign bits."""
         bits = (x @ self.signs) > 0
-        return np.packbits(bits, axis=1).view(">u8").astype(np.uint64)[:, 0].view(np.int64)
+        return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
 
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        """(rows, tables x (1 + probes)) bucket keys; the first of every table is the vector's own."""
-        n, t, m = len(x), self.tables, self.hashes
-        place = ((x @ self.a + self.b) / np.float32(self.width)).reshape(n, t, m)
+    def buckets(self, x: np.ndarray, first: int, last: int, visits: bool) -> np.ndarray:
+        """(rows, (last - first) x (1 + probes)) bucket keys of the tables from first up to last; the first of every table is the vector's own, and without visits the only one."""
+        n, t, m = len(x), last - first, self.hashes
+        part, key = slice(first * m, last * m), self.key[first:last]
+        place = ((x @ self.a[:, part] + self.b[part]) / np.float32(self.width)).reshape(n, t, m)
         own = np.floor(place)
         low = place - own
+        moved = self.moves if visits else []
         with np.errstate(over="ignore"):
-            base = (own.astype(np.int64).view(np.uint64) * self.key).sum(axis=2, dtype=np.uint64) + self.table_key
-            out = np.empty((n, t, 1 + len(self.moves)), dtype=np.uint64)
+            base = (own.astype(np.int64).view(np.uint64) * key).sum(axis=2, dtype=np.uint64) + self.table_key[first:last]
+            out = np.empty((n, t, 1 + len(moved)), dtype=np.uint64)
             out[:, :, 0] = base
-            near = np.argsort(np.concatenate([low, 1 - low], axis=2), axis=2)  # moves below m go down, the others up
-            which = np.broadcast_to(self.key[None], (n, t, m))
-            step = np.concatenate([np.uint64(0) - which, which], axis=2)
-            step = np.take_along_axis(step, near, axis=2)
-            for k, moves in enumerate(self.moves):
+            if moved:
+                near = np.argsort(np.concatenate([low, 1 - low], axis=2), axis=2)  # moves below m go down, the others up
+                which = np.broadcast_to(key[None], (n, t, m))
+                step = np.concatenate([np.uint64(0) - which, which], axis=2)
+                step = np.take_along_axis(step, near, axis=2)
+            for k, moves in enumerate(moved):
                 out[:, :, k + 1] = base + step[:, :, moves].sum(axis=2, dtype=np.uint64)
             out ^= out >> np.uint64(31)
             out *= np.uint64(0x9E3779B97F4A7C15)
@@ -153,65 +163,99 @@ class MultiprobeIndex:
     def __init__(self, rows: DataFrame, key: str, vector: str, dim: int = 64, k: int = 10, least_cosine: float = 0.9, tables: int | None = None, probes: int = PROBES, width: float = WIDTH, scratch: Scratch | None = None):
         self.spark, self.k, self.dim = rows.sparkSession, k, dim
         self.scratch = scratch or Scratch(self.spark, "vectors")
-        fine = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector")).where(usable("vector", dim) & F.col("key").isNotNull())
-        fine = fine.groupBy("key").agg(F.min("vector").alias("vector"))
-        # equal vectors go by 128 bits of hashes
-        fine = fine.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
-        classes = fine.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.first("vector").alias("vector"), F.count("*").alias("n"))
-        classes = self.scratch.write("classes", classes.withColumn("id", F.xxhash64(F.col("key").cast("string"))))
-        several = classes.where("n > 1").select("h1", "h2", "id")
-        self.members = self.scratch.write("members", fine.select("key", "h1", "h2").join(several, ["h1", "h2"]).select("id", "key"))
-        # the k + 1 smallest keys of each class of several, a hot class cut down part by part first
-        part = Window.partitionBy("id", F.pmod(F.xxhash64("key"), F.lit(64))).orderBy("key")
-        few = self.members.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k + 1)
-        few = few.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy("key"))).where(F.col("__r") <= k + 1)
-        heads = few.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("heads"))  # k + 1 of them
-        self.vectors = self.scratch.write("vectors", classes.join(heads, "id", "left").select("id", "vector", F.coalesce("heads", F.array("key")).alias("heads")))
-        hashes = hashes_for(self.vectors.count(), width)
+        with freeing(self.spark):
+            rows = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector")).where(F.col("key").isNotNull())
+            fine = rows.where(usable("vector", dim))
+            # equal vectors go by 128 bits of hashes, and only these are shuffled to find the classes
+            two = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")]
+            seen = fine.select("key", *two).groupBy("key").agg(*[f(h).alias(f"{f.__name__}_{h}") for h in ("h1", "h2") for f in (F.min, F.max)])
+            seen = self.scratch.write("seen", seen.select("key", F.col("min_h1").alias("h1"), F.col("min_h2").alias("h2"), F.expr("min_h1 = max_h1 AND min_h2 = max_h2").alias("one")))
+            keyed, odd = seen.where("one").select("key", "h1", "h2"), seen.where("NOT one").select("key")
+            if not odd.isEmpty():  # keys with several vectors
+                least = self.scratch.write("least", fine.join(odd, "key").groupBy("key").agg(F.min("vector").alias("vector")).select("key", *two))
+                keyed = keyed.unionByName(least)
+            classes = keyed.groupBy("h1", "h2").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+            classes = self.scratch.write("classes", classes.withColumn("id", F.xxhash64(F.col("key").cast("string"))))
+            several = classes.where("n > 1").select("h1", "h2", "id")
+            self.members = self.scratch.write("members", keyed.join(several, ["h1", "h2"]).select("id", "key"))
+            # the k + 1 smallest keys of each class of several, a hot class cut down part by part first
+            part = Window.partitionBy("id", F.pmod(F.xxhash64("key"), F.lit(64))).orderBy("key")
+            few = self.members.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= k + 1)
+            few = few.withColumn("__r", F.row_number().over(Window.partitionBy("id").orderBy("key"))).where(F.col("__r") <= k + 1)
+            heads = few.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("heads"))  # k + 1 of them
+            named = classes.join(heads, "id", "left").select("key", "h1", "h2", "id", F.coalesce("heads", F.array("key")).alias("heads"))
+            both = rows.select("key", "vector", *two).join(named, ["key", "h1", "h2"])
+            self.vectors = self.scratch.write("vectors", both.groupBy("key", "h1", "h2").agg(F.first("id").alias("id"), F.first("vector").alias("vector"), F.first("heads").alias("heads")).select("id", "vector", "heads"))
+        for name in ("seen", "least", "classes"):
+            self.scratch.drop(name)
+        self.rows = self.vectors.count()
+        hashes = hashes_for(self.rows, width)
         self.hasher = Hasher(dim, hashes, tables or tables_for(hashes, probes, least_cosine, RECALL, width), probes, width)
 
-    def _hashed(self) -> DataFrame:
-        """(id, sketch, keys): the buckets of every vector."""
+    def _hashed(self, vectors: DataFrame, first: int, last: int, visits: bool) -> DataFrame:
+        """(bucket, id, s, t): the buckets of vectors in the tables from first up to last, with or without those visited, and the two halves of the sign bits."""
         hasher, dim = self.hasher, self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     x = _units(_matrix(b.column(1), dim)).astype(np.float32)
-                    keys = hasher.buckets(x)
+                    keys, signs = hasher.buckets(x, first, last, visits), hasher.sketch(x)
                     offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hasher.sketch(x)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["id", "sketch", "keys"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["id", "s", "t", "keys"])
 
-        return self.vectors.select("id", "vector").mapInArrow(run, "id bigint, sketch bigint, keys array<bigint>")
+        each = vectors.select("id", "vector").mapInArrow(run, "id bigint, s bigint, t bigint, keys array<bigint>")
+        return each.select(F.explode("keys").alias("bucket"), "id", "s", "t")
 
     def candidates(self, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
         """(a, b), a < b: pairs that meet in a bucket, by either's visits, and whose sign bits differ in at most sketch_limit places."""
-        each = 1 + len(self.hasher.moves)
-        hashed = self._hashed()
-        rows = hashed.select("id", "sketch", F.posexplode("keys").alias("pos", "bucket"))
-        rows = rows.select("bucket", "id", "sketch", (F.col("pos") % each == 0).alias("own"))
-        own = rows.where("own").select("bucket", F.col("id").alias("b"), F.col("sketch").alias("s"))
-        met = rows.join(own, "bucket").where((F.col("id") != F.col("b")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("s"))) <= sketch_limit))
-        return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        n, each, tables = max(self.rows, 1), 1 + len(self.hasher.moves), self.hasher.tables
+        most = max(ROUND, ROUND_EACH * n)
+        together, parts = max(1, most // (n * each)), math.ceil(n * each / most)
+        differing = F.bit_count(F.col("s").bitwiseXOR(F.col("own_s"))) + F.bit_count(F.col("t").bitwiseXOR(F.col("own_t")))
+        paths = []
+        with freeing(self.spark):
+            for first in range(0, tables, together):
+                last = min(tables, first + together)
+                own = self._hashed(self.vectors, first, last, visits=False)
+                if parts > 1:
+                    own = self.scratch.write("own", own)
+                own = own.select("bucket", F.col("id").alias("b"), F.col("s").alias("own_s"), F.col("t").alias("own_t")).hint("shuffle_hash")
+                for part in range(parts):
+                    visits = self._hashed(self.vectors.where(F.pmod("id", F.lit(parts)) == part), first, last, visits=True)
+                    met = visits.join(own, "bucket").where((F.col("id") != F.col("b")) & (differing <= sketch_limit))
+                    self.scratch.write(name := f"met-{first}-{part}", met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
+                    paths.append(self.scratch.path(name))
+            self.scratch.drop("own")
+            pairs = self.scratch.write("pairs", self.spark.read.schema("a bigint, b bigint").parquet(*paths).distinct())
+        for path in paths:
+            self.scratch.drop(path.rpartition("/")[2])
+        return pairs
 
     def similar(self, least_cosine: float, sketch_limit: int = SKETCH_LIMIT) -> DataFrame:
-        """(id, neighbour, cosine, heads), both ways: pairs of classes of at least the cosine, exact for every candidate; heads of the neighbour."""
-        v = self.vectors
-        pairs = self.candidates(sketch_limit)
-        pairs = pairs.join(v.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("heads").alias("ha")), "a")
-        pairs = pairs.join(v.select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("heads").alias("hb")), "b").select("a", "b", "ha", "hb", "va", "vb")
-        dim, kind = self.dim, v.schema["heads"].dataType.simpleString()
+        """(id, neighbour, cosine), both ways: pairs of classes of at least the cosine, exact for every candidate."""
+        candidates = self.candidates(sketch_limit)
+        dim, parts = self.dim, 2 if self.rows * (1 + len(self.hasher.moves)) > ROUND else 1
+        part = lambda rows, x, i: rows.where(F.pmod(x, F.lit(parts)) == i) if parts > 1 else rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    cosine = (_units(_matrix(b.column(4), dim)) * _units(_matrix(b.column(5), dim))).sum(axis=1)
-                    out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cosine)], names=["a", "b", "ha", "hb", "cosine"])
+                    cosine = (_units(_matrix(b.column(2), dim)) * _units(_matrix(b.column(3), dim))).sum(axis=1)
+                    out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine)], names=["a", "b", "cosine"])
                     yield out.filter(pa.array(cosine >= least_cosine))
 
-        exact = pairs.mapInArrow(run, f"a bigint, b bigint, ha {kind}, hb {kind}, cosine double")
-        side = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("neighbour"), F.col(f"h{y}").alias("heads"))
-        return exact.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p"), "cosine").select("p.id", "p.neighbour", "cosine", "p.heads")
+        paths = []
+        with freeing(self.spark):  # by halves of either side, as a round shuffles the vectors of both
+            for i, j in itertools.product(range(parts), repeat=2):
+                v, w = part(self.vectors, "id", i), part(self.vectors, "id", j)
+                pairs = part(part(candidates, "a", i), "b", j).join(v.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a")
+                pairs = pairs.join(w.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b").select("a", "b", "va", "vb")
+                self.scratch.write(name := f"exact-{i}-{j}", pairs.mapInArrow(run, "a bigint, b bigint, cosine double"))
+                paths.append(self.scratch.path(name))
+        exact = self.spark.read.schema("a bigint, b bigint, cosine double").parquet(*paths)
+        side = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("neighbour"))
+        return exact.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p"), "cosine").select("p.id", "p.neighbour", "cosine")
 
     def nearest(self, least_cosine: float, sketch_limit: int = SKETCH_LIMIT, every_member: bool = True) -> DataFrame:
         """(key, neighbour, cosine, rank): the k nearest of at least the cosine; cosines tie to 9 places, ties go to the smaller key.
@@ -220,7 +264,8 @@ class MultiprobeIndex:
         those of the whole table, but for pairs that met in no bucket. Every member of a class of equal vectors has its list;
         with every_member off only the k + 1 smallest keys of a class do, which are all that can be in another's list.
         """
-        others = self.similar(least_cosine, sketch_limit).select("id", F.round("cosine", 9).alias("cosine"), F.explode("heads").alias("neighbour"))
+        heads = self.vectors.select(F.col("id").alias("neighbour"), "heads")
+        others = self.similar(least_cosine, sketch_limit).join(heads, "neighbour").select("id", F.round("cosine", 9).alias("cosine"), F.explode("heads").alias("neighbour"))
         own = self.vectors.where(F.size("heads") > 1).select("id", F.lit(1.0).alias("cosine"), F.explode("heads").alias("neighbour")).where(F.col("cosine") >= least_cosine)
         place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
         best = others.unionByName(own).withColumn("__r", place).where(F.col("__r") <= self.k + 1)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -139,6 +140,42 @@ def test_every_equal_vector_has_its_list(spark):
     assert all(lists[n] == [x for x in names if x != n][:10] for n in names) and lists["z"] == names[:10] and "far" not in lists
 
 
+def _shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {(f := files.apply(i)).getName(): f.length() for i in range(files.size())}
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_rounds_find_the_same_and_free_their_disk(spark, monkeypatch, no_broadcast):
+    """In rounds of half a table the same pairs are met, and what they shuffled is gone."""
+    base = np.random.default_rng(8).normal(size=(1500, 64))
+    x = np.concatenate([base, base[:300] + 0.2 * np.random.default_rng(9).normal(size=(300, 64))])
+    twice = [("c0000", [9.0] * 64), ("c0001", [float(v) for v in x[1]])]  # a key has its smallest vector
+    df = spark.createDataFrame([(f"c{i:04d}", [float(v) for v in r]) for i, r in enumerate(x)] + twice, "id string, v array<float>").repartition(2).cache()
+    df.count()
+    at_once = {tuple(r) for r in vectors.MultiprobeIndex(df, "id", "v").candidates().collect()}
+    monkeypatch.setattr(vectors, "ROUND", 1, raising=False)
+    before = _shuffled(spark)
+    index = vectors.MultiprobeIndex(df, "id", "v")
+    pairs = index.candidates()
+    assert {tuple(r) for r in pairs.collect()} == at_once and len(at_once) >= 290
+    left = lambda: sum(n for f, n in _shuffled(spark).items() if f not in before)
+    for _ in range(20):  # files are removed in the background
+        if left() < 400_000:
+            break
+        time.sleep(0.5)
+    assert left() < 400_000  # the visits of one table alone are 37 800 rows of over 20 bytes
+    assert index.vectors.where("heads[0] = 'c0000'").first()["vector"] == pytest.approx(min(list(x[0].astype(np.float32)), [9.0] * 64))
+
+
 def test_tables_follow_from_the_recall():
     small, large = (vectors.tables_for(vectors.hashes_for(n), vectors.PROBES, 0.9) for n in (10_000, 10_000_000))
     assert 1 <= small < large
