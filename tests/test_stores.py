@@ -103,3 +103,7 @@ def _as_sql(spark, far, name):
 
 def test_store_export_of_large_keys(spark, far):
     _as_sql(spark, far, "store_export")
+
+
+def test_store_import_rename_of_large_keys(spark, far):
+    _as_sql(spark, far, "store_import_rename")
