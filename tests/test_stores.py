@@ -111,3 +111,7 @@ def test_store_import_rename_of_large_keys(spark, far):
 
 def test_store_import_skip_of_large_keys(spark, far):
     _as_sql(spark, far, "store_import_skip")
+
+
+def test_store_import_merge_of_large_keys(spark, far):
+    _as_sql(spark, far, "store_import_merge")
