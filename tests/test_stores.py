@@ -119,3 +119,7 @@ def test_store_import_merge_of_large_keys(spark, far):
 
 def test_store_import_replace_of_large_keys(spark, far):
     _as_sql(spark, far, "store_import_replace")
+
+
+def test_store_statistics_of_large_keys(spark, far):
+    _as_sql(spark, far, "store_statistics")
