@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from docweave.functions.stem import index_words, stem
 from docweave.operators.documents import DocumentStore, unsafe_member
 from docweave.operators.keyindex import KeywordIndex
 from docweave.plans import stores
+from docweave.session import shared_folder
 from docweave.streaming import events
 
 # what the published algorithm makes of these words
@@ -123,3 +126,31 @@ def test_store_import_replace_of_large_keys(spark, far):
 
 def test_store_statistics_of_large_keys(spark, far):
     _as_sql(spark, far, "store_statistics")
+
+
+def _leaves_its_rows_only(spark, far, name):
+    shared = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    assert stores.QUERIES[name](spark, far[0]).collect()
+    assert {p.name for f in set(shared.iterdir()) - before for p in f.iterdir()} == {"result"}
+
+
+def test_store_add_takes_chunks_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = _chunks(spark, [("a", 0, "x", None), ("a", 0, "x", None), ("a", None, "p", None), ("a", None, "p", None), ("a", 1, "y", [1.0, 0.0]), ("z", 0, "o", None), (None, 0, "n", None)])
+    store = DocumentStore(spark, f"file://{tmp_path}/s", dim=2)
+    store.add(spark.createDataFrame([("a",), ("b",)], "document_id string"), rows.mapInArrow(counted, rows.schema))
+    assert seen.value == 7 and tuple(store.statistics().first()) == (1, 3, 1, 2)
+    assert store.documents.live().first()["chunk_count"] == 3
+    assert sorted((str(r["chunk_id"]), r["content"]) for r in store.chunks.live().collect()) == [("None", "p"), ("a_chunk_0", "x"), ("a_chunk_1", "y")]
+    assert {p.name for p in (tmp_path / "s").iterdir()} == {"chunks", "documents"}
+
+
+def test_store_import_rename_leaves_its_rows_only(spark, far):
+    _leaves_its_rows_only(spark, far, "store_import_rename")
