@@ -154,3 +154,7 @@ def test_store_add_takes_chunks_once(spark, tmp_path):
 
 def test_store_import_rename_leaves_its_rows_only(spark, far):
     _leaves_its_rows_only(spark, far, "store_import_rename")
+
+
+def test_store_import_skip_leaves_its_rows_only(spark, far):
+    _leaves_its_rows_only(spark, far, "store_import_skip")
