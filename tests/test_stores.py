@@ -158,3 +158,7 @@ def test_store_import_rename_leaves_its_rows_only(spark, far):
 
 def test_store_import_skip_leaves_its_rows_only(spark, far):
     _leaves_its_rows_only(spark, far, "store_import_skip")
+
+
+def test_store_import_merge_leaves_its_rows_only(spark, far):
+    _leaves_its_rows_only(spark, far, "store_import_merge")
