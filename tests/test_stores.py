@@ -166,3 +166,7 @@ def test_store_import_merge_leaves_its_rows_only(spark, far):
 
 def test_store_import_replace_leaves_its_rows_only(spark, far):
     _leaves_its_rows_only(spark, far, "store_import_replace")
+
+
+def test_store_statistics_leaves_its_rows_only(spark, far):
+    _leaves_its_rows_only(spark, far, "store_statistics")
