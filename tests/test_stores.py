@@ -2,15 +2,17 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from docweave.functions.stem import index_words, stem
+from docweave.operators import documents
 from docweave.operators.documents import DocumentStore, unsafe_member
 from docweave.operators.keyindex import KeywordIndex
 from docweave.plans import stores
-from docweave.session import shared_folder
+from docweave.session import Scratch, shared_folder
 from docweave.streaming import events
 
 # what the published algorithm makes of these words
@@ -170,3 +172,39 @@ def test_store_import_replace_leaves_its_rows_only(spark, far):
 
 def test_store_statistics_leaves_its_rows_only(spark, far):
     _leaves_its_rows_only(spark, far, "store_statistics")
+
+
+def _row_groups(folder):
+    """(rows, bytes) of the row groups of all files below a folder."""
+    files = [pq.ParquetFile(p).metadata for p in Path(folder).rglob("*.parquet")]
+    return [(g.num_rows, g.total_byte_size) for m in files for g in map(m.row_group, range(m.num_row_groups))]
+
+
+def test_store_writes_small_row_groups(spark, tmp_path):
+    # one task has 24 MB of text to write
+    rows = spark.range(0, 6000, 1, 1).selectExpr("cast(id div 60 as string) AS document_id", "id AS position", "array_join(transform(sequence(1, 32), j -> sha2(concat(id, '-', j), 512)), '') AS content")
+    store = DocumentStore(spark, f"file://{tmp_path}/s")
+    store.add(rows.select("document_id").distinct(), rows.repartition(1))
+    for folder in ("chunks", "compacted"):
+        if folder == "compacted":
+            store.chunks.compact()
+        found = _row_groups(store.chunks.folder.removeprefix("file://"))
+        assert sum(n for n, _ in found) == 6000 and max(b for _, b in found) < 1.25 * documents.ROW_GROUP
+
+
+def _in_small_row_groups(spark, monkeypatch, name):
+    """The stores that a query drops hold its rows in row groups of the size that is set."""
+    found, drop = [], Scratch.drop
+
+    def look(self, table):
+        found.extend(_row_groups(self.path(table).removeprefix("file://")))
+        drop(self, table)
+
+    monkeypatch.setattr(documents, "ROW_GROUP", 1 << 16, raising=False)
+    monkeypatch.setattr(Scratch, "drop", look)
+    assert stores.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert sum(b for _, b in found) > 1 << 20 and max(b for n, b in found if n > 200) < 3 << 16
+
+
+def test_store_import_skip_in_small_row_groups(spark, monkeypatch):
+    _in_small_row_groups(spark, monkeypatch, "store_import_skip")
