@@ -208,3 +208,7 @@ def _in_small_row_groups(spark, monkeypatch, name):
 
 def test_store_import_skip_in_small_row_groups(spark, monkeypatch):
     _in_small_row_groups(spark, monkeypatch, "store_import_skip")
+
+
+def test_store_import_merge_in_small_row_groups(spark, monkeypatch):
+    _in_small_row_groups(spark, monkeypatch, "store_import_merge")
