@@ -216,3 +216,7 @@ def test_store_import_merge_in_small_row_groups(spark, monkeypatch):
 
 def test_store_import_replace_in_small_row_groups(spark, monkeypatch):
     _in_small_row_groups(spark, monkeypatch, "store_import_replace")
+
+
+def test_store_statistics_in_small_row_groups(spark, monkeypatch):
+    _in_small_row_groups(spark, monkeypatch, "store_statistics")
