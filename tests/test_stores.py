@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 
 import duckdb
@@ -220,3 +221,34 @@ def test_store_import_replace_in_small_row_groups(spark, monkeypatch):
 
 def test_store_statistics_in_small_row_groups(spark, monkeypatch):
     _in_small_row_groups(spark, monkeypatch, "store_statistics")
+
+
+def _exchanges(df, column):
+    """How many exchanges of a plan without broadcasts carry a column."""
+    spark, name = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set(name, before)
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert inputs
+    return sum(column in x for x in inputs)
+
+
+def test_store_import_merge_shuffles_held_chunks_twice(spark, tmp_path, monkeypatch):
+    store = DocumentStore(spark, f"file://{tmp_path}/s", dim=2)
+    docs = spark.createDataFrame([("a", "/a"), ("b", "/b"), ("gone", "/g")], "document_id string, path string")
+    store.add(docs, _chunks(spark, [("a", 0, "x", [1.0, 0.0]), ("a", 1, "y", None), ("b", 0, "z", None), ("gone", 0, "g", None)]))
+    store.documents.delete(docs.where("document_id = 'gone'"))
+    assert sorted(r["content"] for r in store.held_chunks().collect()) == ["x", "y", "z"]
+    taken = []
+    with monkeypatch.context() as m:
+        m.setattr(DocumentStore, "add", lambda self, documents, chunks: taken.append(chunks))
+        new = _chunks(spark, [("a", 0, "new", [1.0, 1.0]), ("c", 0, "c", [1.0, 1.0])]).selectExpr("*", "concat(document_id, '_chunk_', position) AS chunk_id")
+        store.import_archive(spark.createDataFrame([("a", "/a2"), ("c", "/c")], "document_id string, path string"), new, "merge")
+    assert sorted(r["content"] for r in taken[0].collect()) == ["c", "new", "y"]
+    # the incoming chunks move once, by document; the held ones by their change and by their name
+    assert _exchanges(taken[0], "content") == 3
+    assert sorted(r["content"] for r in store.held_chunks(docs.where("document_id <> 'b'")).collect()) == ["x", "y"]
