@@ -252,3 +252,19 @@ def test_store_import_merge_shuffles_held_chunks_twice(spark, tmp_path, monkeypa
     # the incoming chunks move once, by document; the held ones by their change and by their name
     assert _exchanges(taken[0], "content") == 3
     assert sorted(r["content"] for r in store.held_chunks(docs.where("document_id <> 'b'")).collect()) == ["x", "y"]
+
+
+def test_store_import_replace_finds_latest_changes_without_sorting(spark, tmp_path):
+    store = DocumentStore(spark, f"file://{tmp_path}/s", dim=2)
+    rows = _chunks(spark, [("a", 0, "x", None), ("b", 0, "y", None)])
+    store.add(rows.select("document_id"), rows)
+    again = _chunks(spark, [("a", 0, "new", [1.0, 0.0])]).withColumn("chunk_id", F.lit("a_chunk_0"))
+    store.import_archive(again.select("document_id"), again, "replace")
+    # a change that has rows and a deletion of one key is live
+    store.documents.delete(rows.select("document_id").where("document_id = 'b'"), 7)
+    store.documents.put(rows.select("document_id").where("document_id = 'b'"), 7)
+    assert sorted(r["content"] for r in store.held_chunks().collect()) == ["new", "y"]
+    store.documents.delete(rows.select("document_id").where("document_id = 'b'"), 8)
+    held = store.held_chunks()
+    assert [r["content"] for r in held.collect()] == ["new"]
+    assert "SortAggregate" not in spark._jvm.PythonSQLUtils.explainString(held._jdf.queryExecution(), "simple")
