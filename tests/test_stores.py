@@ -268,3 +268,26 @@ def test_store_import_replace_finds_latest_changes_without_sorting(spark, tmp_pa
     held = store.held_chunks()
     assert [r["content"] for r in held.collect()] == ["new"]
     assert "SortAggregate" not in spark._jvm.PythonSQLUtils.explainString(held._jdf.queryExecution(), "simple")
+
+
+def test_store_statistics_loads_without_sorting_scanned_rows(spark, monkeypatch):
+    taken = []
+    with monkeypatch.context() as m:
+        m.setattr(DocumentStore, "add", lambda self, documents, chunks: taken.append(chunks))
+        stores._loaded(spark, "/root/testdata/sf0.001", Scratch(spark, "store"), "s")
+    lines = spark._jvm.PythonSQLUtils.explainString(taken[0]._jdf.queryExecution(), "simple").splitlines()
+    scans = [i for i, x in enumerate(lines) if "FileScan parquet" in x]
+    assert len(scans) == 2
+    for i in scans:
+        above = next(j for j in range(i, -1, -1) if "Exchange" in lines[j])
+        assert not any("Sort" in x for x in lines[above:i])
+
+
+def test_store_statistics_in_row_groups_of_4_mb(spark, tmp_path):
+    # one task has 24 MB of text to write
+    rows = spark.range(0, 6000, 1, 1).selectExpr("cast(id div 60 as string) AS document_id", "id AS position", "array_join(transform(sequence(1, 32), j -> sha2(concat(id, '-', j), 512)), '') AS content")
+    store = DocumentStore(spark, f"file://{tmp_path}/s")
+    store.add(rows.select("document_id").distinct(), rows.repartition(1))
+    store.delete(rows.where("document_id LIKE '9%'"))
+    assert tuple(store.statistics().first())[:2] == (89, 5340)
+    assert 4 << 20 > max(b for _, b in _row_groups(store.chunks.folder.removeprefix("file://"))) * 0.8
