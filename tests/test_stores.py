@@ -1,4 +1,6 @@
+import json
 import re
+from collections import defaultdict
 from pathlib import Path
 
 import duckdb
@@ -291,3 +293,36 @@ def test_store_statistics_in_row_groups_of_4_mb(spark, tmp_path):
     store.delete(rows.where("document_id LIKE '9%'"))
     assert tuple(store.statistics().first())[:2] == (89, 5340)
     assert 4 << 20 > max(b for _, b in _row_groups(store.chunks.folder.removeprefix("file://"))) * 0.8
+
+
+def test_export_filter_takes_all_metadata_of_a_document(spark):
+    docs = spark.sql("SELECT * FROM VALUES ('a', timestamp'2024-01-01'), ('b', timestamp'2024-01-02'), ('c', timestamp'2024-01-03'), ('bare', NULL) t(document_id, indexed_at)")
+    rows = [("a", ["x"], "p"), ("a", ["y", None], "q"), ("b", ["y"], "q"), ("b", ["x"], "p"), ("c", None, None), (None, ["x"], "p")]
+    metadata = spark.createDataFrame(rows, "document_id string, tags array<string>, project string").coalesce(1)
+    of = lambda **k: sorted(r["document_id"] for r in documents.export_filter(docs, metadata, **k).collect())
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    assert of(tags=["x"]) == of(tags=["y"]) == of(project="p") == of(project="q") == ["a", "b", "bare"]
+    assert of(tags=["x"], project="q") == ["a", "b", "bare"] and of(tags=["none"]) == of(project="none") == ["bare"]
+    assert of() == of(project="", tags=[]) == ["a", "b", "bare", "c"]
+    assert of(since=day(2)) == ["b", "c"] and of(until=day(2), tags=["x"]) == ["a", "b"] and of(since=day(2), until=day(2)) == ["b"]
+
+
+def test_store_export_does_its_whole_job(spark, far):
+    key = lambda x: (x or "").strip().lower()
+    characters, project, seen = defaultdict(int), {}, set()
+    for v in pq.read_table(f"{far[0]}/vector_metadata.parquet").to_pylist():
+        try:
+            kept = json.loads(v["metadata"])
+        except (TypeError, ValueError):
+            kept = {}
+        if v["vector_id"] not in seen:
+            characters[key(v["document_id"])] += len(json.dumps({k: str(x) for k, x in kept.items()}, separators=(",", ":"), ensure_ascii=False))
+        seen.add(v["vector_id"])
+    for r in sorted(pq.read_table(f"{far[0]}/document_records.parquet").to_pylist(), key=lambda r: r["record_id"]):
+        project[key(r["document_id"])] = json.loads(r["metadata"]).get("ragd_project", "") if r["metadata"] else None
+    got = stores.QUERIES["store_export"](spark, far[0]).collect()
+    of = {s: [r for r in got if r["selection"] == s] for s in ("tags", "project", "period")}
+    assert all(of.values()) and sum(map(len, of.values())) == len(got) == len({(r["selection"], r["document_id"]) for r in got})
+    assert all(r["metadata_characters"] == characters[r["document_id"]] for r in got)
+    assert {project[r["document_id"]] for r in of["project"]} - {None} and len({project[r["document_id"]] for r in of["project"]} - {None}) == 1
+    assert all((2024, 3) <= (r["indexed_at"].year, r["indexed_at"].month) <= (2024, 5) for r in of["period"])
